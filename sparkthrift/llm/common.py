@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +17,16 @@ BROADCAST_ROWS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_scope = ""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) a local one."""
+    """A folder in the one all executors share: spark.checkpoint.dir, or (tests only) a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="stage-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stage-{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/stage-{spark.sparkContext.applicationId}{_scope}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -35,12 +39,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Removes all staged tables.  Call it only when every result built on them has been written."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    """Removes the staged tables of the present scope.  Call it only when every result built on them has been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scoped(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Runs ``make`` with a scope of its own for staged tables, and removes those of an earlier call of this scope."""
+    global _scope
+    before, _scope = _scope, f"-{name}"
+    try:
+        release(spark)
+        return make()
+    finally:
+        _scope = before
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a staged table for broadcast if its counted rows allow it; beyond
     the bound the join shuffles, with the same result."""

@@ -214,7 +214,7 @@ def _remaining(large: DataFrame, found: DataFrame, block_docs: int) -> DataFrame
 
 
 def near_components(docs: DataFrame, *, words: int = 5, percent: int = 75, block_bytes: int = BLOCK_BYTES, fragment_shingles: int = FRAGMENT_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, text_hash) for every row of ``docs`` (doc_id, text)."""
     text = text_or_empty()
     keys = [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("|")).alias("h2")]
     rows = stage(docs.select("doc_id", *keys, F.octet_length(text).alias("bytes")), "rows")
@@ -254,8 +254,16 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 75, block
     lowest = comps.groupBy("label").agg(F.min("low").alias("lowest"))
     comps = stage(comps.join(lowest, "label").select("h1", "h2", "n", "lowest"), "lowest")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest"))
-    return rows.join(comps, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.join(comps, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h1").alias("text_hash"))
+
+
+def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` without those linked, over any links, to a row with a smaller doc_id."""
+    found = near_components(docs, **options)
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    dropped = bounded(stage(dropped, "dropped"))
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash")), "left_anti")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents")).drop("text_hash")
