@@ -77,14 +77,22 @@ _TAIL_MARKS = re.compile(r"[!|*+(\-_.]+$")
 
 def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_N**4, np.int64)
+
+    def add(texts: list[bytes]) -> None:
+        data = np.frombuffer(b"   ".join([b"", *texts]), np.uint8)  # no window spans two texts' letters
+        for lo in range(3, len(data), 1 << 20):  # each window counts once: a part starts 3 bytes back
+            s = _SYMBOL[data[lo - 3 : lo + (1 << 20)]]
+            total[:] += np.bincount(((s[:-3] * _N + s[1:-2]) * _N + s[2:-1]) * _N + s[3:], minlength=_N**4)
+
+    held, size = [], 0
     for batch in batches:
         for x in batch.column(0):
-            data = np.frombuffer(x.as_buffer(), np.uint8) if len(x.as_py()) else np.empty(0, np.uint8)
-            for lo in range(0, len(data), 1 << 20):  # each window counts once: the next part starts 3 bytes back
-                s = _SYMBOL[data[max(0, lo - 3) : lo + (1 << 20)]]
-                if lo == 0:
-                    s = np.concatenate((np.zeros(3, np.int32), s))
-                total += np.bincount(((s[:-3] * _N + s[1:-2]) * _N + s[2:-1]) * _N + s[3:], minlength=_N**4)
+            held.append(x.as_py())
+            size += len(held[-1]) + 3
+            if size >= 1 << 20:
+                add(held)
+                held, size = [], 0
+    add(held)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
