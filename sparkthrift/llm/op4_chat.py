@@ -117,3 +117,20 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
     return read_chats(format_chats(turns.unionByName(extra)))
+
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, CASE WHEN contains(role || text, '</s>' || chr(10)) OR contains(role, '[/INST]')
+    THEN len(regexp_extract_all(role, '(\[|<)\\*(INST:|/INST\]|/s>)')) + len(regexp_extract_all(text, '(\[|<)\\*(INST:|/INST\]|/s>)')) ELSE 0 END AS extra
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(8 + length(role) + 7 + length(text) + 5 + extra)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -5,7 +5,8 @@ bytes, tokens and rows.  Groups that hold more than 1 / (shards * parts) of any
 of the three are placed one by one; there are at most 3 * shards * parts of
 them.  The others first meet in ``shards * parts`` bundles by the hash of their
 text, each small against a shard.  Largest first, each item goes to the shard
-where the dot product of its vector with the residual capacity is highest.
+with room for its bytes where the dot product of its vector with the residual
+capacity is highest, so sizes come out near equal, and tokens and rows with them.
 So the driver holds a bounded number of vectors at any input size.
 
 Defined cases: null text has size 1 and groups with other null texts only in
@@ -28,12 +29,16 @@ PARTS = 256
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each item (rows of shares of bytes, tokens, rows); deterministic."""
+    """Shard of each item (rows of shares of bytes, tokens, rows); deterministic.
+
+    Of the shards that still have room for the item's bytes, the one with the
+    highest dot product; without such a shard, the one with the most room.
+    """
     residual = np.full((shards, items.shape[1]), 1.0 / shards)
     out = np.zeros(len(items), np.int64)
     for i in np.lexsort((np.arange(len(items)), -items.sum(1), -items.max(1))):
-        # capacity below zero counts against a shard in full, so an overfull one is last
-        out[i] = int(np.argmax(residual @ items[i]))
+        fits = residual[:, 0] >= items[i, 0]
+        out[i] = int(np.argmax(np.where(fits, residual @ items[i], -np.inf) if fits.any() else residual[:, 0]))
         residual[out[i]] -= items[i]
     return out
 

@@ -150,8 +150,9 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, steps: int = 400, batch: int =
     tail_u = 1 - np.searchsorted(su, cut) / len(su)
     ratio = tail_u / tail_p
     error = np.sqrt(tail_u * (1 - tail_u) / len(su) + ratio**2 * tail_p * (1 - tail_p) / len(sp)) / tail_p
+    best = np.argmin(ratio + error)
     # a prior that is too high makes every text positive, one that is a little low costs little
-    return float(np.clip((ratio - 2 * error).min(), 0.05, 0.98))
+    return float(np.clip(ratio[best] - 3 * error[best], 0.05, 0.98))
 
 
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 3000, batch: int = 256) -> Network:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_packing import op1_packing
 from .op2_ann import op2_ann
 from .op3_warc import OP3_SQL, op3_warc
-from .op4_chat import op4_chat
+from .op4_chat import OP4_SQL, op4_chat
 from .op5_toxicity import op5_toxicity
 from .op6_jaccard import op6_jaccard
 from .op7_sharding import op7_sharding
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op10_exact_dedup": OP10_SQL}
