@@ -291,7 +291,7 @@ def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         index = {r["feature"]: i for i, r in enumerate(best)}
         rows = learn.repartition(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(_present(model, index), "label int, at array<int>, n array<int>").toPandas()
         rows = rows.sort_values(["label"], kind="stable")
-        fitted, bias = logistic(list(rows["at"]), list(rows["n"]), rows["label"].to_numpy(float), len(index), 1e-3)
+        fitted, bias = logistic(list(rows["at"]), list(rows["n"]), rows["label"].to_numpy(float), len(index), 1e-4)
         weight = fitted.tolist()
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
     return docs.select("*", text_or_empty().alias("_text")).mapInArrow(_score(model, index, weight, bias), schema)
