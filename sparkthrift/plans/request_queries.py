@@ -10,7 +10,9 @@ from sparkthrift.functions import redaction as R
 from sparkthrift.functions import text as T
 from sparkthrift.operators import crypto, requests, tiers
 
-from .common import NL, conversations, table, tokens_sql
+from . import lifecycle
+from .common import NL, conversations, filler_sql, lossless_sql, table, tokens_sql
+from .config import Config
 
 PATHS = """CASE page_id % 5 WHEN 0 THEN '/v1/messages' WHEN 1 THEN concat('/p/', page_id, '/v1/chat/completions') WHEN 2 THEN concat('/v1beta/models/g-', page_id, ':generateContent') WHEN 3 THEN '/v1beta/models/m:streamGenerateContent' ELSE concat('/other/', page_id) END"""
 DETECT_SQL = "CASE WHEN ends_with(path, '/v1/messages') THEN 'anthropic' WHEN ends_with(path, '/v1/chat/completions') THEN 'openai' WHEN ends_with(path, ':generateContent') OR ends_with(path, ':streamGenerateContent') THEN 'gemini' ELSE 'unknown' END"
@@ -163,6 +165,19 @@ def shred_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.groupBy("tenant").agg(F.count(F.lit(1)).alias("rows"), F.count("plain").alias("opened"))
 
 
+def request_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation sent twice, an hour apart; the second of a cacheable one is a hit."""
+    body = _bodies(spark, sf_dir).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    path = F.when(F.col("conv_id") % 10 == 9, "/nowhere").otherwise(F.col("path"))
+    rows = body.select((F.col("conv_id") * 2 + F.col("again")).alias("request_id"), (F.col("again") * 3600.0 + F.col("conv_id")).alias("ts"), path.alias("path"), F.array(F.struct(F.lit("k").alias("k"), F.lit("v").alias("v"))).alias("headers"), "body")
+    return lifecycle.outcomes(rows, Config(filler=True)).drop("key")
+
+
+def meta_header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = lifecycle.meta_headers(request_lifecycle(spark, sf_dir))
+    return told.select("request_id", F.explode("headers").alias("name", "value"))
+
+
 def _redact_sql() -> tuple[str, str, str]:
     """Nested replacement, the counts' sum, and an array of (category, count)."""
     text, counts = "text", []
@@ -181,7 +196,14 @@ _SECRET_SQL = " OR ".join("regexp_matches(text, '{}')".format(p.regex.replace("'
 _CHATS = "c AS (SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS whole, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE turn < m), '') AS prefix, count(*) AS n FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY conv_id)"
 _PARSED_SQL = "SELECT conv_id, 'anthropic' AS dialect, 'm-1' AS model, count(*) FILTER (WHERE role <> 'system') AS messages, sha256(coalesce(max(text) FILTER (WHERE role = 'system'), '')) AS system_sha, sha256(coalesce(string_agg(role || ':' || text || chr(10), '' ORDER BY turn) FILTER (WHERE role <> 'system'), '')) AS messages_sha FROM conversations GROUP BY conv_id"
 
+_LIFE = f"""WITH m AS (SELECT conv_id, role, turn, text, {filler_sql(lossless_sql('text'), T.DEFAULT_FILLERS)} AS short FROM conversations),
+c AS (SELECT conv_id, coalesce(max(text) FILTER (WHERE role = 'system'), '') || coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS b, coalesce(max(short) FILTER (WHERE role = 'system'), '') || coalesce(string_agg(short, '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS a FROM m GROUP BY conv_id),
+n AS (SELECT conv_id, {tokens_sql('b')} AS b, least({tokens_sql('a')}, {tokens_sql('b')}) AS a, unnest([0, 1]) AS again FROM c),
+life AS (SELECT conv_id * 2 + again AS request_id, CASE WHEN conv_id % 10 = 9 THEN 'unknown' ELSE 'anthropic' END AS dialect, '' AS tenant, CASE WHEN conv_id % 10 = 9 THEN 502 ELSE 200 END AS status, CASE WHEN conv_id % 10 = 9 THEN 'none' WHEN again = 1 THEN 'hit' ELSE 'miss' END AS cache, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE b END AS tokens_before, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE a END AS tokens_after FROM n)"""
+
 QUERIES = {
+    "request_lifecycle": (request_lifecycle, f"{_LIFE} SELECT * FROM life"),
+    "meta_header_lines": (meta_header_lines, f"{_LIFE} SELECT request_id, 'x-sparkthrift-' || unnest(['cache', 'dialect', 'tokens-before', 'tokens-after', 'tokens-saved']) AS name, unnest([cache, dialect, tokens_before::VARCHAR, tokens_after::VARCHAR, greatest(0, tokens_before - tokens_after)::VARCHAR]) AS value FROM life"),
     "dialect_detect": (dialect_detect, f"WITH p AS (SELECT page_id, {PATHS} AS path FROM pages) SELECT page_id, {DETECT_SQL} AS dialect, nullif(regexp_extract(regexp_extract(path, '[^/]*$'), '^([^:]+):(.+)$', 1), '') AS model FROM p"),
     "route": (route, f"WITH p AS (SELECT page_id, {PATHS} AS path FROM pages), d AS (SELECT *, {DETECT_SQL} AS dialect FROM p) SELECT page_id, CASE WHEN dialect <> 'unknown' THEN dialect WHEN page_id % 3 = 0 THEN 'anthropic' WHEN page_id % 3 = 1 THEN 'gemini' END AS provider, 'https://up.example' || path || '?a=1' AS url FROM d"),
     "early_outcome": (outcomes, f"WITH p AS (SELECT page_id, {PATHS} AS path FROM pages), d AS (SELECT *, {DETECT_SQL} AS dialect FROM p) SELECT page_id, CASE WHEN dialect = 'unknown' THEN 502 WHEN page_id % 7 = 0 THEN 401 WHEN page_id % 3 = 0 THEN 429 END AS status FROM d"),
