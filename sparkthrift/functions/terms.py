@@ -16,8 +16,7 @@ STOP_WORDS = tuple(
 def terms(text: Column, min_length: int = 3) -> Column:
     """Distinct lower-cased runs of ASCII letters, digits and underscores, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= min_length) & ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= min_length) & ~t.isin(list(STOP_WORDS))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -28,6 +27,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def term_bucket(term: Column, dim: int = 256) -> Column:
     """Bucket of a term: the first eight hash bytes, big-endian, modulo ``dim``."""
+    if dim & (dim - 1) == 0 and dim <= 1 << 16:  # the last four of the sixteen digits tell
+        return F.conv(F.substring(F.sha2(term, 256), 13, 4), 16, 10).cast("int") % dim
     first = F.conv(F.substring(F.sha2(term, 256), 1, 16), 16, 10).cast("decimal(20,0)")
     return (first % dim).cast("int")
 

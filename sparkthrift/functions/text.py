@@ -6,6 +6,8 @@ All are Catalyst expressions over string columns; null stays null.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,13 +53,25 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: The blanks of ASCII; a class of one or two ranges is far cheaper to match than BLANK.
+_ASCII, _ASCII_NO_LF = r"[\t-\r\x1c-\x20]", r"[\t\x0b-\r\x1c-\x20]"
+_OTHER_BLANKS = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def _by_blanks(text: Column, make: Callable[[str, str], Column]) -> Column:
+    """``make(blank, blank but line feed)`` with the cheap classes for texts without other blanks."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    none = reduce(and_, (~F.contains(text, F.lit(x)) for x in _OTHER_BLANKS))
+    return F.when(ascii_only | none, make(_ASCII, _ASCII_NO_LF)).otherwise(make(BLANK, _BLANK_NO_LF))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
-def words(text: Column) -> Column:
+def words(text: Column, blank: str = BLANK) -> Column:
     """Tokens between runs of white space; no empty ones."""
-    return F.filter(F.split(text, f"{BLANK}+", -1), lambda w: w != "")
+    return F.filter(F.split(text, f"{blank}+", -1), lambda w: w != "")
 
 
 def heuristic_tokens(text: Column) -> Column:
@@ -92,13 +106,17 @@ def join_spans(found: Column) -> Column:
 
 def on_prose(text: Column, change: Callable[[Column], Column]) -> Column:
     """Applies ``change`` to prose spans; texts without fences take a plain path."""
-    parts = F.transform(spans(text), lambda s: F.when(s["mutable"], change(s["text"])).otherwise(s["text"]))
-    return F.when(F.contains(text, F.lit(FENCE)), F.array_join(parts, "")).otherwise(change(text))
+
+    def walk(t: Column) -> Column:
+        parts = F.transform(spans(t), lambda s: F.when(s["mutable"], change(s["text"])).otherwise(s["text"]))
+        return F.when(F.contains(t, F.lit(FENCE)), F.array_join(parts, "")).otherwise(change(t))
+
+    return bind(text, walk)
 
 
 def lossless_prose(text: Column) -> Column:
     """Without blanks at line ends; three or more line ends become two."""
-    return F.regexp_replace(F.regexp_replace(text, rf"{_BLANK_NO_LF}+(?=\n|\z)", ""), r"\n{3,}", "\n\n")
+    return F.regexp_replace(_by_blanks(text, lambda _, b: F.regexp_replace(text, rf"{b}+(?=\n|\z)", "")), r"\n{3,}", "\n\n")
 
 
 def lossless(text: Column) -> Column:
@@ -110,10 +128,24 @@ def bare(word: Column) -> Column:
 
 
 def filler_prose(text: Column, fillers: Iterable[str]) -> Column:
-    """Line by line: words joined by one blank, without those whose bare form is a filler."""
+    """Line by line: words joined by one blank, without those whose bare form is a filler.
+
+    Only lines that hold a filler's letters are taken apart into words.
+    """
     names = list(fillers)
-    kept = lambda line: F.array_join(F.filter(words(line), lambda w: ~bare(w).isin(names)), " ")
-    return F.array_join(F.transform(F.split(text, "\n", -1), kept), "\n")
+
+    def may_hold(line: Column) -> Column:
+        return bind(F.lower(line), lambda low: reduce(or_, (F.contains(low, F.lit(n)) for n in names), F.lit(False)))
+
+    def lines(blank: str, _: str) -> Column:
+        def kept(line: Column) -> Column:
+            apart = F.array_join(F.filter(words(line, blank), lambda w: ~bare(w).isin(names)), " ")
+            plain = F.regexp_replace(F.regexp_replace(line, f"{blank}+", " "), r"^ | $", "")
+            return F.when(may_hold(line), apart).otherwise(plain)
+
+        return F.array_join(F.transform(F.split(text, "\n", -1), kept), "\n")
+
+    return _by_blanks(text, lines)
 
 
 def filler(text: Column, fillers: Iterable[str] = DEFAULT_FILLERS) -> Column:

@@ -62,8 +62,11 @@ def similar(probes: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     of a bounded number of entries (``newest``), which bounds the comparison.
     """
     same = F.col("p.model").eqNullSafe(F.col("i.model")) & F.col("p.tenant").eqNullSafe(F.col("i.tenant"))
-    pairs = probes.alias("p").join(index.alias("i"), same)
-    scored = pairs.select("p.probe_id", "i.key", "i.seq", V.cosine(F.col("p.vector"), F.col("i.vector")).alias("similarity")).where(F.col("similarity") >= threshold)
+    left, right = (df.withColumn("norm", V.norm(F.col("vector"))) for df in (probes, index))  # once a vector, not once a pair
+    pairs = left.alias("p").join(right.alias("i"), same)
+    scale = F.col("p.norm") * F.col("i.norm")
+    close = F.when(scale == 0, 0.0).otherwise(V.dot(F.col("p.vector"), F.col("i.vector")) / scale)
+    scored = pairs.select("p.probe_id", "i.key", "i.seq", close.alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("probe_id").agg(F.max(F.struct("similarity", "seq", "key")).alias("b"))
     return best.select("probe_id", F.col("b.key").alias("key"), F.col("b.similarity").alias("similarity"))
 

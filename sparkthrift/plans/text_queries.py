@@ -32,10 +32,9 @@ def _hashed(text):
 
 def tier_savings_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input tokens before and after each tier, per language (the flagship)."""
-    text = F.col("text")
-    lossless = T.lossless(text)
-    rows = decorated(spark, sf_dir).select("lang", T.heuristic_tokens(text).alias("b"), lossless.alias("l"))
-    made = rows.select("lang", "b", T.heuristic_tokens(F.col("l")).alias("t0"), T.heuristic_tokens(T.filler(F.col("l"))).alias("t1"), T.heuristic_tokens(T.filler(F.col("l"), T.AGGRESSIVE_FILLERS)).alias("t2"))
+    text, n = F.col("text"), T.heuristic_tokens
+    after = T.bind(T.lossless(text), lambda t: F.struct(n(t).alias("t0"), n(T.filler(t)).alias("t1"), n(T.filler(t, T.AGGRESSIVE_FILLERS)).alias("t2")))
+    made = decorated(spark, sf_dir).select("lang", n(text).alias("b"), after.alias("x")).select("lang", "b", "x.*")
     sums = made.groupBy("lang").agg(F.count(F.lit(1)).alias("requests"), *(F.sum(x).alias(x) for x in ("b", "t0", "t1", "t2")))
     each = F.array(*(F.struct(F.lit(n).alias("tier"), F.col(c).alias("tokens_after")) for n, c in (("lossless", "t0"), ("filler", "t1"), ("aggressive", "t2"))))
     out = sums.select("lang", "requests", F.col("b").alias("tokens_before"), F.inline(each))
