@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from sparkthrift.functions import text as T
 
 CONTEXT_HEADER = "Relevant earlier context (retrieved from memory):\n"
 SUMMARY_HEADER = "Conversation summary so far:\n"
+#: Rows of a block of vectors or of queries, about, and blocks of each at least.
+BLOCK_ROWS, LEAST_BLOCKS = 16_384, 6
 
 
 def _turns(messages: DataFrame) -> DataFrame:
@@ -55,17 +61,71 @@ def relevant(queries: DataFrame, node_rows: DataFrame, k: int, min_score: float
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "overlap", "rank")
 
 
-def semantic(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def semantic(queries: DataFrame, vectors: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, id, score, rank): ``k`` nearest by cosine, then those not over 0 go.
 
-    Each query block meets each vector once; the top k are kept per task before the shuffle.
+    Up to 1,024 queries are sent to every vector; more meet the vectors block by
+    block, and a pair of blocks emits ``k`` rows a query.  Vectors that are null
+    or hold null or non-finite components take no part in blocks.
     """
-    pairs = vectors.join(F.broadcast(queries), how="cross") if queries.limit(1025).count() <= 1024 else vectors.crossJoin(queries)
-    scored = pairs.select("query_id", "id", "seq", V.cosine(F.col("vector"), F.col("qvector")).alias("score"))
+    if queries.limit(1025).count() <= 1024:
+        pairs = vectors.join(F.broadcast(queries), how="cross")
+        scored = pairs.select("query_id", "id", "seq", V.cosine(F.col("vector"), F.col("qvector")).alias("score"))
+    else:
+        scored = _by_blocks(queries, vectors, k, block_rows)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))
     return scored.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") > 0)).drop("seq")
 
 
+def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(query_id, id, seq, score): of each block of vectors, the ``k`` best of each query with a score over 0."""
+
+    def usable(v: Column) -> Column:
+        return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+    def dealt(rows: DataFrame, vector: str, key: str, own: str, other: str, blocks: int, others: int) -> DataFrame:
+        rows = rows.where(usable(F.col(vector))).withColumn(vector, F.col(vector).cast("array<double>"))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(key, vector), F.lit(blocks)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    n, asked = (max(LEAST_BLOCKS, math.ceil(x.count() / block_rows)) for x in (vectors, queries))
+    left = dealt(vectors.select("id", "seq", "vector"), "vector", "id", "b", "q", n, asked)
+    right = dealt(queries.select("query_id", "qvector"), "qvector", "query_id", "q", "b", asked, n)
+    kinds = [(x, df.schema[x].dataType.simpleString()) for x, df in (("query_id", queries), ("id", vectors), ("seq", vectors))]
+    out = ", ".join(f"{x} {kind}" for x, kind in kinds)
+
+    def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "id": [], "seq": [], "score": []})]
+        if not len(v) or not len(q):
+            return found[0]
+        if len({*map(len, v["vector"]), *map(len, q["qvector"])}) > 1:
+            raise ValueError("vectors of different lengths")
+        v = v.sort_values("seq", kind="stable")
+        a, b = np.array(v["vector"].tolist(), float), np.array(q["qvector"].tolist(), float)
+        # sums go from left to right, as those of V.norm and V.dot
+        na, nb = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if x.shape[1] else np.zeros(len(x)) for x in (a, b))
+        ua, ub = (x / np.where(n == 0, 1, n)[:, None] for x, n in ((a, na), (b, nb)))
+        for lo in range(0, len(b), 128):
+            rough = ub[lo : lo + 128] @ ua.T
+            least = np.partition(rough, -k, axis=1)[:, -k] if k < rough.shape[1] else np.full(len(rough), -2.0)
+            qs, vs = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -1e-9))
+            best = []
+            for part in range(0, len(qs), 1 << 16):
+                i, j = qs[part : part + (1 << 16)] + lo, vs[part : part + (1 << 16)]
+                scale = nb[i] * na[j]
+                sums = np.cumsum(a[j] * b[i], axis=1)[:, -1] if a.shape[1] else np.zeros(len(i))
+                best.append(np.where(scale == 0, 0.0, sums / np.where(scale == 0, 1, scale)))
+            score = np.concatenate([np.empty(0), *best])
+            order = np.lexsort((vs, -score, qs))
+            nth = np.arange(len(order)) - np.searchsorted(qs[order], qs[order])
+            order = order[(nth < k) & (score[order] > 0)]
+            i, j = qs[order] + lo, vs[order]
+            found.append(pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "id": v["id"].to_numpy()[j], "seq": v["seq"].to_numpy()[j], "score": score[order]}))
+        return pd.concat(found[1:])
+
+    return left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(search, f"{out}, score double")
+
+
 def window_start(messages: DataFrame, keep_recent: int = 4) -> DataFrame:
     """(request_id, n, start, latest): where the kept window starts (a user message), latest user text.
 

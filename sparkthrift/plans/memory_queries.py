@@ -66,10 +66,20 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").cast("array<double>").alias("vector"), "label")
 
 
+def _nearest(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    asked = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"))
+    return M.semantic(asked, rows.select("id", "seq", "vector"), 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that its SQL asks with, those of an id under 16; ``semantic_topk_all`` asks with every row."""
     rows = _vectors(spark, sf_dir)
-    asked = rows.where("id < 16").select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"))
-    return M.semantic(asked, rows.select("id", "seq", "vector"), 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return _nearest(rows, rows.where("id < 16"))
+
+
+def semantic_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return _nearest(rows, rows)
 
 
 def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +147,7 @@ QUERIES = {
     "retrieval_recall": (retrieval_recall, f"WITH {_RELEVANT} SELECT r.query_id, bool_or(contains(d.text, substr(b.text, 1, 40))) AS found FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.id WHERE rank <= 5 GROUP BY r.query_id"),
     "hashing_embed": (hashing_embed, f"WITH t AS (SELECT doc_id, unnest({_terms_sql('text')}) AS term FROM documents), h AS (SELECT doc_id, ('0x' || substr(sha256(term), 15, 2))::INT AS bucket, CASE WHEN (('0x' || substr(sha256(term), 11, 2))::INT & 2) <> 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS s FROM t), a AS (SELECT doc_id, bucket, sum(s) AS raw FROM h GROUP BY ALL HAVING sum(s) <> 0) SELECT doc_id, bucket::BIGINT AS bucket, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS value FROM a"),
     "semantic_topk": (semantic_topk, "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM v q, v d WHERE q.vec_id < 16), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10 AND score > 0"),
+    "semantic_topk_all": (semantic_topk_all, None),
     "missing_vectors": (missing_vectors, "SELECT lang, count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 3) GROUP BY lang"),
     "lead_sentence": (lead_sentence, f"SELECT doc_id, sha256({_TRIM.format(f'substr({_CUT}, 1, 200)')}) AS sha FROM (SELECT doc_id, {_TRIM.format(_LINE)} AS l FROM documents)"),
     "extractive_summary": (extractive_summary, f"WITH {_bullets('conversations', 3)} SELECT conv_id AS request_id, sha256(summary) AS sha FROM s"),
