@@ -6,6 +6,13 @@ it may stand for, and Viterbi decoding finds the likeliest letters under a
 character 4-gram model.  That model counts the letters of every document of
 the input.  Tokens whose lattice has one path are their own restoration.
 
+Blanks are in the lattice too.  The gaps of a run of single characters (white
+space of any length) may stay or go, so the run is cut into words again.  Marks
+in a token, and the places between the letters of a token of more than six, may
+hold a blank: the words found there count besides the token itself.  Other
+neighbouring tokens are joined where the joined letters are a telling word and
+Viterbi decoding of them and their neighbours deletes the gaps.
+
 The restored words' features (words and prefixes) are weighed by logistic
 regression.  Labelled rows: at most ``max_labelled`` (those with the least
 hash of their id), never rows that ``lost`` names.  Candidate features are
@@ -23,7 +30,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +76,12 @@ _SYMBOL[[0x20, *range(0x09, 0x0E)]] = 0
 for _i, _c in enumerate(_ALPHABET):
     _SYMBOL[ord(_c)] = _SYMBOL[ord(_c.upper())] = _i + 1
 _EDGE = ".,;:?\"'`#%&=~<>[]{}\\/^"
-_APART = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\S)")
-_GAPS = re.compile(r"[ .\-_*]")
+_APART = re.compile(r"(?<!\S)\S[.\-_*,]?(?:\s+\S[.\-_*,]?){2,}(?!\S)")
+_LETTER = re.compile(r"[^\W\d_]")
+#: Log probabilities of a gap that stays and one that goes: between single characters, and between other tokens.
+_LOOSE, _TIGHT = (-1.5, -0.3), (-0.2, -2.0)
+#: Log probability of a blank left out between two letters.
+_UNSAID = -2.0
 _ODD = re.compile(r"[0-9@$!|+*(€£\-_.](?=.*[a-z])|[a-z].*[0-9@$!|+*(€£\-_.]|([^\W\d_])\1\1")
 _LONG_RUN = re.compile(r"([^\w])\1\1+")
 _TAIL_MARKS = re.compile(r"[!|*+(\-_.]+$")
@@ -117,30 +129,35 @@ class Channel:
         self.model = model.tolist()
 
     @staticmethod
-    def lattice(token: str) -> list[list[tuple[str, float]]]:
-        """Arcs of each character: (letters or nothing, log probability)."""
-        arcs: list[list[tuple[str, float]]] = []
+    def lattice(token: str, gap: tuple[float, float] = _LOOSE, cut: bool = False) -> Iterator[list[tuple[str, float]]]:
+        """Arcs of each character: (letters or nothing, log probability); ``cut`` adds blanks inside tokens."""
         i = 0
         while i < len(token):
             c = token[i]
             run = 1
-            while i + run < len(token) and token[i + run] == c:
+            while i + run < len(token) and (token[i + run] == c or c.isspace() and token[i + run].isspace()):
                 run += 1
-            if c in LEET or not c.isalnum():
+            if c.isspace():
+                yield [(" ", gap[0]), ("", gap[1])]
+            elif c in LEET or not c.isalnum():
                 letters = LEET.get(c, "") if run <= 2 else ""
                 each = [(x, -1.0 - math.log(len(letters))) for x in letters] + [("", -2.5 if c.isdigit() else -1.5)]
-                arcs += [each] * (run if letters else 1)
+                if cut:
+                    each += [(" " + x, cost + _UNSAID) for x, cost in each if x]
+                    each += [] if c.isdigit() else [(" ", -2.5 if letters else -1.5)]
+                for _ in range(run if letters else 1):
+                    yield each
             elif run >= 3:
-                arcs.append([(c, -0.7), (c * 2, -0.9)])
+                yield [(c, -0.7), (c * 2, -0.9)]
             else:
-                arcs += [[(c, 0.0)]] * run
+                for _ in range(run):
+                    yield [(c, 0.0), (" " + c, _UNSAID)] if cut else [(c, 0.0)]
             i += run
-        return arcs
 
-    def restore(self, token: str) -> str:
-        arcs = self.lattice(token[:256])
+    def restore(self, token: str, gap: tuple[float, float] = _LOOSE, cut: bool = False) -> str:
+        done: list[str] = []
         best: dict[int, tuple[float, str]] = {0: (0.0, "")}  # last three symbols: best path into them
-        for choice in [*arcs, [(" ", 0.0)]]:
+        for choice in chain(self.lattice(token, gap, cut), ([(" ", 0.0)],)):
             after: dict[int, tuple[float, str]] = {}
             for history, (score, made) in best.items():
                 for letters, cost in choice:
@@ -152,29 +169,89 @@ class Channel:
                     if h not in after or after[h][0] < total:
                         after[h] = (total, made + letters)
             best = after
-        return max(best.values())[1].rstrip() + token[256:]
+            likeliest = max(best.values())
+            if len(likeliest[1]) > 256:  # paths have met long before: what they share is settled
+                head = likeliest[1][:-128]
+                done.append(head)
+                best = {h: (x, made[len(head) :]) for h, (x, made) in best.items() if made.startswith(head)}
+        return ("".join(done) + max(best.values())[1]).strip()
 
 
-def restore_text(text: str, channel: Channel, known: dict[str, str]) -> list[str]:
+def restore_text(text: str, channel: Channel, known: dict, telling: Telling | None = None) -> list[str]:
     """The distinct restored words of a text."""
     text = text.lower()
-    apart = [_GAPS.sub("", x.group()) for x in _APART.finditer(text)]
-    return [*{restored(t, channel, known) for t in {*text.split(), *apart}}]
+    tokens = text.split()
+    found = {w for t in {*tokens} for w in words(t, channel, known, telling)}
+    return [*found.union(apart(text, channel, known), telling.joined(tokens, channel, known) if telling else ())]
+
+
+def _remember(known: dict, key: tuple, make: Callable[[], str]) -> str:
+    if key not in known:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        made = make()
+        if len(made) >= 256:
+            return made
+        known[key] = made
+    return known[key]
+
 
+def apart(text: str, channel: Channel, known: dict) -> set[str]:
+    """Words of runs of single characters."""
+    runs = {x.group() for x in _APART.finditer(text)}
+    return {w for run in runs if _LETTER.search(run) for w in _remember(known, ("apart", run), lambda run=run: channel.restore(run)).split()}
 
-def restored(token: str, channel: Channel, known: dict[str, str]) -> str:
+
+def _bare(word: str) -> str:
+    return _TAIL_MARKS.sub("", _LONG_RUN.sub("", word)).strip(_EDGE)
+
+
+def restored(token: str, channel: Channel, known: dict) -> str:
     word = token.strip(_EDGE)
     if not word.isalpha() or _ODD.search(word):
-        word = _TAIL_MARKS.sub("", _LONG_RUN.sub("", word)).strip(_EDGE)
+        word = _bare(word)
         if _ODD.search(word) and not word.isdigit():
-            if word not in known:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = channel.restore(word)
-            word = known[word]
+            word = _remember(known, ("whole", word), lambda: channel.restore(word))
     return word
 
 
+def words(token: str, channel: Channel, known: dict, telling: Telling | None = None) -> set[str]:
+    """The restored token, and the words it holds (plain letters only if one of them can be ``telling``)."""
+    found = {restored(token, channel, known)}
+    return found
+
+
+class Telling:
+    """Joins neighbouring tokens that are pieces of a telling word."""
+
+    def __init__(self, index: Collection[str]):
+        self.words = {f[:-1] for f in index if f.endswith("$")}
+        self.opens = {w[:n] for w in self.words for n in range(1, len(w))}
+        self.stems = {f.removesuffix("$") for f in index}
+        self.sizes = sorted({*map(len, self.stems)})
+
+    def inside(self, word: str) -> bool:
+        """Can a word that begins behind the first letter, or ends before the last, have a feature of the index?"""
+        return any(word[i : i + n] in self.stems for n in self.sizes for i in range(1, len(word) - n + 1)) or any(word[:n] in self.words for n in self.sizes)
+
+    def joined(self, tokens: list[str], channel: Channel, known: dict) -> set[str]:
+        found: set[str] = set()
+        for i, token in enumerate(tokens):
+            if token in self.opens:
+                made, j = token, i
+                while made in self.opens and j + 1 < len(tokens):
+                    j += 1
+                    last = tokens[j].strip(_EDGE)
+                    made += last
+                    if made in self.words and last and made not in found:
+                        near = " ".join([*tokens[max(0, i - 1) : j], last, *tokens[j + 1 : j + 2]])
+                        if len(near) < 256 and made in _remember(known, ("near", near), lambda near=near: channel.restore(near, _TIGHT)).split():
+                            found.add(made)
+                    if not last:
+                        break
+        return found
+
+
 def features(word: str) -> list[str]:
     if not word:
         return []
@@ -194,12 +271,12 @@ def _candidates(model: np.ndarray):
 
 def _present(model: np.ndarray, index: dict[str, int]):
     def run(batches):
-        channel, known = Channel(model), {}
+        channel, known, telling = Channel(model), {}, Telling(index)
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 counts: dict[int, int] = {}
-                for w in restore_text(text.as_py(), channel, known):
+                for w in restore_text(text.as_py(), channel, known, telling):
                     for f in features(w):
                         if f in index:
                             counts[index[f]] = counts.get(index[f], 0) + 1
@@ -231,17 +308,20 @@ def logistic(at: list, n: list, y: np.ndarray, width: int, penalty: float, steps
 
 def _score(model: np.ndarray, index: dict[str, int], weight: list[float], bias: float):
     class Found(dict):
-        """Features of a token that the classifier weighs."""
+        """Words of a token that have features the classifier weighs, with these."""
 
-        def __missing__(self, token: str) -> tuple[int, ...]:
+        def __missing__(self, token: str) -> list[tuple[str, list[int]]]:
             if len(self) >= REMEMBERED:
                 self.clear()
-            found = tuple(index[f] for f in features(restored(token, channel, known)) if f in index)
+            found = [(w, hits) for w in words(token, channel, known, telling) if (hits := weighed(w))]
             if len(token) < 64:
                 self[token] = found
             return found
 
-    channel, known = Channel(model), {}
+    def weighed(word: str) -> list[int]:
+        return [index[f] for f in features(word) if f in index]
+
+    channel, known, telling = Channel(model), {}, Telling(index)
 
     def run(batches):
         remembered = Found()
@@ -249,16 +329,13 @@ def _score(model: np.ndarray, index: dict[str, int], weight: list[float], bias:
             scores = []
             for x in batch.column(batch.num_columns - 1):
                 text = x.as_py().lower()
+                tokens = text.split()
+                hit = {w: hits for token in {*tokens} for w, hits in remembered[token]}
+                hit |= {w: weighed(w) for w in apart(text, channel, known) | telling.joined(tokens, channel, known)}
                 counts: dict[int, int] = {}
-                seen: set[str] = set()
-                tokens = {*text.split(), *(_GAPS.sub("", x.group()) for x in _APART.finditer(text))}
-                for token in tokens:
-                    if hits := remembered[token]:
-                        word = restored(token, channel, known)
-                        if word not in seen:
-                            seen.add(word)
-                            for f in hits:
-                                counts[f] = counts.get(f, 0) + 1
+                for hits in hit.values():
+                    for f in hits:
+                        counts[f] = counts.get(f, 0) + 1
                 z = bias + sum(weight[f] * math.log1p(c) for f, c in sorted(counts.items()))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             columns = [*batch.columns[:-1], pa.array(scores, pa.float64())]

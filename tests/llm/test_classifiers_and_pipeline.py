@@ -59,6 +59,18 @@ def test_letters_set_apart(channel):
     assert "idiot" in op5_toxicity.restore_text("i-d-i-o-t", channel, {})
 
 
+@pytest.mark.parametrize("text", ["you are an i d i o t", "a n i d i o t", "y o u i d i o t", "an i  d  i\to\nt", "1 d 1 0 t", "hello 1 d i o t", "i. d. i. o. t"])
+def test_gaps_are_in_the_lattice(channel, text):
+    assert "idiot" in op5_toxicity.restore_text(text, channel, {})
+
+
+def test_words_in_chunks(channel):
+    telling = op5_toxicity.Telling(["idiot$", "idi", "loser$"])
+    for text in ("you are an id iot and a house", "you are an i di\n ot. and", "a lo ser, such"):
+        assert {"idiot", "loser"} & {*op5_toxicity.restore_text(text, channel, {}, telling)}
+    assert "idiot" not in op5_toxicity.restore_text("an id is nice", channel, {}, telling)
+
+
 def test_letter_counts_grow_with_all_texts(spark):
     one = spark.createDataFrame([(1, "ab" * 700_000)], "doc_id long, text string").selectExpr("cast(text as binary) b")
     rows = {r["gram"]: r["n"] for r in one.mapInArrow(op5_toxicity._count_letters, "gram long, n long").collect()}
