@@ -218,6 +218,11 @@ def restored(token: str, channel: Channel, known: dict) -> str:
 def words(token: str, channel: Channel, known: dict, telling: Telling | None = None) -> set[str]:
     """The restored token, and the words it holds (plain letters only if one of them can be ``telling``)."""
     found = {restored(token, channel, known)}
+    word = token.strip(_EDGE)
+    if not word.isalpha():
+        word = _bare(word)
+    if (len(word) > 6 and (telling is None or telling.inside(word)) if word.isalpha() else _LETTER.search(word)):
+        found.update(_remember(known, ("cut", word), lambda: channel.restore(word, cut=True)).split())
     return found
 
 

@@ -71,6 +71,11 @@ def test_words_in_chunks(channel):
     assert "idiot" not in op5_toxicity.restore_text("an id is nice", channel, {}, telling)
 
 
+@pytest.mark.parametrize("token", ["hello,idiot", "you.idiot", "you/idiot", "you!idiot", "hello,1d10t", "youareanidiot", "youarean" * 80 + "1d10t", ("hello," * 100) + "idiooooot"])
+def test_tokens_are_read_to_their_end(channel, token):
+    assert "idiot" in op5_toxicity.restore_text(token, channel, {})
+
+
 def test_letter_counts_grow_with_all_texts(spark):
     one = spark.createDataFrame([(1, "ab" * 700_000)], "doc_id long, text string").selectExpr("cast(text as binary) b")
     rows = {r["gram"]: r["n"] for r in one.mapInArrow(op5_toxicity._count_letters, "gram long, n long").collect()}
