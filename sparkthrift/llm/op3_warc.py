@@ -115,15 +115,19 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 100, chunk_bytes
 
 
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_HEAD_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.[01]\r\n")
 
 
-def _head(data: bytes) -> tuple[dict[str, str], int] | None:
-    """Header fields of a record at the start of ``data``, and where its block begins."""
-    end = data.find(b"\r\n\r\n", 0, 1 << 20)
-    if not _LINE.match(data) or end < 0:
+def _head(data: memoryview, at: int) -> tuple[dict[str, str], int] | None:
+    """Header fields of a record at ``at``, of any length, and where its block begins."""
+    if not _LINE.match(data, at):
         return None
+    found = _HEAD_END.search(data, at)
+    if not found or found.group() != b"\r\n\r\n":  # another record begins before the header ends
+        return None
+    end = found.start()
     fields = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in bytes(data[at:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -133,10 +137,10 @@ def _head(data: bytes) -> tuple[dict[str, str], int] | None:
 
 def _plain(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """The record that holds at ``at``: header, block, end."""
-    found = _head(bytes(data[at : at + (1 << 20)]))
+    found = _head(data, at)
     if not found or not found[0].get("content-length", "").isdigit():
         return None
-    begin = at + found[1]
+    begin = found[1]
     end = begin + int(found[0]["content-length"])
     if bytes(data[end : end + 4]) != b"\r\n\r\n":
         return None

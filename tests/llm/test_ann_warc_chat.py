@@ -86,6 +86,17 @@ def test_round_trip(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in got if r["record_type"] == "response"} == texts
 
 
+def test_long_urls_come_back(spark, tmp_path):
+    rows = [(1, "http://a/" + "x" * 3_000_000, "one " * 50), (2, "http://b/" + "\u00e9" * 700_000, "two " * 50), (3, "u", "three")]
+    got = op3_warc.read_archives(spark, archive(spark, tmp_path, rows)).collect()
+    assert sorted((r["kind"], r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in got) == [("record", *r) for r in rows]
+
+
+def test_plain_records_with_long_headers():
+    whole = b"".join(op3_warc.record(i, "u" * 2_000_000, b"x", hashlib.sha256(b"x").hexdigest(), None, True) for i in range(2))
+    assert [(k, h["warc-page-id"]) for k, _, _, h, _ in op3_warc.salvage(whole)] == [("record", "0"), ("record", "1")]
+
+
 def test_files_are_gzip_members_of_warc_records(spark, tmp_path):
     path = archive(spark, tmp_path, PAGES[:3])
     for name in os.listdir(path):
