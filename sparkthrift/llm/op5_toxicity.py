@@ -1,51 +1,72 @@
 """Toxicity of texts behind a noisy channel.
 
-Obfuscated words (leetspeak, stretched letters, letters set apart) are read
-through a channel model: every character of a token opens arcs to the letters
-it may stand for, and Viterbi decoding finds the likeliest letters under a
-character 4-gram model.  That model counts the letters of every document of
-the input.  Tokens whose lattice has one path are their own restoration.
-
-Blanks are in the lattice too.  The gaps of a run of single characters (white
-space of any length) may stay or go, so the run is cut into words again.  Marks
-in a token, and the places between the letters of a token of more than six, may
-hold a blank: the words found there count besides the token itself.  Other
-neighbouring tokens are joined where the joined letters are a telling word and
-Viterbi decoding of them and their neighbours deletes the gaps.
-
-The restored words' features (words and prefixes) are weighed by logistic
-regression.  Labelled rows: at most ``max_labelled`` (those with the least
-hash of their id), never rows that ``lost`` names.  Candidate features are
-counted on the executors and the ``max_features`` most telling ones are kept.
+Obfuscated words (leetspeak, stretched letters, letters set apart, words in
+pieces or run together) are read through a channel model: every character opens
+arcs to the letters it may stand for, to itself or to nothing; blanks may go,
+and may be missing.  Viterbi decoding finds the likeliest reading under a
+character 4-gram model, which counts the letters of every document of the input.
+
+Where the lattice is decoded:
+
+* runs of single characters, and tokens with a mark that may be a letter or
+  nothing (``!|+(*``), always;
+* elsewhere where a telling word may stand.  Characters that may be one another
+  are folded, white space, other marks and repetitions dropped, and the telling
+  words, folded alike, are searched for in what is left of the whole text.  No
+  reading can hold a telling word where its folded form does not stand, so
+  nothing else needs decoding.  The tokens around a hit (24 characters of them
+  on each side) are decoded with their gaps.
+
+Telling words and their beginnings (from four letters on) are weighed by logistic
+regression.
+Labelled rows: at most ``max_labelled`` (those with the least hash of their id),
+never rows that ``lost`` names, and of near copies (equal least shingle hash)
+one, so that copies are no evidence.  Words are chosen forward: in each round
+those join whose texts have more label 1 than the words chosen before explain,
+by a log likelihood ratio above ``evidence`` plus the log of the number of words
+tried.  Only what makes label 1 likelier is chosen, so no length of clean text
+outweighs abuse.  The number of words has no cap.
 
 Defined cases: null text is empty; an empty text has the score of no evidence;
 a null doc_id is never labelled; a doc_id that occurs several times is scored
-row by row; contradictory labels of one id count by their maximum; rows of
-labels without a label are ignored; without both labels to learn from every
-score is the share of label 1 (0 without any); extra columns are ignored; no
-rows give no rows.  Texts are read whole.
+row by row, and learned from by one of its texts; contradictory labels of one id
+count by their maximum; rows of labels without a label are ignored; without both
+labels to learn from every score is 1 or 0 (0 without any); extra columns are
+carried by ``nontoxic``, whatever their names, and ignored by ``toxicity``; no
+rows give no rows.  Texts and tokens are read whole, whatever their length.
+Calling ``toxicity`` runs the jobs that learn; scoring is left to the caller.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import lost, stage, table, text_or_empty
+from .shingles import shingle_sets
 
 #: Labelled rows that the classifier learns from, at most.
 MAX_LABELLED = 20_000
-MAX_FEATURES = 2_000
-#: Tokens whose weight a worker remembers.
-REMEMBERED = 400_000
+#: Log likelihood ratio that a feature needs besides the log of the number of features tried.
+EVIDENCE = 3.0
+#: Rounds of choosing features, at most; those join that reach this share of the round's best.
+ROUNDS, SHARE = 6, 1 / 3
+#: Readings that a worker remembers, and the longest token or run that it does.
+REMEMBERED, SHORT = 400_000, 64
+#: Characters of a token that are decoded on each side of a hit.
+AROUND = 24
+#: Characters that are folded at once.
+PART = 1 << 20
 
 # The letters that other characters are used for.
 LEET = {
@@ -68,6 +89,8 @@ LEET = {
     "€": "e",
     "£": "l",
 }
+#: Marks that may be a letter or nothing.
+EITHER = "!|+("
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _N = 28  # 0: outside a word, 1 to 26: letters, 27: any other byte of a word
@@ -78,13 +101,16 @@ for _i, _c in enumerate(_ALPHABET):
 _EDGE = ".,;:?\"'`#%&=~<>[]{}\\/^"
 _APART = re.compile(r"(?<!\S)\S[.\-_*,]?(?:\s+\S[.\-_*,]?){2,}(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
+_PIECES = re.compile(r"[^\W\d_]+")
+_BLANK = re.compile(r"\s")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1")
+_LONG_RUN = re.compile(r"([^\w])\1\1+")
+_TAIL_MARKS = re.compile(r"[!|*+(\-_.]+$")
+_OPEN = re.compile(r"[!|+(*]")
 #: Log probabilities of a gap that stays and one that goes: between single characters, and between other tokens.
 _LOOSE, _TIGHT = (-1.5, -0.3), (-0.2, -2.0)
 #: Log probability of a blank left out between two letters.
 _UNSAID = -2.0
-_ODD = re.compile(r"[0-9@$!|+*(€£\-_.](?=.*[a-z])|[a-z].*[0-9@$!|+*(€£\-_.]|([^\W\d_])\1\1")
-_LONG_RUN = re.compile(r"([^\w])\1\1+")
-_TAIL_MARKS = re.compile(r"[!|*+(\-_.]+$")
 
 
 def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,41 +149,43 @@ def letter_model(docs: DataFrame) -> np.ndarray:
 
 
 class Channel:
-    """Restores a token: Viterbi over its character lattice."""
+    """Reads text: Viterbi over its character lattice."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
 
     @staticmethod
-    def lattice(token: str, gap: tuple[float, float] = _LOOSE, cut: bool = False) -> Iterator[list[tuple[str, float]]]:
-        """Arcs of each character: (letters or nothing, log probability); ``cut`` adds blanks inside tokens."""
+    def lattice(text: str, gap: tuple[float, float] = _LOOSE, cut: bool = False) -> Iterator[list[tuple[str, float]]]:
+        """Arcs of each character: (what it stands for, log probability); ``cut`` adds blanks inside tokens."""
         i = 0
-        while i < len(token):
-            c = token[i]
-            run = 1
-            while i + run < len(token) and (token[i + run] == c or c.isspace() and token[i + run].isspace()):
+        while i < len(text):
+            c, run = text[i], 1
+            while i + run < len(text) and (text[i + run] == c or c.isspace() and text[i + run].isspace()):
                 run += 1
             if c.isspace():
                 yield [(" ", gap[0]), ("", gap[1])]
-            elif c in LEET or not c.isalnum():
-                letters = LEET.get(c, "") if run <= 2 else ""
-                each = [(x, -1.0 - math.log(len(letters))) for x in letters] + [("", -2.5 if c.isdigit() else -1.5)]
+            elif c in LEET and (run <= 2 or c.isdigit()):
+                each = [(x, -1.0 - math.log(len(LEET[c]))) for x in LEET[c]]
+                each += [("", -1.5)] if c in EITHER or c == "*" else [(c, -0.5)]
                 if cut:
                     each += [(" " + x, cost + _UNSAID) for x, cost in each if x]
-                    each += [] if c.isdigit() else [(" ", -2.5 if letters else -1.5)]
-                for _ in range(run if letters else 1):
+                    each += [(" ", -1.5)] if c in EITHER or c == "*" else []
+                for _ in range(run):
                     yield each
-            elif run >= 3:
-                yield [(c, -0.7), (c * 2, -0.9)]
+            elif not c.isalnum():
+                yield [("", -1.5), (" ", -1.5)] if cut else [("", -1.5)]
+            elif run >= 3 and c.isalpha():
+                each = [(c, -0.7), (c * 2, -0.9)]
+                yield each + [(" " + x, cost + _UNSAID) for x, cost in each] if cut else each
             else:
                 for _ in range(run):
                     yield [(c, 0.0), (" " + c, _UNSAID)] if cut else [(c, 0.0)]
             i += run
 
-    def restore(self, token: str, gap: tuple[float, float] = _LOOSE, cut: bool = False) -> str:
+    def restore(self, text: str, gap: tuple[float, float] = _LOOSE, cut: bool = False) -> str:
         done: list[str] = []
         best: dict[int, tuple[float, str]] = {0: (0.0, "")}  # last three symbols: best path into them
-        for choice in chain(self.lattice(token, gap, cut), ([(" ", 0.0)],)):
+        for at, choice in enumerate(chain(self.lattice(text, gap, cut), ([(" ", 0.0)],))):
             after: dict[int, tuple[float, str]] = {}
             for history, (score, made) in best.items():
                 for letters, cost in choice:
@@ -169,20 +197,79 @@ class Channel:
                     if h not in after or after[h][0] < total:
                         after[h] = (total, made + letters)
             best = after
-            likeliest = max(best.values())
-            if len(likeliest[1]) > 256:  # paths have met long before: what they share is settled
-                head = likeliest[1][:-128]
-                done.append(head)
-                best = {h: (x, made[len(head) :]) for h, (x, made) in best.items() if made.startswith(head)}
+            if at % 64 == 63:
+                likeliest = max(best.values())[1]
+                if len(likeliest) > 256:  # paths have met long before: what they share is settled
+                    head = likeliest[:-128]
+                    done.append(head)
+                    best = {h: (x, made[len(head) :]) for h, (x, made) in best.items() if made.startswith(head)}
         return ("".join(done) + max(best.values())[1]).strip()
 
 
-def restore_text(text: str, channel: Channel, known: dict, telling: Telling | None = None) -> list[str]:
-    """The distinct restored words of a text."""
-    text = text.lower()
-    tokens = text.split()
-    found = {w for t in {*tokens} for w in words(t, channel, known, telling)}
-    return [*found.union(apart(text, channel, known), telling.joined(tokens, channel, known) if telling else ())]
+def _fold_table() -> tuple[np.ndarray, np.ndarray]:
+    """What stands for one another is one number; 0 is dropped.  In the second table EITHER is dropped too."""
+    same = {"l": "i", "g": "b"} | {c: x[0].replace("l", "i").replace("g", "b") for c, x in LEET.items()}
+    first = np.array([ord(same.get(chr(i), chr(i))) if chr(i).isalnum() or chr(i) in same and chr(i) != "*" else 0 for i in range(0x3001)], np.uint32)
+    second = first.copy()
+    second[[ord(c) for c in EITHER]] = 0
+    return first, second
+
+
+_FOLDS = _fold_table()
+
+
+def _folded(text: str, fold: np.ndarray) -> tuple[str, np.ndarray]:
+    """The folded text without repetitions, and where its characters stand."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = np.where(points < len(fold), fold[np.minimum(points, len(fold) - 1)], points)
+    at = np.flatnonzero(kinds)
+    kinds = kinds[at]
+    new = np.ones(len(at), bool)
+    new[1:] = kinds[1:] != kinds[:-1]
+    return kinds[new].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), at[new]
+
+
+class Telling:
+    """Finds where the telling words of an index may stand, however they are written."""
+
+    def __init__(self, index: dict[str, int]):
+        self.longest = 0
+        self.search = None
+        folded = {_folded(f[:-1], _FOLDS[0])[0] for f in index if f.endswith("$") and len(f) > 3} - {""}
+        if folded:
+            self.longest = max(map(len, folded))
+            self.search = ahocorasick.Automaton()
+            for x in sorted(folded):
+                self.search.add_word(x, len(x))
+            self.search.make_automaton()
+
+    def hits(self, text: str) -> Iterator[tuple[int, int]]:
+        """(begin, end) of each place where a folded telling word stands."""
+        if not self.search:
+            return
+        for fold in _FOLDS if any(c in text for c in EITHER) else _FOLDS[:1]:
+            lo = 0
+            while lo < len(text):
+                folded, at = _folded(text[lo : lo + PART], fold)
+                for last, n in self.search.iter(folded):
+                    yield lo + int(at[last - n + 1]), lo + int(at[last]) + 1
+                if lo + PART >= len(text):
+                    break
+                # the next part begins where a word that the cut may have split can begin
+                lo = max(lo + 1, lo + int(at[-self.longest])) if len(at) > self.longest else lo + PART - 1
+
+    def places(self, text: str) -> set[str]:
+        """The pieces of text around the hits, without those that are such a word as it is."""
+        found = set()
+        for begin, end in self.hits(text):
+            low, high = max(0, begin - AROUND), end + AROUND
+            left = max((x.end() for x in _BLANK.finditer(text, low, begin)), default=low)
+            right = _BLANK.search(text, end, high)
+            right = right.start() if right else min(len(text), high)
+            piece = text[left:right]
+            if right - left != end - begin or not piece.isalpha() or _STRETCHED.search(piece):
+                found.add(piece)
+        return found
 
 
 def _remember(known: dict, key: tuple, make: Callable[[], str]) -> str:
@@ -190,7 +277,7 @@ def _remember(known: dict, key: tuple, make: Callable[[], str]) -> str:
         if len(known) >= REMEMBERED:
             known.clear()
         made = make()
-        if len(made) >= 256:
+        if len(key[1]) > 4 * SHORT:
             return made
         known[key] = made
     return known[key]
@@ -202,91 +289,120 @@ def apart(text: str, channel: Channel, known: dict) -> set[str]:
     return {w for run in runs if _LETTER.search(run) for w in _remember(known, ("apart", run), lambda run=run: channel.restore(run)).split()}
 
 
+def found_at(places: set[str], channel: Channel, known: dict) -> set[str]:
+    """Words of the likeliest reading of each place, with its gaps and without the blanks it may lack."""
+    words = set()
+    for place in places:
+        single = max(len(x.strip(_EDGE + "-_*")) for x in place.split()) <= 1
+        words.update(_remember(known, ("place", place), lambda place=place, gap=_LOOSE if single else _TIGHT: channel.restore(place, gap, cut=True)).split())
+    return words
+
+
 def _bare(word: str) -> str:
     return _TAIL_MARKS.sub("", _LONG_RUN.sub("", word)).strip(_EDGE)
 
 
-def restored(token: str, channel: Channel, known: dict) -> str:
+def words(token: str, channel: Channel, known: dict) -> set[str]:
+    """The words of a token by itself: its letters between other characters, and its reading if a mark in it is open."""
     word = token.strip(_EDGE)
-    if not word.isalpha() or _ODD.search(word):
-        word = _bare(word)
-        if _ODD.search(word) and not word.isdigit():
-            word = _remember(known, ("whole", word), lambda: channel.restore(word))
-    return word
+    if word.isalpha():
+        return {word}
+    word = _bare(word)
+    if word.isalpha():
+        return {word}
+    found = {*_PIECES.findall(word)}
+    if _OPEN.search(word):
+        found.update(_remember(known, ("cut", word), lambda: channel.restore(word, cut=True)).split())
+    return found
 
 
-def words(token: str, channel: Channel, known: dict, telling: Telling | None = None) -> set[str]:
-    """The restored token, and the words it holds (plain letters only if one of them can be ``telling``)."""
-    found = {restored(token, channel, known)}
-    word = token.strip(_EDGE)
-    if not word.isalpha():
-        word = _bare(word)
-    if (len(word) > 6 and (telling is None or telling.inside(word)) if word.isalpha() else _LETTER.search(word)):
-        found.update(_remember(known, ("cut", word), lambda: channel.restore(word, cut=True)).split())
+def decoded(token: str, channel: Channel, known: dict) -> set[str]:
+    """The words of a token read as a whole: what learning tries as features."""
+    found = words(token, channel, known)
+    word = _bare(token.strip(_EDGE))
+    if len(word) <= SHORT and (not word.isalpha() or _STRETCHED.search(word)):
+        found |= {_remember(known, ("whole", word), lambda: channel.restore(word))}
     return found
 
 
-class Telling:
-    """Joins neighbouring tokens that are pieces of a telling word."""
-
-    def __init__(self, index: Collection[str]):
-        self.words = {f[:-1] for f in index if f.endswith("$")}
-        self.opens = {w[:n] for w in self.words for n in range(1, len(w))}
-        self.stems = {f.removesuffix("$") for f in index}
-        self.sizes = sorted({*map(len, self.stems)})
-
-    def inside(self, word: str) -> bool:
-        """Can a word that begins behind the first letter, or ends before the last, have a feature of the index?"""
-        return any(word[i : i + n] in self.stems for n in self.sizes for i in range(1, len(word) - n + 1)) or any(word[:n] in self.words for n in self.sizes)
-
-    def joined(self, tokens: list[str], channel: Channel, known: dict) -> set[str]:
-        found: set[str] = set()
-        for i, token in enumerate(tokens):
-            if token in self.opens:
-                made, j = token, i
-                while made in self.opens and j + 1 < len(tokens):
-                    j += 1
-                    last = tokens[j].strip(_EDGE)
-                    made += last
-                    if made in self.words and last and made not in found:
-                        near = " ".join([*tokens[max(0, i - 1) : j], last, *tokens[j + 1 : j + 2]])
-                        if len(near) < 256 and made in _remember(known, ("near", near), lambda near=near: channel.restore(near, _TIGHT)).split():
-                            found.add(made)
-                    if not last:
-                        break
-        return found
+def restore_text(text: str, channel: Channel, known: dict, telling: Telling) -> set[str]:
+    """The distinct restored words of a text."""
+    text = text.lower()
+    found = {w for t in {*text.split()} for w in words(t, channel, known)}
+    return found | found_at(telling.places(text), channel, known) | apart(text, channel, known)
 
 
 def features(word: str) -> list[str]:
     if not word:
         return []
-    return [word[:40] + "$", *(word[:n] for n in range(3, min(len(word), 8) + 1))]
+    return [word + "$", *(word[:n] for n in range(4, min(len(word), 8) + 1))]
 
 
 def _candidates(model: np.ndarray):
     def run(batches):
         channel, known = Channel(model), {}
+
+        class Tried(dict):
+            def __missing__(self, token: str) -> set[str]:
+                if len(self) >= REMEMBERED:
+                    self.clear()
+                found = decoded(token, channel, known)
+                if len(token) <= SHORT:
+                    self[token] = found
+                return found
+
+        tried = Tried()
         for batch in batches:
-            for i, text in enumerate(batch.column(1)):
-                found = {f for w in restore_text(text.as_py(), channel, known) for f in features(w)}
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), pa.int32()), pa.array(list(found), pa.string())], ["label", "feature"])
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py().lower()
+                found = {w for t in {*text.split()} for w in tried[t]} | apart(text, channel, known)
+                found.discard("")
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(found), doc.type), pa.array([*found], pa.string())], ["doc", "word"])
 
     return run
 
 
+def _reader(model: np.ndarray, index: dict[str, int]) -> Callable[[str], dict[int, int]]:
+    """Counts, for a text, the restored words that have each feature of the index."""
+    channel, known, telling = Channel(model), {}, Telling(index)
+    heads = {f[:4] for f in index}
+    remembered: dict[str, list[tuple[str, list[int]]]] = {}  # tokens with such words
+    without: set[str] = set()
+
+    def weighed(found: set[str]) -> list[tuple[str, list[int]]]:
+        return [(w, hits) for w in found if (w + "$")[:4] in heads and (hits := [index[f] for f in features(w) if f in index])]
+
+    def read(text: str) -> dict[int, int]:
+        text = text.lower()
+        hit: dict[str, list[int]] = {}
+        for token in {*text.split()} - without:
+            found = remembered.get(token)
+            if found is None:
+                found = weighed(words(token, channel, known))
+                if len(token) <= SHORT and found:
+                    remembered[token] = found
+                elif len(token) <= SHORT:
+                    without.add(token)
+            hit.update(found)
+        if len(without) + len(remembered) > REMEMBERED:
+            without.clear()
+            remembered.clear()
+        hit.update(weighed(apart(text, channel, known) | found_at(telling.places(text), channel, known)))
+        counts: dict[int, int] = {}
+        for hits in hit.values():
+            for f in hits:
+                counts[f] = counts.get(f, 0) + 1
+        return counts
+
+    return read
+
+
 def _present(model: np.ndarray, index: dict[str, int]):
     def run(batches):
-        channel, known, telling = Channel(model), {}, Telling(index)
+        read = _reader(model, index)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                counts: dict[int, int] = {}
-                for w in restore_text(text.as_py(), channel, known, telling):
-                    for f in features(w):
-                        if f in index:
-                            counts[index[f]] = counts.get(index[f], 0) + 1
-                rows.append(list(counts.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[k for k, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[v for _, v in r] for r in rows], pa.list_(pa.int32()))], ["label", "at", "n"])
+            rows = [read(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[*r] for r in rows], pa.list_(pa.int32())), pa.array([[*r.values()] for r in rows], pa.list_(pa.int32()))], ["doc", "at", "n"])
 
     return run
 
@@ -312,82 +428,101 @@ def logistic(at: list, n: list, y: np.ndarray, width: int, penalty: float, steps
 
 
 def _score(model: np.ndarray, index: dict[str, int], weight: list[float], bias: float):
-    class Found(dict):
-        """Words of a token that have features the classifier weighs, with these."""
-
-        def __missing__(self, token: str) -> list[tuple[str, list[int]]]:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            found = [(w, hits) for w in words(token, channel, known, telling) if (hits := weighed(w))]
-            if len(token) < 64:
-                self[token] = found
-            return found
-
-    def weighed(word: str) -> list[int]:
-        return [index[f] for f in features(word) if f in index]
-
-    channel, known, telling = Channel(model), {}, Telling(index)
-
     def run(batches):
-        remembered = Found()
+        read = _reader(model, index)
         for batch in batches:
             scores = []
-            for x in batch.column(batch.num_columns - 1):
-                text = x.as_py().lower()
-                tokens = text.split()
-                hit = {w: hits for token in {*tokens} for w, hits in remembered[token]}
-                hit |= {w: weighed(w) for w in apart(text, channel, known) | telling.joined(tokens, channel, known)}
-                counts: dict[int, int] = {}
-                for hits in hit.values():
-                    for f in hits:
-                        counts[f] = counts.get(f, 0) + 1
-                z = bias + sum(weight[f] * math.log1p(c) for f, c in sorted(counts.items()))
+            for x in batch.column(1):
+                z = bias + sum(weight[f] * math.log1p(c) for f, c in sorted(read(x.as_py()).items()))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
     return run
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, max_labelled: int) -> DataFrame:
-    """(label, text) of the bounded sample of labelled rows, staged."""
+    """(doc, label, text) of the bounded sample of labelled rows: one row an id and one of near copies; staged."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull() & ~lost()).groupBy("doc_id").agg(F.max(name).cast("int").alias("label"))
     sample = stage(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
-    return stage(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("label", "text"), "labelled")
+    mine = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = stage(mine.select("doc_id", "label", "text").mapInArrow(_sketched, f"doc {kind}, label int, text string, sketch long, row long"), "told")
+    copies = told.groupBy("doc").agg(F.min(F.struct("sketch", "row")).alias("x")).groupBy("x.sketch").agg(F.min("x.row").alias("row"))
+    return stage(told.join(F.broadcast(copies.select("row")), "row").select("doc", "label", "text"), "labelled")
 
 
-def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> DataFrame:
-    """All columns of ``docs`` and ``_score``; learns from ``labels`` (doc_id, toxic)."""
-    spark = docs.sparkSession
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        texts = [x.as_py().encode() for x in batch.column("text")]
+        least = []
+        for t in texts:
+            found = shingle_sets([t])[0]
+            least.append(int(found.min().view(np.int64)) if len(found) else 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64()), pa.array(range(row, row + len(batch)), pa.int64())], ["doc", "label", "text", "sketch", "row"])
+        row += len(batch)
+
+
+def _logs(a: str, e: str) -> Column:
+    return F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / F.col(e))).otherwise(0.0)
+
+
+def choose(pairs: DataFrame, known: pd.DataFrame, evidence: float) -> list[str]:
+    """Words that tell label 1, by forward choice over staged ``pairs`` (doc, word); ``known`` has doc and label."""
+    spark, y = pairs.sparkSession, known["label"].to_numpy(float)
+    chosen: list[str] = []
+    chance = np.full(len(y), y.mean())
+    for _ in range(ROUNDS):
+        told = known.assign(y=y, p=np.clip(chance, 1e-3, 1 - 1e-3))[["doc", "y", "p"]]
+        told = F.broadcast(spark.createDataFrame(pa.Table.from_pandas(told, preserve_index=False)))
+        # a: rows of label 1 with the word, e: how many of them are explained; the exponent of Chernoff's bound
+        sums = pairs.join(told, "doc").groupBy("word").agg(F.sum("y").alias("a"), F.sum("p").alias("e"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+        sums = sums.withColumns({"b": F.col("n") - F.col("a"), "rest": F.col("n") - F.col("e")})
+        sums = stage(sums.select("word", F.when((F.col("a") >= 2) & (F.col("a") > F.col("e")), _logs("a", "e") + _logs("b", "rest")).alias("gain")), "sums")
+        count, top = sums.agg(F.count(F.lit(1)), F.max("gain")).first()
+        least = evidence + math.log(max(1, count))
+        new = [] if top is None or top <= least else [r["word"] for r in sums.where(F.col("gain") >= max(least, SHARE * top)).select("word").orderBy("word").collect()]
+        new = [x for x in new if x not in set(chosen)]
+        if not new:
+            break
+        chosen += new
+        index = spark.createDataFrame([(x, i) for i, x in enumerate(chosen)], "word string, i int")
+        hits = pairs.join(F.broadcast(index), "word").select("doc", "i").toPandas().groupby("doc")["i"].apply(sorted)
+        at = [hits.get(d, []) for d in known["doc"]]
+        weight, bias = logistic(at, [[1] * len(x) for x in at], y, len(chosen), 1e-4, 150)
+        chance = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, bias + math.log(2) * sum(weight[i] for i in x))))) for x in at])
+    return sorted(chosen)
+
+
+def scored(docs: DataFrame, labels: DataFrame, carry: str = "*", max_labelled: int = MAX_LABELLED, evidence: float = EVIDENCE) -> DataFrame:
+    """(row, score): each row of ``docs`` (what of it is carried) as a struct, with its score; learns from ``labels`` (doc_id, toxic)."""
     model = letter_model(docs)
     learn = labelled(docs, labels, "toxic", max_labelled)
-    size = {r["label"]: r["n"] for r in learn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
+    known = learn.select("doc", "label").toPandas().sort_values(["doc"], kind="stable").reset_index(drop=True)
+    pos = int(known["label"].sum())
     index, weight, bias = {}, [], 30.0 if pos else -30.0
-    if pos and neg:
-        found = learn.repartition(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(_candidates(model), "label int, feature string").groupBy("feature").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        # a signed likelihood ratio: what label 1 makes likelier first
-        p, q = (F.col("a") + 0.1) / (pos + 0.2), (F.col("b") + 0.1) / (neg + 0.2)
-        gain = F.col("a") * F.log(p / q) + (pos - F.col("a")) * F.log((1 - p) / (1 - q))
-        best = found.where((F.col("a") >= 2) & (p > 2 * q)).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(max_features).collect()
-        index = {r["feature"]: i for i, r in enumerate(best)}
-        rows = learn.repartition(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(_present(model, index), "label int, at array<int>, n array<int>").toPandas()
-        rows = rows.sort_values(["label"], kind="stable")
-        fitted, bias = logistic(list(rows["at"]), list(rows["n"]), rows["label"].to_numpy(float), len(index), 1e-4)
+    if 0 < pos < len(known):
+        spread = learn.repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
+        kind = learn.schema["doc"].dataType.simpleString()
+        pairs = stage(spread.select("doc", "text").mapInArrow(_candidates(model), f"doc {kind}, word string"), "pairs")
+        index = {f: i for i, f in enumerate(sorted({f for w in choose(pairs, known, evidence) for f in features(w)}))}
+        rows = spread.select("doc", "text").mapInArrow(_present(model, index), f"doc {kind}, at array<int>, n array<int>").toPandas()
+        rows = known.merge(rows, "left", on="doc")
+        fitted, bias = logistic(list(rows["at"]), list(rows["n"]), rows["label"].to_numpy(float), len(index), 1e-5, 800)
         weight = fitted.tolist()
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    return docs.select("*", text_or_empty().alias("_text")).mapInArrow(_score(model, index, weight, bias), schema)
+    carried = docs.select(F.struct(carry).alias("row"), text_or_empty().alias("text"))
+    return carried.mapInArrow(_score(model, index, weight, bias), f"row {carried.schema['row'].dataType.simpleString()}, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **limits: int) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
     """(doc_id, held_out, score) for every row of ``docs``."""
-    rows = scored(docs.select("doc_id", "text"), labels, **limits)
-    return rows.select("doc_id", lost().alias("held_out"), F.col("_score").alias("score"))
+    rows = scored(docs, labels, "doc_id", **limits)
+    return rows.select("row.doc_id", lost("row.doc_id").alias("held_out"), "score")
 
 
-def nontoxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **limits: int) -> DataFrame:
+def nontoxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **limits: float) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``."""
-    return scored(docs, labels, **limits).where(F.col("_score") < threshold).drop("_score")
+    return scored(docs, labels, **limits).where(F.col("score") < threshold).select("row.*")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Toxicity, quality, the pipeline and the registered queries."""
 
+import itertools
 import random
+import time
 import zlib
 
 import duckdb
@@ -23,15 +25,16 @@ def auc(scores, labels):
     return (order[np.array(labels) == 1].sum() - p * (p + 1) / 2) / (p * (len(labels) - p))
 
 
-def held_out(frame, name):
-    labels = dict(duckdb.sql(f"select doc_id, {name} from '{SF}/labels.parquet'").fetchall())
+def held_out(frame, name, sf=SF):
+    labels = dict(duckdb.sql(f"select doc_id, {name} from '{sf}/labels.parquet'").fetchall())
     rows = [(r["score"], labels[r["doc_id"]], r["predicted"]) for r in frame.collect() if r["held_out"] and r["doc_id"] in labels]
     return zip(*rows, strict=True)
 
 
 def test_toxicity_on_held_out_rows(spark):
-    frame = op5_toxicity.op5_toxicity(spark, SF)
-    scores, labels, predicted = held_out(frame, "toxic")
+    sf = "/root/testdata/sf0.1"  # sf0.01 has six toxic rows held out, two of them without any telling word
+    frame = op5_toxicity.op5_toxicity(spark, sf).cache()
+    scores, labels, predicted = held_out(frame, "toxic", sf)
     assert auc(scores, labels) > 0.97
     assert np.mean(np.array(labels) == np.array(predicted)) > 0.94
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in frame.limit(50).collect())
@@ -45,35 +48,91 @@ def test_quality_on_held_out_rows(spark):
 
 @pytest.fixture(scope="module")
 def channel(spark):
-    docs = spark.createDataFrame([(i, "you are an idiot and a loser, such trash is worthless. hello there, the house is nice " * 20) for i in range(8)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "you are an idiot and a loser, such trash is worthless. hello there, the house is nice 2024 455 " * 20) for i in range(8)], "doc_id long, text string")
     return op5_toxicity.Channel(op5_toxicity.letter_model(docs))
 
 
-@pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("l0$er", "loser"), ("tr@sh", "trash"), ("idiooooot", "idiot"), ("w*rthless", "worthless"), ("id.iot", "idiot"), ("idiot***", "idiot"), ("(idiot)!!", "idiot"), ("hello", "hello"), ("2024", "2024"), ("", "")])
+TELLING = op5_toxicity.Telling({f: i for i, f in enumerate(f for w in ("idiot", "loser", "trash", "worthless") for f in op5_toxicity.features(w))})
+
+
+def read(text, channel):
+    return op5_toxicity.restore_text(text, channel, {}, TELLING)
+
+
+@pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("l0$er", "loser"), ("tr@sh", "trash"), ("idiooooot", "idiot"), ("w*rthless", "worthless"), ("id.iot", "idiot"), ("idiot***", "idiot"), ("(idiot)!!", "idiot"), ("hello", "hello"), ("$ t r a s h", "trash"), ("7r45h", "trash")])
 def test_channel_restores(channel, token, word):
-    assert op5_toxicity.restored(token, channel, {}) == word
+    assert word in read(token, channel)
+
+
+def best_path(channel, text, gap, cut):
+    """Brute force: the best of all paths through a lattice."""
+    best = []
+    for path in itertools.product(*channel.lattice(text, gap, cut), [(" ", 0.0)]):
+        h, total = 0, 0.0
+        for letters, cost in path:
+            total += cost
+            for x in letters:
+                s = 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else 27
+                total += channel.model[h][s]
+                h = (h * 28 + s) % 28**3
+        best.append((total, "".join(x for x, _ in path).strip()))
+    top = max(best)[0]
+    return {made for total, made in best if total > top - 1e-9}
+
 
+@pytest.mark.parametrize("cut", [False, True])
+@pytest.mark.parametrize("text", ["", "1d10t", "a b c", "lo $er", "x!y", "555", "tr@*h", "aaa b", "é1.", "id iot", "4!"])
+def test_viterbi_equals_all_paths(channel, text, cut):
+    for gap in (op5_toxicity._LOOSE, op5_toxicity._TIGHT):
+        assert channel.restore(text, gap, cut) in best_path(channel, text, gap, cut)
 
-def test_letters_set_apart(channel):
-    assert "idiot" in op5_toxicity.restore_text("what an I D I O T he is", channel, {})
-    assert "idiot" in op5_toxicity.restore_text("i-d-i-o-t", channel, {})
 
+def test_digits_are_in_the_lattice(channel):
+    assert channel.restore("2024") == "2024"  # a digit may be itself
+    assert {x for x, _ in next(channel.lattice("5"))} == {"s", "5"}
 
-@pytest.mark.parametrize("text", ["you are an i d i o t", "a n i d i o t", "y o u i d i o t", "an i  d  i\to\nt", "1 d 1 0 t", "hello 1 d i o t", "i. d. i. o. t"])
+
+@pytest.mark.parametrize("text", ["what an I D I O T he is", "i-d-i-o-t", "you are an i d i o t", "a n i d i o t", "y o u i d i o t", "an i  d  i\to\nt", "1 d 1 0 t", "hello 1 d i o t", "i. d. i. o. t"])
 def test_gaps_are_in_the_lattice(channel, text):
-    assert "idiot" in op5_toxicity.restore_text(text, channel, {})
+    assert "idiot" in read(text, channel)
 
 
 def test_words_in_chunks(channel):
-    telling = op5_toxicity.Telling(["idiot$", "idi", "loser$"])
     for text in ("you are an id iot and a house", "you are an i di\n ot. and", "a lo ser, such"):
-        assert {"idiot", "loser"} & {*op5_toxicity.restore_text(text, channel, {}, telling)}
-    assert "idiot" not in op5_toxicity.restore_text("an id is nice", channel, {}, telling)
+        assert {"idiot", "loser"} & read(text, channel)
+    assert "idiot" not in read("an id is nice", channel)
 
 
 @pytest.mark.parametrize("token", ["hello,idiot", "you.idiot", "you/idiot", "you!idiot", "hello,1d10t", "youareanidiot", "youarean" * 80 + "1d10t", ("hello," * 100) + "idiooooot"])
 def test_tokens_are_read_to_their_end(channel, token):
-    assert "idiot" in op5_toxicity.restore_text(token, channel, {})
+    assert "idiot" in read(token, channel)
+
+
+def test_folding_finds_words_across_parts(channel, monkeypatch):
+    text = "x y " * 50 + "1 d 1 . 0 t" + " z" * 50
+    whole = sorted(set(TELLING.hits(text)))
+    monkeypatch.setattr(op5_toxicity, "PART", 40)
+    assert whole and sorted(set(TELLING.hits(text))) == whole
+
+
+@pytest.mark.parametrize("text", ["1" * 400_000, "ab" * 200_000, "9f" * 200_000, "x " * 200_000, "!" * 300_000, "sh1t" + "x9" * 100_000, "a1 " * 100_000, " " * 2_000_000])
+def test_very_long_tokens_end_soon(channel, text):
+    began = time.perf_counter()
+    read(text, channel)
+    assert time.perf_counter() - began < 60
+
+
+def test_copies_are_no_evidence(spark, docs_of):
+    """A word that stands in copies of one toxic text only is not chosen; the telling word is."""
+    rng = random.Random(7)
+    plain = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "nice", "house"], k=30))
+    rows = [(i, plain() + (" idiot " + plain() if i % 3 == 0 else ""), "s") for i in range(300)]
+    base = "idiot zebra " + plain()
+    rows += [(1000 + i, f"{base} {i % 7}", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, int("idiot" in t), 0) for i, t, _ in rows], "doc_id long, toxic int, quality int")
+    docs = docs_of([*rows, (5000, "zebra " + plain(), "s"), (5001, plain() + " 1d10t", "s")])
+    got = {r["doc_id"]: r["score"] for r in op5_toxicity.toxicity(docs, labels).collect()}
+    assert got[5000] < 0.5 < got[5001]
 
 
 def test_letter_counts_grow_with_all_texts(spark):
@@ -99,6 +158,8 @@ def test_classifiers_on_odd_input(spark, docs_of):
     assert toxic[1] > 0.5 > toxic[2] and toxic[1003] > 0.5 > toxic[1001]
     kept = op5_toxicity.nontoxic(docs, odd_labels(spark))
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+    clash = docs.withColumns({"_score": F.lit(1), "score": F.lit(2), "row": F.lit(3), "_text": F.lit("x")})
+    assert op5_toxicity.nontoxic(clash, odd_labels(spark)).columns == clash.columns
 
 
 def test_classifiers_without_labels_or_rows(spark, docs_of):
