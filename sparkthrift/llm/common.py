@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,21 +14,24 @@ from pyspark.sql import functions as F
 
 #: Rows (of a few numbers or short strings) that a broadcast side may have; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 #: A word, in Java's and RE2's syntax.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_scope = ""
+_scope: ContextVar[str] = ContextVar("scope", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder in the one all executors share: spark.checkpoint.dir, or (tests only) a local one."""
+    """A folder in the one that all executors share, spark.checkpoint.dir; a local one only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stage-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stage-{spark.sparkContext.applicationId}{_scope}"
+    return f"{base.rstrip('/')}/stage-{spark.sparkContext.applicationId}{_scope.get()}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -38,27 +43,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the staged tables of the present scope.  Call it only when every result built on them has been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scope(name: str) -> Iterator[str]:
+    """Tables staged inside get a folder of their own, whose name ``release`` takes."""
+    own = f"-{name}-{uuid.uuid4().hex}"
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
-def scoped(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Runs ``make`` with a scope of its own for staged tables, and removes those of an earlier call of this scope."""
-    global _scope
-    before, _scope = _scope, f"-{name}"
+def release(spark: SparkSession, own: str = "") -> None:
+    """Removes the staged tables of a scope (or those of no scope).  Call it only when every result built on them has been written."""
+    token = _scope.set(own)
     try:
-        release(spark)
-        return make()
+        remove(spark, shared_dir(spark))
     finally:
-        _scope = before
+        _scope.reset(token)
 
 
-def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a staged table for broadcast if its counted rows allow it; beyond
-    the bound the join shuffles, with the same result."""
-    return F.broadcast(small) if small.count() <= rows else small
+def bounded(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a staged table for broadcast if its counted rows and their bytes
+    (eight a value, and those of strings) allow it; beyond the bounds the join
+    shuffles, with the same result."""
+    wide = [F.octet_length(f.name) for f in small.schema if f.dataType.typeName() in ("string", "binary")]
+    each = reduce(Column.__add__, [F.coalesce(x, F.lit(0)) for x in wide], F.lit(8 * len(small.columns)))
+    n, held = small.agg(F.count(F.lit(1)), F.sum(each)).first()
+    return F.broadcast(small) if n <= rows and (held or 0) <= size else small
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -16,9 +16,12 @@ together; with other ``weights`` a dry queue's share goes to the others.
 
 Defined cases: null or empty text is one token, the end id; a null source is a
 queue of its own; repeated rows and ids are documents of their own; a null
-doc_id stays null; texts are read whole, whatever their length; extra columns
-are ignored; no rows give no rows.  Totals of the sources (one number each) are
-held on the driver: sources are the mixture's queues, not its documents.
+doc_id stays null; texts are read whole, whatever their length; a text that
+holds an added token's characters gets that token's id, as the tokenizer by
+default does; extra columns are ignored; no rows give no rows.  Totals of the sources (one number each) are
+held on the driver, and each quantum's position takes time in proportion to them:
+sources are the mixture's queues, not its documents.  Calling ``pack`` runs the
+jobs that tokenise; cutting into pieces is left to the caller.
 """
 
 from __future__ import annotations
@@ -38,29 +41,38 @@ from .common import bounded, stage, table, text_or_empty
 
 #: Pieces between blanks whose ids a worker remembers.
 REMEMBERED = 300_000
+#: Characters of a piece, at most, for the faster encoder, whose pattern matcher fails on very long white space.
+FAST_CHARS = 2_000
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder(dict):
-    """Byte-level BPE ids as little-endian bytes; remembers pieces between single blanks.
+    """Ids of a ``tokenizers`` file as little-endian bytes; remembers pieces between blanks.
 
-    A blank that has no white space after it starts a new token whatever comes
-    before, so such texts are encoded piece by piece with the same ids.
+    A blank that no white space follows starts a new token whatever comes before,
+    so texts are encoded piece by piece with the same ids.  Short pieces without
+    added tokens go through the same vocabulary's faster encoder.
     """
 
-    unsafe = re.compile(r" (?:\s|\Z)")
+    cuts = re.compile(r" (?=\S)")
+    spaced = re.compile(r" (?:\s|\Z)")
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, ranks: str, pattern: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
-        self.whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(ranks, "rb") as lines:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.own = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.own.get_added_tokens_decoder().values()]
+        self.kind = "<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4"
+        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={}).encode_ordinary
 
     def bytes_of(self, text: str) -> bytes:
-        return np.array(self.whole(text), self.kind).tobytes()
+        if len(text) > FAST_CHARS or any(x in text for x in self.added):
+            return np.array(self.own.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return np.array(self.fast(text), self.kind).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -71,21 +83,19 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if self.unsafe.search(text):
-            return self.bytes_of(text)
-        first, *pieces = text.split(" ")
+        first, *pieces = self.cuts.split(text) if self.spaced.search(text) else text.split(" ")
         return self.bytes_of(first) + b"".join(map(self.__getitem__, pieces))
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, ranks: str, pattern: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path, pattern)
+        _encoders[path] = Encoder(path, ranks, pattern)
     return _encoders[path]
 
 
-def _tokenize(path: str, pattern: str):
+def _tokenize(path: str, ranks: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, pattern)
+        code = encoder(path, ranks, pattern)
         block, places, end = TaskContext.get().partitionId(), {}, np.zeros(1, code.kind).tobytes()
         for batch in batches:
             for part in range(0, len(batch), 512):
@@ -169,7 +179,7 @@ def _pieces(schedule: Schedule, names: dict, window: int, kind: str, keep_ids: b
     return run
 
 
-def pack(docs: DataFrame, *, tokenizer_path: str, pattern: str, window: int = 1024, quantum: int = 128, weights: dict[str | None, float] | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer_path: str, ranks_path: str, pattern: str, window: int = 1024, quantum: int = 128, weights: dict[str | None, float] | None = None, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``weights`` are target proportions by source (all sources present must have
@@ -178,7 +188,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, pattern: str, window: int = 10
     """
     if not 1 <= quantum <= window:
         raise ValueError("quantum must be between 1 and window")
-    coded = docs.select("doc_id", "source", text_or_empty().alias("text")).mapInArrow(_tokenize(tokenizer_path, pattern), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, block long, place long, tokens long, ids binary")
+    coded = docs.select("doc_id", "source", text_or_empty().alias("text")).mapInArrow(_tokenize(tokenizer_path, ranks_path, pattern), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, block long, place long, tokens long, ids binary")
     coded = stage(coded, "coded")
     parts = stage(coded.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "parts")
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,7 +197,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, pattern: str, window: int = 10
     names = {r["source"]: i for i, r in enumerate(totals)}
     chosen = None if weights is None else [float(weights[r["source"]]) for r in totals]
     schedule = Schedule([r["tokens"] for r in totals], chosen, quantum)
-    kind = encoder(tokenizer_path, pattern).kind
+    kind = encoder(tokenizer_path, ranks_path, pattern).kind
     placed = coded.join(bounded(places), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     placed = placed.select("doc_id", "source", (F.col("base") + F.col("place")).alias("begin"), "tokens", "ids")
     columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -195,10 +205,10 @@ def pack(docs: DataFrame, *, tokenizer_path: str, pattern: str, window: int = 10
 
 
 def public_tokenizer() -> dict[str, str]:
-    """The 50k byte-level BPE vocabulary as ranks (the ids of byte_bpe_50k.json) and its pattern."""
+    """The 50k byte-level BPE vocabulary, the same as ranks, and its pattern."""
     import public_tokenizers
 
-    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

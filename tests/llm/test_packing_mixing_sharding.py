@@ -19,7 +19,6 @@ def ids():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     return lambda t: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -69,8 +68,14 @@ def test_encoder_fast_path_equals_whole_text():
     code = op1_packing.encoder(*op1_packing.public_tokenizer().values())
     rng = random.Random(5)
     for _ in range(300):
-        text = "".join(rng.choices(["a", "Foo", "it's", " ", " ", "  ", "\n", "\n ", " \n", " ", "12", "!!", "é", "\x1c"], k=rng.randint(0, 12)))
-        assert code.encode(text) == code.bytes_of(text)
+        text = "".join(rng.choices(["<|endoftext|>", "a", "Foo", "it's", " ", " ", "  ", "\n", "\n ", " \n", " ", "12", "!!", "é", "\x1c"], k=rng.randint(0, 12)))
+        assert code.encode(text) == np.array(code.own.encode(text, add_special_tokens=False).ids, code.kind).tobytes()
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000, "\n" * 1_200_000, "x" * 300_000, "<|endoftext|> a", "a <|endoftext|>b  <|endoftext|>", "1" * 100_000, "é " * 300_000, " x" * 3_000])
+def test_long_texts_and_added_tokens(ids, text):
+    code = op1_packing.encoder(*op1_packing.public_tokenizer().values())
+    assert np.array_equal(np.frombuffer(code.encode(text), code.kind), ids(text)[:-1])
 
 
 def test_packing_nothing(spark, docs_of):
