@@ -16,7 +16,10 @@ Suspects' fingerprints are broadcast to the texts if they are few enough
 Defined cases: null text counts as empty, and empty texts are equal; of equal
 texts the row with the largest doc_id stays (rows without doc_id only if no row
 has one); of rows that also share that doc_id exactly one stays; extra columns
-are carried by ``deduplicate`` and ignored by the report; no rows give no rows.
+are carried by ``deduplicate``, whatever their names, and ignored by the report;
+no rows give no rows.  Groups are made of the bytes; the report then finds its
+rows' groups by 48 + 256 + 64 hashed bits.  Calling either runs the exchange; the
+last join is left to the caller.
 """
 
 from __future__ import annotations
@@ -167,15 +170,15 @@ def exact_groups(docs: DataFrame, **sizes: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **sizes: int) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns (carried as one struct, so any names will do)."""
     suspects = bounded(suspect_prints(docs, **sizes))
-    printed = docs.withColumn("_print", fingerprint(text_or_empty()))
-    alone = printed.join(suspects, printed["_print"] == suspects["print"], "left_anti").drop("_print")
-    doubted = stage(printed.join(suspects, printed["_print"] == suspects["print"], "left_semi").withColumn("_row", F.monotonically_increasing_id()), "doubted")
-    text = text_or_empty()
-    best = doubted.groupBy("_print", F.sha2(text, 256).alias("_hash"), text.alias("_text")).agg(F.max_by("_row", F.struct("doc_id", "_row")).alias("_row"))
-    stays = bounded(stage(best.select("_row"), "stays"))
-    return alone.unionByName(doubted.join(stays, "_row", "left_semi").drop("_row", "_print"))
+    printed = docs.select(F.struct("*").alias("row"), "doc_id", fingerprint(text_or_empty()).alias("print"))
+    alone = printed.join(suspects, "print", "left_anti").select("row.*")
+    doubted = stage(printed.join(suspects, "print", "left_semi").withColumn("place", F.monotonically_increasing_id()), "doubted")
+    text = F.coalesce("row.text", F.lit(""))
+    best = doubted.groupBy("print", F.sha2(text, 256).alias("hash"), text.alias("text")).agg(F.max_by("place", F.struct("doc_id", "place")).alias("place"))
+    stays = bounded(stage(best.select("place"), "stays"))
+    return alone.unionByName(doubted.join(stays, "place", "left_semi").select("row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,5 +129,7 @@ def test_deduplicate_keeps_columns(spark, docs_of):
     assert out.columns == docs.columns
     texts = [r["text"] or "" for r in out.collect()]
     assert sorted(texts) == sorted({t or "" for _, t, _ in ODD})
+    clash = docs.withColumnsRenamed({"hash": "_row", "lang": "print"}).selectExpr("*", "1 as row", "2 as place", "3 as _print")
+    assert op10_dedup.deduplicate(clash).columns == clash.columns and op10_dedup.deduplicate(clash).count() == len(texts)
     assert op10_dedup.deduplicate(docs_of([])).count() == 0
     assert op10_dedup.exact_groups(docs_of([])).count() == 0
