@@ -152,3 +152,45 @@ def test_a_larger_budget_takes_all_that_a_smaller_one_takes(spark, docs_of):
     small = {r["doc_id"] for r in op8_mixing.mix(docs, share=0.3, epochs=1).collect() if r["taken"]}
     large = {r["doc_id"] for r in op8_mixing.mix(docs, share=0.6, epochs=1).collect() if r["taken"]}
     assert small and small < large
+
+
+def test_repeated_rows_are_taken_to_the_target(spark, docs_of):
+    """One doc_id holds most rows of a source, as equal rows and with texts of its own."""
+    rows = [(7, "six words are in this text", "x")] * 100 + [(7, f"text number {i}", "x") for i in range(20)] + [(i, "a b c", "y") for i in range(10)]
+    out = op8_mixing.mix(docs_of(rows), share=0.77, epochs=2).toPandas()
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 6
+    mixed = op8_mixing.mixed(docs_of(rows), share=0.77, epochs=2).collect()
+    assert sum(count(r["text"]) for r in mixed) == out["taken"].sum()
+
+
+@pytest.mark.parametrize("name", ["cut", "of", "passes", "_copy", "row", "copies", "hash", "place", "in", "col"])
+def test_mixing_carries_columns_of_any_name(spark, docs_of, name):
+    docs = docs_of([(i, "a b c", "y") for i in range(10)]).withColumnRenamed("hash", name)
+    out = op8_mixing.mixed(docs)
+    assert out.columns == docs.columns and {r[name] for r in out.collect()} == {"x"}
+
+
+def test_place_is_the_best_dot_product():
+    """Against a plain second version."""
+    rng = np.random.default_rng(4)
+    items = rng.random((200, 3)) / 300
+    room = np.full((4, 3), 0.25)
+    got = op7_sharding.place(items, room.copy())
+    left = [[0.25] * 3 for _ in range(4)]
+    order = sorted(range(200), key=lambda i: (-max(items[i]), -sum(items[i]), i))
+    for i in order:
+        able = [s for s in range(4) if left[s][0] >= items[i][0]]
+        best = max(able, key=lambda s: (sum(a * b for a, b in zip(left[s], items[i], strict=True)), -s)) if able else max(range(4), key=lambda s: (left[s][0], -s))
+        assert got[i] == best
+        left[best] = [a - b for a, b in zip(left[best], items[i], strict=True)]
+
+
+def test_bins_come_out_even(spark, docs_of):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(0, 80))), "s") for i in range(4000)] + [(i, "hot " * 30, "s") for i in range(2000)]
+    out = op7_sharding.shard(docs_of(rows), shards=5, bin_groups=300).toPandas()
+    size = out.groupby("shard")["size"].sum()
+    hot = out[out["size"] == 121]["shard"].mode()[0]
+    others = size.drop(hot)
+    assert others.max() / others.min() < 1.02 and out.groupby("shard")["slot"].max().add(1).sum() == 6000
