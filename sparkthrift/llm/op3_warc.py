@@ -7,10 +7,12 @@ as they are; what it puts after each row is an empty gzip member.  A file has
 one row of about ``chunk_bytes``.
 
 The salvage reader parses member after member (or plain records from version
-line to version line).  A record counts if its version line, its header, its
-length and its block digest hold.  After a failed check the reader logs a gap
-and searches for the next place where a whole record holds, so later records of
-a damaged archive come back and every byte is in a record or in a logged gap.
+line to version line); a member may hold several records.  A record counts if its
+version line, its header, its length and its block digest hold.  After a failed
+check the reader logs a gap and searches for the next place where a whole record
+holds, so later records of a damaged archive come back and every byte is in a
+record or in a logged gap.  A member that is cut short or damaged is inflated as
+far as it goes, and the records that hold in what comes out are saved.
 
 Defined cases: null payload is empty; payloads under ``least`` bytes are never
 revisits; of equal payloads the smallest page_id is the response (rows without
@@ -42,6 +44,8 @@ _MAGIC = b"\x1f\x8b\x08"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 #: Bytes of records in a file, about.
 CHUNK_BYTES = 4 << 20
+#: Compressed bytes inflated at once.
+STEP = 1 << 14
 
 
 def _member(data: bytes) -> bytes:
@@ -151,39 +155,54 @@ def _plain(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int] | Non
     return found[0], block, end + 4
 
 
-def _zipped(data: memoryview, at: int) -> tuple[dict[str, str] | None, bytes, int] | None:
-    """The member that holds at ``at``; an empty member has no header."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """What the member at ``at`` holds as far as it inflates, its end, and whether it is whole."""
     code, made, pos = zlib.decompressobj(31), [], at
     try:
         while not code.eof and pos < len(data):
-            made.append(code.decompress(data[pos : pos + (1 << 16)]))
-            pos += 1 << 16
+            made.append(code.decompress(data[pos : pos + STEP]))
+            pos += STEP
     except zlib.error:
-        return None
-    if not code.eof:
-        return None
-    end = min(pos, len(data)) - len(code.unused_data)
-    whole = b"".join(made)
-    if not whole:
-        return None, b"", end
-    found = _plain(memoryview(whole), 0)
-    return None if not found or found[2] != len(whole) else (found[0], found[1], end)
+        # what inflates before the fault: byte by byte through the step that fails
+        code = zlib.decompressobj(31)
+        made = [code.decompress(data[at:pos])]
+        for i in range(pos, min(pos + STEP, len(data))):
+            try:
+                made.append(code.decompress(data[i : i + 1]))
+            except zlib.error:
+                break
+        return b"".join(made), at, False
+    return b"".join(made), min(pos, len(data)) - len(code.unused_data), code.eof
 
 
-def salvage(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """("record" or "gap", begin, end, header, block) over all bytes of an archive, in order."""
+def _inner(whole: bytes) -> tuple[list[tuple[dict[str, str], bytes]], bool]:
+    """The records that hold inside a member, and whether they are all of it."""
+    found = [(kind, head, block) for kind, _, _, head, block in _walk(whole, zipped=False)]
+    return [(head, block) for kind, head, block in found if kind == "record"], all(kind == "record" for kind, _, _ in found)
+
+
+def _walk(content: bytes, zipped: bool = True) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
     data, at, gap = memoryview(content), 0, None
-    marks = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+    marks = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n" if zipped else rb"WARC/1\.[01]\r\n")
     while at < len(data):
-        found = _zipped(data, at) if data[at : at + 3] == _MAGIC else _plain(data, at)
-        if found:
+        records, end = [], 0
+        if zipped and data[at : at + 3] == _MAGIC:
+            whole, end, sound = _inflate(data, at)
+            records, all_held = _inner(whole)
+            if not sound or not all_held:
+                end = 0
+        elif found := _plain(data, at):
+            records, end = [found[:2]], found[2]
+        if end:
             if gap is not None:
                 yield "gap", gap, at, {}, b""
                 gap = None
-            if found[0] is not None:
-                yield "record", at, found[2], found[0], found[1]
-            at = found[2]
+            for i, (head, block) in enumerate(records):  # the member's bytes count for its first record
+                yield "record", end if i else at, end, head, block
+            at = end
         else:
+            for head, block in records:  # they hold in a member that doesn't: its bytes are a gap all the same
+                yield "record", at, at, head, block
             gap = at if gap is None else gap
             later = marks.search(content, at + 1)
             at = later.start() if later else len(data)
@@ -191,6 +210,15 @@ def salvage(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str], byt
         yield "gap", gap, len(data), {}, b""
 
 
+def salvage(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
+    """("record" or "gap", begin, end, header, block) over all bytes of an archive, in order.
+
+    Records saved from inside a damaged member have no bytes of their own: the
+    member's bytes are in a gap.
+    """
+    return _walk(content)
+
+
 def _number(x: str | None) -> int | None:
     return int(x) if x and re.fullmatch(r"-?\d+", x) else None
 
