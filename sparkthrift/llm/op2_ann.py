@@ -15,8 +15,8 @@ Every row is indexed.  Blocks of the index meet blocks of the queries; a task
 holds one of each and emits k rows a query.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do those shorter than the longest or rows without
-vec_id; rows that share a query's vec_id are not its candidates; repeated query
+components take no part, nor do rows without vec_id; vectors are searched among
+those of their own width, width by width; rows without candidates give no rows; rows that share a query's vec_id are not its candidates; repeated query
 rows are answered once; ties go to the smaller vec_id; fewer than k candidates
 are all returned; extra columns are ignored; no rows give no rows.
 """
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, union_all
 
 #: Vectors that the rotations and the radius are learned on, at most.
 SAMPLE = 8_000
@@ -114,12 +114,17 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int = S
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
     rows = rows.where(_usable(F.col("v"))).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = stage(rows.withColumn("width", F.size("v")), "vectors")
-    n, width, most = rows.agg(F.count(F.lit(1)), F.max("width"), F.max("norm")).first()
-    kind = vectors.schema["vec_id"].dataType.simpleString()
+    widths = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).orderBy("width").collect()
+    if not widths:
+        kind = vectors.schema["vec_id"].dataType.simpleString()
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    return union_all([_nearest(rows.where(F.col("width") == w["width"]), w["n"], w["most"], k, every, sample, index_rows, query_rows) for w in widths])
+
+
+def _nearest(rows: DataFrame, n: int, most: float, k: int, every: int, sample: int, index_rows: int, query_rows: int) -> DataFrame:
+    """The same for staged rows of one width."""
+    kind = rows.schema["vec_id"].dataType.simpleString()
     out = f"query_id {kind}, vec_id {kind}, score double"
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.col("width") == width)
     fit = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
 
     def lengthen(v: np.ndarray) -> np.ndarray:
