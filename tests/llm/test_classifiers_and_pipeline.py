@@ -175,12 +175,42 @@ def test_risk_is_not_negative_and_prior_is_near():
     rng = np.random.default_rng(1)
     pos, neg = rng.normal(2, 1, (3000, 4)), rng.normal(-2, 1, (1000, 4))
     unl = rng.permutation(np.concatenate((rng.normal(2, 1, (3000, 4)), neg)))
-    prior = op9_quality.class_prior(pos, unl)
+    first = op9_quality.separate(pos[::2], unl[::2])
+    others = first.forward(unl[1::2])[0]
+    prior = op9_quality.class_prior(first.forward(pos[1::2])[0], lambda cut: ([int((others >= c).sum()) for c in cut], len(others)))
     assert 0.6 < prior < 0.78
     net = op9_quality.fit(pos, unl, prior, steps=600)
     assert (net.forward(rng.normal(2, 1, (500, 4)))[0] > 0).mean() > 0.97 and (net.forward(rng.normal(-2, 1, (500, 4)))[0] < 0).mean() > 0.95
 
 
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_slopes_equal_finite_differences(shift):
+    """Of the whole risk, or where the negatives' part is below zero of that part, turned round."""
+    rng = np.random.default_rng(3)
+    zp, zu, prior = rng.normal(0, 1, 7) - shift, rng.normal(0, 1, 9) + shift, 0.6
+    positive, negative, on_p, on_u = op9_quality.risk(zp, zu, prior)
+    assert (negative < 0) == (shift < 0)
+
+    def aim(p, u):
+        a, b = prior * np.log1p(np.exp(-p)).mean(), np.log1p(np.exp(u)).mean() - prior * np.log1p(np.exp(p)).mean()
+        return -b if shift < 0 else a + b
+
+    for slopes, which in ((on_p, zp), (on_u, zu)):
+        for i in range(len(which)):
+            step = np.zeros(len(which))
+            step[i] = 1e-5
+            up, down = (aim(zp + s * step, zu) if which is zp else aim(zp, zu + s * step) for s in (1, -1))
+            assert slopes[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_a_doc_id_on_a_third_of_all_rows_is_learned_from_once(spark, docs_of):
+    rows = [(i, f"a good text, number {i}. It has words.", "s") for i in range(60)] + [(1, f"### {i}", "s") for i in range(30)]
+    rows += [(100 + i, "### $$$ " * 9, "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = op9_quality.quality(docs_of(rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_pipeline_stages_keep_their_laws(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = docs
