@@ -8,30 +8,36 @@
 3. A document whose shared shingles could not reach the threshold ends too.
    The others' prefixes in the global order (rarest first) give the candidate
    groups: documents joined by shared prefix shingles.
-4. Groups are compared in bounded blocks of documents: the order is cut into
-   fragments once more, partial overlaps of all pairs of a block are counted
-   fragment by fragment and summed per pair.  (Partial counts as rows would be
-   g^2 rows for g near copies, so they stay inside the block.)  A group larger
-   than a block goes round a ring of blocks first; then every document outside
-   the group's largest component meets every block of the group.  So each pair
-   of a group is compared or is already connected, whatever the group's size.
+4. Documents of a group are compared in blocks bounded in documents and in
+   shingles.  The global order is cut into fragments once more; a task has one
+   fragment of a block, counts the partial overlaps of its pairs and sends them
+   as one packed matrix; the matrices of all fragments are summed per pair.
+   (Partial counts as rows would be g^2 rows for g near copies.)
+5. A group larger than a block goes round a ring of blocks first.  Then every
+   document outside the group's largest component meets, in blocks again, those
+   documents that share a prefix shingle with it and are in another component.
+   So each candidate pair is compared or is already connected, whatever the
+   group's size, and documents that only hang together by chains don't meet.
 
 Defined cases: null text is empty; a text without words has the empty set and
 links with nothing; fewer words than ``words`` make one shingle; repeated rows
 and equal sets link; rows with a null doc_id keep their row, their component is
 the smallest non-null doc_id of it (null if there is none); extra columns are
-ignored; no rows give no rows.  Sets are sets of 64-bit hashes of shingles.
+ignored by ``near_components`` and carried by ``one_of_each``, whatever their
+names; no rows give no rows.  Sets are sets of 64-bit hashes of shingles.
+Calling either runs the join; the last join with the rows is left to the caller.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, stage, table, text_or_empty
@@ -42,8 +48,10 @@ from .shingles import shingle_sets
 BLOCK_BYTES = 8 << 20
 #: Shingles that a fragment task counts, about.
 FRAGMENT_SHINGLES = 1_500_000
-#: Documents of one block of a large candidate group; a task compares two blocks.
-BLOCK_DOCS = 96
+#: Documents, and shingles, of one block of a large candidate group; a task compares a fragment of two blocks.
+BLOCK_DOCS, BLOCK_SHINGLES = 96, 400_000
+#: Shingles of a fragment of a block, about.
+PART_SHINGLES = 200_000
 #: Distinct shingles counted at once.
 COLUMNS = 4096
 
@@ -159,11 +167,39 @@ def _pair_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _compare(percent: int):
+def _cut(batches):
+    """Cuts each document's shingles of a block into the block's fragments of the global order."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for task, part, cuts, node, n, shared in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
+            hashes = np.sort(shared.values.to_numpy().view("<u8"))
+            width = math.ceil(2**64 / cuts)
+            at = np.concatenate(([0], np.searchsorted(hashes, np.array([i * width for i in range(1, cuts)], "<u8")), [len(hashes)]))
+            rows += [(task, f, part, node, n, hashes[x:y].tobytes()) for f, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["task", "fragment", "part", "node", "n", "hashes"])
+
+
+def _partial(group: pd.DataFrame) -> pd.DataFrame:
+    """Partial overlaps of all pairs of each block in one fragment, as a packed matrix a block."""
+    made = []
+    for part, g in group.sort_values("node").groupby("part", sort=False):
+        g = g.drop_duplicates("node")
+        if len(g) > 1:
+            counts = _pair_counts([np.frombuffer(x, "<u8") for x in g["hashes"]])
+            made.append((g["task"].iloc[0], part, g["node"].to_numpy("<i8").tobytes(), g["n"].to_numpy("<i8").tobytes(), zlib.compress(counts.astype("<u4").tobytes(), 1)))
+    return pd.DataFrame(made, columns=["task", "part", "nodes", "sizes", "counts"])
+
+
+def _summed(percent: int):
     def links(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        node = group["node"].to_numpy()
-        n = group["n"].to_numpy(np.int64)
-        both = _pair_counts([np.asarray(s) for s in group["shared"]])
+        nodes = [np.frombuffer(x, "<i8") for x in group["nodes"]]
+        node, first = np.unique(np.concatenate(nodes), return_index=True)
+        n = np.concatenate([np.frombuffer(x, "<i8") for x in group["sizes"]])[first]
+        both = np.zeros((len(node), len(node)), np.int64)
+        for mine, counts in zip(nodes, group["counts"], strict=True):
+            at = np.searchsorted(node, mine)
+            both[np.ix_(at, at)] += np.frombuffer(zlib.decompress(counts), "<u4").reshape(len(mine), -1)
         linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         np.fill_diagonal(linked, True)
         label = np.arange(len(node))
@@ -174,7 +210,6 @@ def _compare(percent: int):
             label = low
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node").drop_duplicates(["part", "node"])
         found = [links(g) for _, g in group.groupby("part", sort=False)]
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pd.DataFrame({"a": a, "b": b})
@@ -182,12 +217,25 @@ def _compare(percent: int):
     return run
 
 
+def _compared(parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of a block that are linked, as stars, from (task, part, cuts, node, n, shared)."""
+    cut = parts.select("task", "part", "cuts", "node", "n", "shared").mapInArrow(_cut, "task string, fragment long, part string, node long, n long, hashes binary")
+    partial = cut.groupBy("task", "fragment").applyInPandas(_partial, "task string, part string, nodes binary, sizes binary, counts binary")
+    return partial.groupBy("task").applyInPandas(_summed(percent), "a long, b long")
+
+
+def _fragments(shingles: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(shingles / PART_SHINGLES)).cast("long")
+
+
 def _blocks(docs: DataFrame, block_docs: int) -> tuple[DataFrame, DataFrame]:
     """Whole small groups, and large groups with each document's block."""
-    sizes = bounded(stage(docs.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * block_docs), "large"))
-    small = docs.join(sizes, "label", "left_anti")
-    large = docs.join(sizes, "label").withColumn("blocks", F.ceil(F.col("size") / block_docs))
-    return small, large.withColumn("at", F.pmod(F.xxhash64("node", F.lit(11)), "blocks"))
+    size = docs.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("shared")).alias("held"))
+    docs = docs.join(stage(size, "groups"), "label")
+    large = (F.col("size") > 2 * block_docs) | ((F.col("held") > 2 * BLOCK_SHINGLES) & (F.col("size") > 2))
+    blocks = F.greatest(F.lit(2), F.ceil(F.col("size") / block_docs), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("long")
+    cut = docs.where(large).withColumn("blocks", F.least(blocks, F.col("size")))
+    return docs.where(~large), cut.withColumn("at", F.pmod(F.xxhash64("node", F.lit(11)), "blocks"))
 
 
 def _heads(batches):
@@ -197,24 +245,38 @@ def _heads(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes)], ["node", "n"])
 
 
-def _remaining(large: DataFrame, found: DataFrame, block_docs: int) -> DataFrame | None:
-    """Blocks in which each document outside a group's largest component meets the whole group."""
+def _remaining(large: DataFrame, found: DataFrame, posts: DataFrame, block_docs: int) -> DataFrame | None:
+    """Blocks in which each document outside a group's largest component meets those that share a prefix shingle with it."""
     placed = stage(large.join(found.select("node", F.col("label").alias("comp")), "node"), "placed")
-    counts = placed.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("docs"))
-    main = counts.groupBy("label").agg(F.max_by("comp", F.struct("docs", "comp")).alias("main"), F.sum("docs").alias("all"), F.max("docs").alias("most"))
-    main = stage(main.where("all > most").withColumn("rests", F.ceil((F.col("all") - F.col("most")) / block_docs)), "main")
+    counts = placed.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("shared")).alias("most_held"))
+    main = counts.groupBy("label").agg(F.max_by(F.struct("comp", "most_held"), F.struct("docs", "comp")).alias("x"), F.sum("docs").alias("all"), F.max("docs").alias("most"), F.sum("most_held").alias("total"))
+    main = main.where("all > most").withColumn("others", F.col("total") - F.col("x.most_held"))
+    rests = F.greatest(F.ceil((F.col("all") - F.col("most")) / block_docs), F.ceil(F.col("others") / BLOCK_SHINGLES)).cast("long")
+    main = stage(main.select("label", F.col("x.comp").alias("main"), rests.alias("rests")), "main")
     if main.isEmpty():
         return None
-    placed = placed.join(bounded(main), "label")
-    rest = placed.where("comp <> main").withColumn("r", F.pmod(F.xxhash64("node", F.lit(13)), "rests"))
-    rest = rest.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    every = placed.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
-    both = [x.select("node", "n", "shared", F.concat_ws("/", "label", "r", "at").alias("part")) for x in (rest, every)]
-    return both[0].unionByName(both[1]).withColumn("task", F.col("part"))
+    placed = stage(placed.join(bounded(main), "label").withColumn("r", F.pmod(F.xxhash64("node", F.lit(13)), "rests")), "open")
+    mine = posts.join(placed.select("node", "label", "comp", F.when(F.col("comp") != F.col("main"), F.col("r")).alias("r")), "node")
+    asks = mine.where("r is not null").select("h", "r", F.col("comp").alias("other"), "label").distinct()
+    partners = mine.select("h", "node", "comp", "label").join(asks, ["h", "label"]).where("comp <> other").select("label", "r", "node").distinct()
+    partners = stage(partners.join(placed.select("node", F.size("shared").alias("held")), "node"), "partners")
+    chunks = partners.groupBy("label", "r").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("held") / BLOCK_SHINGLES)).cast("long").alias("chunks"))
+    chunks = stage(chunks, "chunks")
+    columns = ["node", "n", "shared", "label", "r", "chunk", "held"]
+    theirs = partners.select("node", "label", "r").join(chunks, ["label", "r"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(17)), "chunks"))
+    theirs = theirs.join(placed.select("node", "n", "shared", F.size("shared").alias("held")), "node").select(*columns)
+    asking = placed.where("comp <> main").join(chunks, ["label", "r"]).withColumn("held", F.size("shared")).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(*columns)
+    part = F.concat_ws("/", "label", "r", "chunk")
+    return theirs.unionByName(asking).select("node", "n", "shared", part.alias("part"), part.alias("task"), F.lit(_most_cuts()).alias("cuts"))
+
+
+def _most_cuts() -> int:
+    """Fragments of two full blocks."""
+    return math.ceil(2 * BLOCK_SHINGLES / PART_SHINGLES)
 
 
 def near_components(docs: DataFrame, *, words: int = 5, percent: int = 75, block_bytes: int = BLOCK_BYTES, fragment_shingles: int = FRAGMENT_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_hash) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, text_hash, label) for every row of ``docs`` (doc_id, text)."""
     text = text_or_empty()
     keys = [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("|")).alias("h2")]
     rows = stage(docs.select("doc_id", *keys, F.octet_length(text).alias("bytes")), "rows")
@@ -237,33 +299,48 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 75, block
     stars = stage(posts.join(lows, "h").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "stars")
     groups = stage(shared.select("node", "n", "shared").join(connected(stars), "node"), "groups")
     small, large = _blocks(groups, block_docs)
-    compare = _compare(percent)
     tasks = max(96, math.ceil(groups.count() / block_docs))
-    whole = small.select("node", "n", "shared", F.col("label").cast("string").alias("part"), F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("task"))
+    whole = small.select("node", "n", "shared", F.col("label").cast("string").alias("part"), F.pmod(F.xxhash64("label"), F.lit(tasks)).cast("string").alias("task"), _fragments(F.col("held")).alias("cuts"))
     ring = large.withColumn("at", F.explode(F.array_distinct(F.array(F.col("at"), F.pmod(F.col("at") + 1, "blocks")))))
-    ring = ring.select("node", "n", "shared", F.concat_ws("/", "label", "at").alias("part")).withColumn("task", F.col("part"))
-    edges = stage(whole.groupBy("task").applyInPandas(compare, "a long, b long").unionByName(ring.groupBy("task").applyInPandas(compare, "a long, b long")), "links")
+    part = F.concat_ws("/", "label", "at")
+    ring = ring.select("node", "n", "shared", part.alias("part"), part.alias("task"), _fragments(2 * F.col("held") / F.col("blocks")).alias("cuts"))
+    # a document that is alone in its block, or shares no shingle there, is still a node
+    alone = groups.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    edges = stage(_compared(whole.unionByName(ring), percent).unionByName(alone), "links")
     found = stage(connected(edges), "found")
-    rest = _remaining(large, found, block_docs)
+    rest = _remaining(large, found, posts, block_docs)
     if rest is not None:
-        edges = stage(edges.unionByName(rest.groupBy("task").applyInPandas(compare, "a long, b long")), "links")
+        edges = stage(edges.unionByName(_compared(rest, percent)), "links")
         found = stage(connected(edges), "found")
 
     comps = classes.select("h1", "h2", "low", "node").join(sizes, "node").join(found, "node", "left")
     comps = stage(comps.select("h1", "h2", "low", "n", F.coalesce("label", "node").alias("label")), "comps")
     lowest = comps.groupBy("label").agg(F.min("low").alias("lowest"))
-    comps = stage(comps.join(lowest, "label").select("h1", "h2", "n", "lowest"), "lowest")
+    comps = stage(comps.join(lowest, "label").select("h1", "h2", "n", "lowest", "label"), "lowest")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest"))
-    return rows.join(comps, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h1").alias("text_hash"))
+    return rows.join(comps, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h1").alias("text_hash"), "label")
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` without those linked, over any links, to a row with a smaller doc_id."""
-    found = near_components(docs, **options)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    dropped = bounded(stage(dropped, "dropped"))
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash")), "left_anti")
+    """The rows of ``docs`` of which no other row stays that links to them over any links.
+
+    Of each component the row with the smallest doc_id stays (null last, then by
+    the hash of its text); of rows equal in both, one.
+    """
+    found = near_components(docs, **options).where("n_shingles > 0")
+    members = stage(found.groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")), "members")
+    best = members.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("best"), F.sum("rows").alias("all")).where("all > 1")
+    touched = members.join(stage(best, "best"), "label").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash")))
+    touched = stage(touched.where("not stays or rows > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "stays").distinct(), "touched")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text_or_empty()).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    kept = rows.join(bounded(touched), same, "left_anti").select("row.*")
+    several = touched.where("stays")
+    if several.isEmpty():
+        return kept
+    first = rows.join(bounded(several), same, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+    return kept.unionByName(first.select("row.*"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_components(table(spark, sf_dir, "documents")).drop("text_hash", "label")

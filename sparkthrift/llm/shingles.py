@@ -32,44 +32,26 @@ def _constants(n: int, seed: int) -> np.ndarray:
     return mix64(steps) | _U(1)
 
 
-_BASE = 0xD6E8FEB86659FD93
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODE = _constants(256, 7)[_LOWER]
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        inverse = pow(_BASE, -1, 1 << 64)
-        both = []
-        for base in (_BASE, inverse):
-            table = np.full(size, base, dtype=_U)
-            table[0] = 1
-            both.append(np.multiply.accumulate(table))
-        _powers[size] = (both[0], both[1])
-    return _powers[size]
 
 
 def _segment_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of one segment."""
+    """Hashes and start offsets of the words of one segment: mixed sums of mixed (place, byte) pairs."""
     blank = _BLANK[data]
     edge = np.empty(len(data) + 1, dtype=bool)
     edge[0] = not blank[0]
     edge[-1] = not blank[-1]
     np.not_equal(blank[1:], blank[:-1], out=edge[1:-1])
     at = np.flatnonzero(edge)
-    start, end = at[0::2], at[1::2]
-    power, inverse = _power_tables(len(data))
-    sums = np.empty(len(data) + 1, dtype=_U)
-    sums[0] = 0
-    np.cumsum(_CODE[data] * power[: len(data)], out=sums[1:])
-    raw = (sums[end] - sums[start]) * inverse[start]
-    return mix64(raw + (end - start).astype(_U)), start
+    start, length = at[0::2], at[1::2] - at[0::2]
+    ends = np.cumsum(length)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
+    sums = np.zeros(len(place) + 1, dtype=_U)
+    np.cumsum(mix64(place.astype(_U) << _U(8) | _LOWER[data[~blank]]), out=sums[1:])
+    return mix64(sums[ends] - sums[ends - length] + length.astype(_U)), start
 
 
 def _segments(data: np.ndarray) -> Iterable[tuple[int, int]]:

@@ -47,6 +47,54 @@ def near_copies(seed, n, base_words, changes):
 ODD = [(1, None, "s"), (2, "", "s"), (3, " \n\t ", None), (4, "One two", "s"), (5, "one TWO", "s"), (6, "one two", "s"), (7, "é" * 50, None), (7, "a b c d e f", "s"), (None, "a b c d e f", "s"), (9, "a b c d e f", "s"), (9, "a b c d e f", "s"), (10, "x " * 30_000, "s"), (11, "x " * 29_999 + "y", "s")]
 
 
+def test_words_hash_by_place():
+    """Thue-Morse words of 1,024 letters collide under any polynomial modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = bytes(97 + b for b in bits), bytes(98 - b for b in bits)
+    assert len(set(word_hashes([one, two, b"ab", b"ba"])[0].tolist())) == 4
+
+
+def paragraphs(n):
+    rng = random.Random(n)
+    pool = [" ".join(f"p{i}w{j}" for j in range(60)) for i in range(n)]
+    return [(i, "\n".join(rng.sample(pool, 5)), "s") for i in range(n)]
+
+
+def test_chains_of_shared_paragraphs_do_not_meet(spark, docs_of, monkeypatch):
+    """Documents that hang together by paragraphs are compared in proportion to their number."""
+    seen = []
+    compared = op6_jaccard._compared
+
+    def counted(parts, percent):
+        seen[-1] += parts.count()
+        return compared(parts, percent)
+
+    monkeypatch.setattr(op6_jaccard, "_compared", counted)
+    for n in (400, 800):
+        seen.append(0)
+        rows = paragraphs(n)
+        found = op6_jaccard.near_components(docs_of(rows), block_docs=16).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == components(rows)
+    assert seen[1] < 2.4 * seen[0]
+
+
+@pytest.mark.parametrize("cuts", [1, 3])
+def test_partial_overlaps_sum_to_the_overlap(cuts):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-(2**63), 2**63, 40)) for _ in range(3)]
+    sets.append(np.unique(np.concatenate((sets[0][:35], sets[1][:3]))))
+    batch = pa.RecordBatch.from_arrays([pa.array(["t"] * 4), pa.array(["p"] * 4), pa.array([cuts] * 4), pa.array(range(4)), pa.array([len(s) for s in sets]), pa.array([s.tolist() for s in sets])], ["task", "part", "cuts", "node", "n", "shared"])
+    rows = pa.Table.from_batches(op6_jaccard._cut([batch])).to_pandas()
+    total = np.zeros((4, 4), int)
+    for _, g in rows.groupby("fragment"):
+        for _, m in op6_jaccard._partial(g).iterrows():
+            at = np.frombuffer(m["nodes"], "<i8")
+            total[np.ix_(at, at)] += np.frombuffer(op6_jaccard.zlib.decompress(m["counts"]), "<u4").reshape(len(at), -1)
+    assert all(total[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(4) for b in range(4) if a != b)
+
+
 @pytest.mark.parametrize("options", [{}, {"block_docs": 2, "block_bytes": 4000, "fragment_shingles": 500}])
 def test_jaccard_equals_brute_force(spark, docs_of, options):
     rows = list(ODD)
@@ -68,6 +116,13 @@ def test_one_of_each_keeps_columns_and_one_row(spark, docs_of):
     assert out.columns == docs.columns
     want = {c for i, _, c in components(rows)}
     assert {r["doc_id"] for r in out.collect()} == want
+    near = near_copies(3, 4, 80, 1)
+    rows += [(None, t, "n") for t in near_copies(11, 5, 80, 1)] + [(70, near[0], "s"), (70, near[1], "s"), (70, near[1], "s"), (None, near[2], "s")]
+    clash = docs_of(rows).withColumnsRenamed({"hash": "_id", "lang": "label"}).selectExpr("*", "1 as row", "2 as id", "3 as _hash", "4 as text_hash")
+    out = op6_jaccard.one_of_each(clash)
+    assert out.columns == clash.columns
+    got = sorted((str(r["doc_id"]), r["source"]) for r in out.collect())
+    assert got == sorted([(str(x), "s") for x in want | {70}] + [("None", "n")])
 
 
 def test_hash_segments_do_not_change_hashes(monkeypatch):
