@@ -39,6 +39,11 @@ PATTERNS = (
 )
 
 
+def java(regex: str) -> str:
+    """The pattern in Java's syntax: case and classes by Unicode, as the patterns mean them."""
+    return regex.replace("(?i)", "(?iuU)")
+
+
 def placeholder(name: str) -> str:
     return f"«REDACTED:{name}»"
 
@@ -57,8 +62,8 @@ def redact(text: Column, patterns: Iterable[Pattern] = PATTERNS) -> Column:
             names = F.array_sort(F.array_compact(F.array(*(F.when(n > 0, F.lit(p.name)) for p, n in zip(todo, hits, strict=True)))))
             return F.struct(now.alias("text"), total.alias("total"), names.alias("categories"))
         p = todo[i]
-        count = F.when(_may_match(now, p), F.regexp_count(now, F.lit(p.regex))).otherwise(0)
-        after = lambda n: F.struct(n.alias("n"), F.when(n > 0, F.regexp_replace(now, p.regex, placeholder(p.name))).otherwise(now).alias("t"))
+        count = F.when(_may_match(now, p), F.regexp_count(now, F.lit(java(p.regex)))).otherwise(0)
+        after = lambda n: F.struct(n.alias("n"), F.when(n > 0, F.regexp_replace(now, java(p.regex), placeholder(p.name))).otherwise(now).alias("t"))
         return bind(bind(count, after), lambda s: level(i + 1, s["t"], [*hits, s["n"]]))
 
     return F.when(text.isNotNull(), bind(text, lambda t: level(0, t, [])))
@@ -68,7 +73,7 @@ def has_secret(text: Column, patterns: Iterable[Pattern] = PATTERNS) -> Column:
     found = F.lit(False)
     for p in patterns:
         if p.secret:
-            found = found | (_may_match(text, p) & text.rlike(p.regex))
+            found = found | (_may_match(text, p) & text.rlike(java(p.regex)))
     return found
 
 

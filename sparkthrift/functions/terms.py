@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .text import bind
 
 # Words that are no terms.
-STOP_WORDS = tuple(
-    "about all also and any are been but can could did for from had has have her him his how into its may new not now old one only our out see should some such than that the their them then there these they this those two was were what when which while who will with would yes you your".split()
+STOP_WORDS = (
+    "about", "all", "also", "and", "any", "are", "been", "but", "can", "could", "did", "for",
+    "from", "had", "has", "have", "her", "him", "his", "how", "into", "its", "may", "new",
+    "not", "now", "old", "one", "only", "our", "out", "see", "should", "some", "such", "than",
+    "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "two", "was",
+    "were", "what", "when", "which", "while", "who", "will", "with", "would", "yes", "you", "your",
 )
 
 

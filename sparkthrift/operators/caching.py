@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from sparkthrift.functions import terms as V
 
@@ -22,31 +27,71 @@ def put(rows: DataFrame, now: str, ttl: float) -> DataFrame:
 
 
 def probe(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
-    """Requests with ``hit``, status_code, content_type and body of a live entry of their ``key``."""
-    live = requests.join(cache, "key", "left").withColumn("hit", F.coalesce(F.col("expires_at") > now, F.lit(False)))
+    """Requests with ``hit``, status_code, content_type and body of an entry of their ``key`` that is stored by then and live."""
+    stored = F.col("created_at") <= now if "created_at" in cache.columns else F.lit(True)
+    live = requests.join(cache, "key", "left").withColumn("hit", F.coalesce((F.col("expires_at") > now) & stored, F.lit(False)))
     out = {c: F.when(F.col("hit"), F.col(c)) for c in ("status_code", "content_type", "body") if c in cache.columns}
     return live.withColumns(out)
 
 
-def replay(events: DataFrame, ttl: float) -> DataFrame:
+def similar_response(probes: DataFrame, index: DataFrame, threshold: float, cache: DataFrame, now: Column) -> DataFrame:
+    """probe_id, key, hit, ... : the response of the best similar entry; if that has expired the probe misses."""
+    found = probes.select("probe_id").join(similar(probes, index, threshold), "probe_id", "left")
+    return probe(found, cache, now)
+
+
+def storable(status: Column, compacted: Column) -> Column:
+    """Is an upstream response stored: only a success, and only of a request whose history was not compacted."""
+    return F.coalesce((status >= 200) & (status < 300) & ~compacted, F.lit(False))
+
+
+def _folded(events: DataFrame, order: tuple[str, ...], added: list[StructField], start: Callable[[], Callable[[float], tuple]]) -> DataFrame:
+    """Adds columns to events (key, ts, ...) by a fold over each key's rows in order of ts and ``order``.
+
+    Rows are sorted inside hash partitions of the key and streamed through the
+    fold, so a key of any size takes linear time and a few numbers of memory.
+    Rows without ts are left out.
+    """
+    names, kinds = [f.name for f in added], [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for batch in batches:
+            made = []
+            for key, t in zip(batch.column("key").to_pylist(), batch.column("ts").to_pylist(), strict=True):
+                if step is None or key != last:
+                    last, step = key, start()
+                made.append(step(t))
+            columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+
+    rows = events.where("ts is not null").repartition("key").sortWithinPartitions("key", "ts", *order)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added]))
+
+
+def replay(events: DataFrame, ttl: float, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``hit`` to events (key, ts): a miss stores, hits do not extend, t0 + ttl is a miss.
 
-    A fold over each key's sorted times; expiry depends on the previous miss only.
+    Of rows of one key and time the first in ``order`` stores, and the others hit.
     """
-    folded = F.aggregate(
-        F.array_sort(F.collect_list("ts")),
-        F.struct(F.lit(None).cast("double").alias("stored"), F.expr("cast(array() as array<struct<ts double, hit boolean>>)").alias("seen")),
-        lambda s, t: F.struct(
-            F.when(t < s["stored"] + ttl, s["stored"]).otherwise(t).alias("stored"),
-            F.array_append(s["seen"], F.struct(t.alias("ts"), F.coalesce(t < s["stored"] + ttl, F.lit(False)).alias("hit"))).alias("seen"),
-        ),
-    )
-    return events.groupBy("key").agg(folded["seen"].alias("seen")).select("key", F.inline("seen"))
-
-
-def seen_within(sightings: DataFrame, ttl: float, keys: tuple[str, ...] = ("tenant", "digest"), ts: str = "ts") -> DataFrame:
-    """Adds ``seen``: was the key sighted at most ``ttl`` before (every sighting refreshes)?"""
-    before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts))
+
+    def start() -> Callable[[float], tuple]:
+        stored: float | None = None
+
+        def step(t: float) -> tuple:
+            nonlocal stored
+            hit = stored is not None and t < stored + ttl
+            stored = stored if hit else t
+            return (hit,)
+
+        return step
+
+    return _folded(events, order, [StructField("hit", BooleanType())], start)
+
+
+def seen_within(sightings: DataFrame, ttl: float, keys: tuple[str, ...] = ("tenant", "digest"), ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``seen``: was the key sighted at most ``ttl`` before (every sighting refreshes)?  Equal times go by ``order``."""
+    before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts, *order))
     return sightings.withColumn("seen", F.coalesce(F.col(ts) - before <= ttl, F.lit(False)))
 
 
@@ -71,20 +116,25 @@ def similar(probes: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     return best.select("probe_id", F.col("b.key").alias("key"), F.col("b.similarity").alias("similarity"))
 
 
-def token_bucket(events: DataFrame, capacity: float, per_second: float) -> DataFrame:
-    """Adds allowed, retry_after to events (key, ts): a bucket that starts full, a fold per key."""
-    r = float(per_second)
+def token_bucket(events: DataFrame, capacity: float, per_second: float, order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds allowed, retry_after to events (key, ts): a bucket that starts full.  Equal times go by ``order``."""
+    most, rate = float(capacity), float(per_second)
+
+    def start() -> Callable[[float], tuple]:
+        tokens, updated = most, None
+
+        def step(t: float) -> tuple:
+            nonlocal tokens, updated
+            tokens = min(most, tokens + max(0.0, t - (t if updated is None else updated)) * rate)
+            updated = t
+            if tokens >= 1.0:
+                tokens -= 1.0
+                return True, 0.0
+            return False, (1.0 - tokens) / rate if rate else 0.0
 
-    def step(s: Column, t: Column) -> Column:
-        now = F.least(F.lit(float(capacity)), s["tokens"] + F.greatest(F.lit(0.0), t - F.coalesce(s["updated"], t)) * r)
-        ok = now >= 1.0
-        wait = F.when(ok | F.lit(r == 0), 0.0).otherwise((1.0 - now) / F.lit(r or 1.0))
-        entry = F.struct(t.alias("ts"), ok.alias("allowed"), wait.alias("retry_after"))
-        return F.struct(F.when(ok, now - 1.0).otherwise(now).alias("tokens"), t.alias("updated"), F.array_append(s["out"], entry).alias("out"))
+        return step
 
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("updated"), F.expr("cast(array() as array<struct<ts double, allowed boolean, retry_after double>>)").alias("out"))
-    folded = F.aggregate(F.array_sort(F.collect_list("ts")), start, step)
-    return events.groupBy("key").agg(folded["out"].alias("out")).select("key", F.inline("out"))
+    return _folded(events, order, [StructField("allowed", BooleanType()), StructField("retry_after", DoubleType())], start)
 
 
 def epochs(bumps: DataFrame) -> DataFrame:

@@ -17,20 +17,20 @@ def totals(events: DataFrame) -> DataFrame:
     """One row; ``similar`` answers are no hits here, and savings are not clamped."""
     n, hits, near = F.count(F.lit(1)), F.count_if(F.col("cache") == "hit"), F.count_if(F.col("cache") == "similar")
     before, after = F.coalesce(F.sum("tokens_before"), F.lit(0)), F.coalesce(F.sum("tokens_after"), F.lit(0))
-    return events.agg(n.alias("requests"), hits.alias("hits"), near.alias("similar_hits"), F.round(_share(hits, n), 6).alias("cache_hit_rate"), before.alias("tokens_before"), after.alias("tokens_after"), (before - after).alias("tokens_saved"), F.round(_share(before - after, before), 6).alias("overall_ratio"))
+    return events.agg(n.alias("requests"), hits.alias("hits"), near.alias("similar_hits"), F.round(_share(hits, n), 4).alias("cache_hit_rate"), before.alias("tokens_before"), after.alias("tokens_after"), (before - after).alias("tokens_saved"), F.round(_share(before - after, before), 4).alias("overall_ratio"))
 
 
 def by_stage(stages: DataFrame) -> DataFrame:
     """Accuracy counts checked rows only and is null where none was."""
     before, after, checked = F.sum("tokens_before"), F.sum("tokens_after"), F.count("ok")
     accuracy = F.when(checked > 0, F.count_if("ok") / checked)
-    return stages.groupBy("stage").agg(before.alias("tokens_before"), after.alias("tokens_after"), (before - after).alias("tokens_saved"), F.round(_share(before - after, before), 6).alias("reduction"), checked.alias("checked"), F.round(accuracy, 6).alias("accuracy"))
+    return stages.groupBy("stage").agg(before.alias("tokens_before"), after.alias("tokens_after"), (before - after).alias("tokens_saved"), F.round(_share(before - after, before), 4).alias("reduction"), checked.alias("checked"), F.round(accuracy, 4).alias("accuracy"))
 
 
 def by_tenant(events: DataFrame) -> DataFrame:
     before, after = F.sum("tokens_before"), F.sum("tokens_after")
     rows = events.where(F.coalesce("tenant", F.lit("")) != "")
-    return rows.groupBy("tenant").agg(F.count(F.lit(1)).alias("requests"), before.alias("tokens_before"), after.alias("tokens_after"), F.round(_share(before - after, before), 6).alias("reduction"))
+    return rows.groupBy("tenant").agg(F.count(F.lit(1)).alias("requests"), before.alias("tokens_before"), after.alias("tokens_after"), F.round(_share(before - after, before), 4).alias("reduction"))
 
 
 def latest_evals(runs: DataFrame) -> DataFrame:

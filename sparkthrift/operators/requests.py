@@ -56,8 +56,10 @@ def kept_headers(headers: Column, dropped: tuple[str, ...] = DROPPED_FROM_REQUES
 
 
 def is_stream(path: Column, body: Column) -> Column:
-    flag = F.try_variant_get(F.try_parse_json(body), "$.stream", "boolean")
-    return F.endswith(path, F.lit(":streamGenerateContent")) | F.coalesce(flag, F.lit(False))
+    """By the path, or by any value of ``stream`` that is not empty, zero, false or null."""
+    flag = F.to_json(F.try_variant_get(F.try_parse_json(body), "$.stream", "variant"))
+    truthy = ~flag.isin("false", "null", '""', "[]", "{}") & F.coalesce(flag.try_cast("double") != 0, F.lit(True))
+    return F.endswith(path, F.lit(":streamGenerateContent")) | F.coalesce(truthy, F.lit(False))
 
 
 def _messages(dialect: str, body: dict) -> tuple[list[tuple[str, str | None, str | None]], str | None] | None:

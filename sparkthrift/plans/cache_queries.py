@@ -49,14 +49,14 @@ def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = timed_events(spark, sf_dir)
-    seen = C.seen_within(rows, 24 * HOUR, ("user_id", "event_type"))
+    seen = C.seen_within(rows, 24 * HOUR, ("user_id", "event_type"), order=("event_id",))
     return seen.select("event_id", "seen")
 
 
 def inject_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inject a breakpoint: boundary at least 1, prefix long enough, prefix seen before."""
     rows = timed_events(spark, sf_dir).withColumn("prefix_tokens", F.col("event_id") % 8192).withColumn("boundary", F.col("event_id") % 3)
-    seen = C.seen_within(rows, 24 * HOUR, ("user_id", "event_type"))
+    seen = C.seen_within(rows, 24 * HOUR, ("user_id", "event_type"), order=("event_id",))
     return seen.select("event_id", (F.col("seen") & (F.col("boundary") >= 1) & (F.col("prefix_tokens") >= 4096)).alias("inject"))
 
 
@@ -83,6 +83,21 @@ def similarity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.similar(probes, C.newest(index, 2048), 0.3).select("probe_id", "key", F.round("similarity", 6).alias("similarity"))
 
 
+def similar_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest entry's response; every third entry has expired, and every fifth was never stored."""
+    probes, index = _index(spark, sf_dir)
+    cache = index.where("key % 5 <> 0").select("key", F.lit(0.0).alias("created_at"), F.when(F.col("key") % 3 == 0, 50.0).otherwise(500.0).alias("expires_at"), (F.lit(200) + F.col("key") % 7).alias("status_code"))
+    found = C.similar_response(probes, C.newest(index, 2048), 0.3, cache, F.lit(100.0))
+    return found.select("probe_id", "key", "hit", "status_code")
+
+
+def store_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which answers are stored, by type of event; every seventh has no status."""
+    status = F.when(F.col("event_id") % 7 != 0, F.lit(199) + F.col("event_id") % 5 * 50)
+    rows = timed_events(spark, sf_dir).withColumn("stored", C.storable(status, F.col("event_id") % 3 == 0))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("answers"), F.count_if("stored").alias("stored"))
+
+
 def similarity_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.newest(_index(spark, sf_dir)[1], 100).select("key", "seq", F.size("vector").cast("long").alias("dim"))
 
@@ -168,9 +183,9 @@ def requests_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SAV = f"WITH {EVENTS_SQL}, s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'hit' WHEN 1 THEN 'similar' ELSE 'miss' END AS cache, CASE WHEN user_id % 4 = 0 THEN '' ELSE 't' || (user_id % 4) END AS tenant, event_id % 1000 AS b, event_id % 1000 - event_id % 7 AS a, event_type FROM ev), st AS (SELECT CASE event_id % 4 WHEN 0 THEN 'lossless' WHEN 1 THEN 'filler' WHEN 2 THEN 'dedup' ELSE 'learned' END AS stage, b, a, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE event_id % 2 = 0 END END AS ok FROM s)"
-_TOT = "SELECT count(*) AS requests, count(*) FILTER (WHERE cache = 'hit') AS hits, count(*) FILTER (WHERE cache = 'similar') AS similar_hits, round(count(*) FILTER (WHERE cache = 'hit') / count(*), 6) AS cache_hit_rate, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, round((sum(b) - sum(a)) / sum(b), 6) AS overall_ratio FROM s"
-_STG = "SELECT stage, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, round((sum(b) - sum(a)) / sum(b), 6) AS reduction, count(ok) AS checked, round(count(*) FILTER (WHERE ok) / nullif(count(ok), 0), 6) AS accuracy FROM st GROUP BY stage"
-_TEN = "SELECT tenant, count(*) AS requests, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, round((sum(b) - sum(a)) / sum(b), 6) AS reduction FROM s WHERE tenant <> '' GROUP BY tenant"
+_TOT = "SELECT count(*) AS requests, count(*) FILTER (WHERE cache = 'hit') AS hits, count(*) FILTER (WHERE cache = 'similar') AS similar_hits, round(count(*) FILTER (WHERE cache = 'hit') / count(*), 4) AS cache_hit_rate, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, round((sum(b) - sum(a)) / sum(b), 4) AS overall_ratio FROM s"
+_STG = "SELECT stage, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, round((sum(b) - sum(a)) / sum(b), 4) AS reduction, count(ok) AS checked, round(count(*) FILTER (WHERE ok) / nullif(count(ok), 0), 4) AS accuracy FROM st GROUP BY stage"
+_TEN = "SELECT tenant, count(*) AS requests, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, round((sum(b) - sum(a)) / sum(b), 4) AS reduction FROM s WHERE tenant <> '' GROUP BY tenant"
 _EVL = "SELECT event_type AS kind, arg_max((event_id % 9) / 8, event_id) AS score, arg_max(event_id % 2 = 0, event_id) AS passed FROM s GROUP BY event_type"
 _NUM = r"regexp_replace(printf('%.6f', ({0})::DOUBLE), '(\.\d+?)0+$', '\1')"
 _PROM = " UNION ALL ".join(
@@ -184,11 +199,11 @@ UNION ALL SELECT 1, stage, rpad(stage, 14, ' ') || ' ' || printf('%8d %8d', toke
 UNION ALL SELECT 2, kind, '  ' || rpad(kind, 20, ' ') || ' score=' || {_PCT.format('score')} || '  ' || CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END FROM evl
 UNION ALL SELECT 3, tenant, repeat(' ', 25) || rpad(tenant, 18, ' ') || ' ' || printf('%6d', requests) || ' ' || lpad({_PCT.format('reduction')}, 10, ' ') FROM ten"""
 _BUCKET = f"WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT user_id::VARCHAR AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM ev), f AS (SELECT key, k, ts, 1.0::DOUBLE AS tokens, true AS allowed, 0.0::DOUBLE AS wait FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, o.ts, CASE WHEN least(2.0, f.tokens + greatest(0, o.ts - f.ts) * (1 / 21600.0::DOUBLE)) >= 1 THEN least(2.0, f.tokens + greatest(0, o.ts - f.ts) * (1 / 21600.0::DOUBLE)) - 1 ELSE least(2.0, f.tokens + greatest(0, o.ts - f.ts) * (1 / 21600.0::DOUBLE)) END, least(2.0, f.tokens + greatest(0, o.ts - f.ts) * (1 / 21600.0::DOUBLE)) >= 1, (1 - least(2.0, f.tokens + greatest(0, o.ts - f.ts) * (1 / 21600.0::DOUBLE))) * 21600 FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1)"
-_SEEN = f"{EVENTS_SQL}, l AS (SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) <= 86400, false) AS seen FROM ev)"
+_SEEN = f"{EVENTS_SQL}, l AS (SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= 86400, false) AS seen FROM ev)"
 _IDX = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label % 2 AS tenant, label FROM embeddings)"
 
 QUERIES = {
-    "exact_cache_probe": (exact_cache_probe, f"WITH {EVENTS_SQL}, k AS (SELECT *, event_type || '|' || props AS key FROM ev), c AS (SELECT key, max(ts) AS put_at FROM k WHERE event_id % 2 = 0 GROUP BY key) SELECT event_id, coalesce(put_at + 2592000 > ts, false) AS hit, CASE WHEN put_at + 2592000 > ts THEN 200 END::BIGINT AS status_code FROM k LEFT JOIN c USING (key) WHERE event_id % 2 = 1"),
+    "exact_cache_probe": (exact_cache_probe, f"WITH {EVENTS_SQL}, k AS (SELECT *, event_type || '|' || props AS key FROM ev), c AS (SELECT key, max(ts) AS put_at FROM k WHERE event_id % 2 = 0 GROUP BY key) SELECT event_id, coalesce(put_at + 2592000 > ts AND put_at <= ts, false) AS hit, CASE WHEN put_at + 2592000 > ts AND put_at <= ts THEN 200 END::BIGINT AS status_code FROM k LEFT JOIN c USING (key) WHERE event_id % 2 = 1"),
     "cache_ttl_replay": (cache_ttl_replay, f"WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT user_id || '/' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM ev), f AS (SELECT key, k, ts AS stored, false AS hit FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, CASE WHEN o.ts < f.stored + 86400 THEN f.stored ELSE o.ts END, o.ts < f.stored + 86400 FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1) SELECT key, count(*) AS events, count(*) FILTER (WHERE hit) AS hits FROM f GROUP BY key"),
     "token_bucket": (token_bucket, f"{_BUCKET} SELECT key, count(*) AS events, count(*) FILTER (WHERE NOT allowed) AS denied FROM f GROUP BY key"),
     "retry_after": (retry_after, f"{_BUCKET} SELECT key, round(ts, 3) AS ts, round(wait, 2) AS retry_after FROM f WHERE NOT allowed"),
@@ -197,6 +212,11 @@ QUERIES = {
     "epoch_counter": (epoch_counter, "SELECT user_id AS tenant, count(*) FILTER (WHERE event_type = 'purchase' OR event_id % 50 = 0) AS epoch FROM events GROUP BY user_id"),
     "handle_registrar": (handle_registrar, None),
     "similarity_lookup": (similarity_lookup, f"WITH {_IDX}, p AS (SELECT a.vec_id AS probe_id, b.vec_id AS key, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN (SELECT * FROM v WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 2048) b ON a.tenant = b.tenant WHERE a.vec_id % 2 = 0) SELECT probe_id, arg_max(key, [s, key::DOUBLE]) AS key, round(max(s), 6) AS similarity FROM p WHERE s >= 0.3 GROUP BY probe_id"),
+    "similar_response": (
+        similar_response,
+        f"WITH {_IDX}, p AS (SELECT a.vec_id AS probe_id, b.vec_id AS key, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN (SELECT * FROM v WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 2048) b ON a.tenant = b.tenant WHERE a.vec_id % 2 = 0), n AS (SELECT probe_id, arg_max(key, [s, key::DOUBLE]) AS key FROM p WHERE s >= 0.3 GROUP BY probe_id) SELECT v.vec_id AS probe_id, key, coalesce(key % 5 <> 0 AND key % 3 <> 0, false) AS hit, CASE WHEN key % 5 <> 0 AND key % 3 <> 0 THEN 200 + key % 7 END AS status_code FROM v LEFT JOIN n ON n.probe_id = v.vec_id WHERE v.vec_id % 2 = 0",
+    ),
+    "store_decision": (store_decision, "SELECT event_type, count(*) AS answers, count(*) FILTER (WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND event_id % 5 IN (1, 2)) AS stored FROM events GROUP BY event_type"),
     "similarity_fifo": (similarity_fifo, "SELECT vec_id AS key, vec_id AS seq, len(embedding) AS dim FROM embeddings WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 100"),
     "similarity_gate": (similarity_gate, f"WITH {_IDX}, p AS (SELECT list_cosine_similarity(a.v, b.v) >= 0.97 AS hit, a.label = b.label AS want FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0 UNION ALL SELECT true, true FROM v) SELECT round(count(*) FILTER (WHERE hit AND want) / nullif(count(*) FILTER (WHERE hit), 0), 6) AS precision, round(count(*) FILTER (WHERE hit AND want) / count(*) FILTER (WHERE want), 6) AS recall, count(*) FILTER (WHERE hit AND NOT want) AS false_hits, count(*) FILTER (WHERE hit AND NOT want) = 0 AS passed FROM p"),
     "metrics_totals": (metrics_totals, f"{_SAV} {_TOT}"),

@@ -27,14 +27,19 @@ def _tiers(config: Config):
     return lambda text: reduce(lambda t, step: step(t), steps, text)
 
 
+def _alone(key: Column) -> Column:
+    """``key``, or for rows without one a key that no other row has: folds leave them alone and none of them is hot."""
+    return F.coalesce(F.concat(F.lit("k"), key), F.concat(F.lit("r"), F.col("request_id").cast("string")))
+
+
 def _limits(rows: DataFrame, config: Config) -> DataFrame:
-    """Adds within_rate: requests that are routed and authorised drain their tenant's bucket."""
+    """Adds within_rate: requests that are routed and authorised drain their tenant's bucket, in order of (ts, request_id)."""
     if not config.rate:
         return rows.withColumn("within_rate", F.lit(True))
-    asked = rows.where(F.col("authorized") & F.col("provider").isNotNull()).select(F.col("tenant").alias("key"), "ts")
-    told = caching.token_bucket(asked, config.burst or max(1.0, config.rate), config.rate / 60).groupBy("key", "ts").agg(F.bool_and("allowed").alias("within_rate"))
-    joined = rows.join(told.withColumnsRenamed({"key": "tenant"}), ["tenant", "ts"], "left")
-    return joined.withColumn("within_rate", F.coalesce("within_rate", F.lit(True)))
+    asks = F.col("authorized") & F.col("provider").isNotNull()
+    asked = rows.withColumn("asks", asks).withColumn("key", _alone(F.when(asks, F.col("tenant"))))
+    told = caching.token_bucket(asked, config.burst or max(1.0, config.rate), config.rate / 60, ("request_id",))
+    return told.withColumn("within_rate", ~F.col("asks") | F.col("allowed")).drop("key", "asks", "allowed", "retry_after")
 
 
 def _text(role_text: Column, system: Column) -> Column:
@@ -46,26 +51,29 @@ def outcomes(rows: DataFrame, config: Config = Config()) -> DataFrame:  # noqa:
     rows = requests.parse_requests(rows, config.structured)
     tenant = K.tenant_id(K.credential(F.col("headers")), config.salt) if config.multi_tenant or config.allowed else F.lit("")
     rows = rows.withColumn("provider", requests.route(F.col("dialect"), F.col("headers"))).withColumn("tenant", tenant)
-    rows = _limits(rows.withColumn("authorized", K.is_authorized(F.col("tenant"), config.allowed)), config)
-    status = F.when(F.col("provider").isNull(), 502).when(~F.col("authorized"), 401).when(~F.col("within_rate"), 429)
+    rows = rows.withColumn("authorized", K.is_authorized(F.col("tenant"), config.allowed))
 
     p, change = F.col("parsed"), _tiers(config)
     said = F.transform(p["messages"], lambda m: F.coalesce(m["text"], m["raw"]))
-    rows = rows.withColumn("status", status).withColumn("_before", _text(said, p["system"]))
+    rows = rows.withColumn("_before", _text(said, p["system"]))
     changed = F.transform(p["messages"], lambda m: F.when(m["raw"].isNotNull(), m["raw"]).otherwise(change(m["text"])))
     rows = rows.withColumn("_after", T.not_longer(F.col("_before"), _text(changed, F.when(p["system"].isNotNull(), change(p["system"])))))
     messages = F.transform(p["messages"], lambda m: F.array(m["role"], F.coalesce(m["text"], m["raw"])))
     key = K.cache_key(F.col("dialect"), p["model"], p["system"], messages, p["tools"], config.salt)
     key = F.when(F.col("tenant") != "", F.concat(key, F.lit("|"), F.col("tenant"))).otherwise(key)
-    may = F.lit(config.cache) & status.isNull() & p["messages"].isNotNull() & ~F.coalesce(p["stream"], F.lit(False)) & ~((F.col("dialect") == "gemini") & p["model"].isNull()) & R.should_cache(F.col("_before"), nocache=config.nocache, bypass_on_secret=config.bypass_on_secret)
-    rows = rows.withColumn("key", F.when(may, key))
-
-    hits = caching.replay(rows.where("key is not null").select("key", "ts"), config.ttl).groupBy("key", "ts").agg(F.bool_or("hit").alias("hit"))
-    rows = rows.join(hits, ["key", "ts"], "left")
-    cache = F.when(F.col("status").isNotNull(), "none").when(F.col("key").isNull(), F.when(requests.is_stream(F.col("path"), F.col("body")), "stream-bypass").otherwise("bypass")).when(F.col("hit"), "hit").otherwise("miss")
+    streamed = requests.is_stream(F.col("path"), F.col("body"))
+    may = F.lit(config.cache) & p["messages"].isNotNull() & ~F.coalesce(p["stream"], F.lit(False)) & ~streamed & ~((F.col("dialect") == "gemini") & p["model"].isNull()) & R.should_cache(F.col("_before"), nocache=config.nocache, bypass_on_secret=config.bypass_on_secret)
     tokens = lambda c: F.coalesce(T.heuristic_tokens(F.col(c)), F.lit(0).cast("long"))
+    # from here on rows are narrow, and each is told apart by its request_id: no join parses them again
+    rows = rows.select("request_id", "ts", "dialect", "tenant", "provider", "authorized", tokens("_before").alias("tokens_before"), tokens("_after").alias("tokens_after"), F.when(may, key).alias("cache_key"), streamed.alias("streamed"))
+
+    rows = _limits(rows, config)
+    status = F.when(F.col("provider").isNull(), 502).when(~F.col("authorized"), 401).when(~F.col("within_rate"), 429)
+    rows = rows.withColumn("status", status).withColumn("cache_key", F.when(F.col("status").isNull(), F.col("cache_key")))
+    rows = caching.replay(rows.withColumn("key", _alone(F.col("cache_key"))), config.ttl, ("request_id",))
+    cache = F.when(F.col("status").isNotNull(), "none").when(F.col("cache_key").isNull(), F.when(F.col("streamed"), "stream-bypass").otherwise("bypass")).when(F.col("hit"), "hit").otherwise("miss")
     dialect = F.when(F.col("provider").isNull(), "unknown").otherwise(F.col("dialect"))
-    return rows.select("request_id", dialect.alias("dialect"), "tenant", F.coalesce("status", F.lit(200)).alias("status"), cache.alias("cache"), tokens("_before").alias("tokens_before"), tokens("_after").alias("tokens_after"), "key")
+    return rows.select("request_id", dialect.alias("dialect"), "tenant", F.coalesce("status", F.lit(200)).alias("status"), cache.alias("cache"), "tokens_before", "tokens_after", F.col("cache_key").alias("key"))
 
 
 def meta_headers(events: DataFrame) -> DataFrame:

@@ -41,11 +41,11 @@ def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is the best document for an item one that holds its first 40 characters?"""
+    """Is one of the best documents for an item one that holds its whole text?"""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), V.terms(F.col("text")).alias("terms"))
     best = M.relevant(_asked(spark, sf_dir), docs, 5)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("must"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("must"))
     found = best.join(items, "query_id").join(texts, "id").groupBy("query_id").agg(F.max(F.contains("text", F.col("must"))).alias("found"))
     return found
 
@@ -72,14 +72,16 @@ def _nearest(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that its SQL asks with, those of an id under 16; ``semantic_topk_all`` asks with every row."""
+    """Every row asks."""
     rows = _vectors(spark, sf_dir)
-    return _nearest(rows, rows.where("id < 16"))
+    return _nearest(rows, rows)
 
 
-def semantic_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _vectors(spark, sf_dir)
-    return _nearest(rows, rows)
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by kind, and edges."""
+    rows = conversations(spark, sf_dir)
+    found = M.nodes(rows).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(M.follows(rows).agg(F.count(F.lit(1)).alias("n")).select(F.lit("follows").alias("kind"), "n"))
 
 
 def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +146,10 @@ QUERIES = {
     "graph_neighbors": (graph_neighbors, f"WITH {_TURNS}, e AS (SELECT lag(id) OVER (PARTITION BY conv_id ORDER BY turn) AS src FROM n WHERE kind = 'turn') SELECT src, count(*) AS out_degree FROM e WHERE src IS NOT NULL GROUP BY src"),
     "terms": (terms, f"WITH k AS (SELECT doc_id, list_sort({_terms_sql('text')}) AS t FROM documents) SELECT doc_id, len(t) AS terms, sha256(array_to_string(t, ' ')) AS sha FROM k"),
     "jaccard_topk": (jaccard_topk, f"WITH {_RELEVANT} SELECT query_id, id, rank, overlap, round(score, 9) AS score FROM r WHERE rank <= 5"),
-    "retrieval_recall": (retrieval_recall, f"WITH {_RELEVANT} SELECT r.query_id, bool_or(contains(d.text, substr(b.text, 1, 40))) AS found FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.id WHERE rank <= 5 GROUP BY r.query_id"),
+    "retrieval_recall": (retrieval_recall, f"WITH {_RELEVANT} SELECT r.query_id, bool_or(contains(d.text, b.text)) AS found FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.id WHERE rank <= 5 GROUP BY r.query_id"),
     "hashing_embed": (hashing_embed, f"WITH t AS (SELECT doc_id, unnest({_terms_sql('text')}) AS term FROM documents), h AS (SELECT doc_id, ('0x' || substr(sha256(term), 15, 2))::INT AS bucket, CASE WHEN (('0x' || substr(sha256(term), 11, 2))::INT & 2) <> 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS s FROM t), a AS (SELECT doc_id, bucket, sum(s) AS raw FROM h GROUP BY ALL HAVING sum(s) <> 0) SELECT doc_id, bucket::BIGINT AS bucket, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS value FROM a"),
-    "semantic_topk": (semantic_topk, "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM v q, v d WHERE q.vec_id < 16), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10 AND score > 0"),
-    "semantic_topk_all": (semantic_topk_all, None),
+    "semantic_topk": (semantic_topk, "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM v q, v d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10 AND score > 0"),
+    "graph_counts": (graph_counts, f"WITH {_TURNS}, k AS (SELECT id, any_value(kind) AS kind FROM n GROUP BY id) SELECT kind, count(*) AS n FROM k GROUP BY kind UNION ALL SELECT 'follows', count(*) FROM (SELECT lag(id) OVER (PARTITION BY conv_id ORDER BY turn) AS src FROM n WHERE kind = 'turn') WHERE src IS NOT NULL"),
     "missing_vectors": (missing_vectors, "SELECT lang, count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 3) GROUP BY lang"),
     "lead_sentence": (lead_sentence, f"SELECT doc_id, sha256({_TRIM.format(f'substr({_CUT}, 1, 200)')}) AS sha FROM (SELECT doc_id, {_TRIM.format(_LINE)} AS l FROM documents)"),
     "extractive_summary": (extractive_summary, f"WITH {_bullets('conversations', 3)} SELECT conv_id AS request_id, sha256(summary) AS sha FROM s"),

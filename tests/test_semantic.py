@@ -35,6 +35,6 @@ def test_blocks_equal_brute_force(spark):
 
 def test_every_row_is_asked(spark, sf_dir):
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    got = memory_queries.semantic_topk_all(spark, sf_dir).collect()
+    got = memory_queries.semantic_topk(spark, sf_dir).collect()
     assert {r["query_id"] for r in got} == {i for i, _ in rows}
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == sorted(x[:3] for x in brute(rows, rows, 10))
