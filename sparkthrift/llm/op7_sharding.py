@@ -10,6 +10,7 @@ first, on the driver; there are at most 3 * shards * parts of them.  The others
 are dealt by hash into bins of about ``bin_groups``; each bin places its own
 groups, largest first, into its share of what room the heavy ones left in every
 shard.  A bin's shards come out even up to its smallest groups, so the sum does.
+Rows find their group's shard by a join that shuffles: groups grow with the input.
 
 Defined cases: null text has size 1 and is grouped with other null texts; an empty text also has size 1; repeated
 rows are one group; a group larger than a shard fills its shard alone, as far
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, gapless, stage, table
+from .common import WORD, gapless, stage, table
 
 #: Items that a shard's mean is made of, about.
 PARTS = 256
@@ -85,7 +86,7 @@ def shard(docs: DataFrame, *, shards: int = 8, parts: int = PARTS, bin_groups: i
     of_group = spark.createDataFrame([(bytes(r["group"]), p) for r, p in zip(alone, placed, strict=True)], "group binary, alone int")
     bins = max(1, math.ceil(count / bin_groups))
     light = groups.where(~heavy).withColumn("bin", F.pmod(F.xxhash64("group", F.lit(5)), F.lit(bins)))
-    light = bounded(stage(light.groupBy("bin").applyInPandas(_fill(total, room), "group binary, light int"), "light"))
+    light = stage(light.groupBy("bin").applyInPandas(_fill(total, room), "group binary, light int"), "light")
     put = rows.join(F.broadcast(of_group), "group", "left").join(light, "group", "left")
     put = stage(put.select("row", "doc_id", "size", "text_crc32", F.coalesce("alone", "light").alias("shard")), "placed")
     out = gapless(put, "shard", "row", "slot")
