@@ -100,6 +100,12 @@ def newest(entries: DataFrame, n: int, order: str = "seq") -> DataFrame:
     return entries.orderBy(F.desc(order)).limit(n)
 
 
+def hydrate(entries: DataFrame, n: int, order: str = "seq") -> DataFrame:
+    """What a similarity cache starts with: the newest ``n`` entries, oldest first (``place`` from 1); those without a vector are skipped, as their blob did not decode."""
+    kept = newest(entries.where(F.col("vector").isNotNull()), n, order)
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(order)))  # at most n rows
+
+
 def similar(probes: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """probe_id, key, similarity: the best entry of the probe's model and tenant at or over the threshold.
 

@@ -49,6 +49,18 @@ def open_sealed(blob: Column, keys: Iterable[Column], aad: Column) -> Column:
     return F.when(whole, F.coalesce(*tries))
 
 
+def put_sealed(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Cache rows (key, tenant, body) with the body sealed by its tenant's key and bound to its cache key; tenants without a key store nothing."""
+    return rows.join(keys, "tenant").withColumn("body", seal(F.col("body"), F.col("dek"), F.col("key").cast("binary"))).drop("dek")
+
+
+def get_sealed(requests: DataFrame, cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """Requests (key, tenant) with ``hit`` and body: what does not open by the asking tenant's key is a miss."""
+    found = requests.join(cache.select("key", F.col("body").alias("sealed")), "key", "left").join(keys, "tenant", "left")
+    opened = found.withColumn("body", open_sealed(F.col("sealed"), [F.col("dek")], F.col("key").cast("binary")))
+    return opened.withColumn("hit", F.col("body").isNotNull()).drop("dek", "sealed")
+
+
 def tenant_keys(tenants: DataFrame, master: bytes, shredded: Iterable[str] = (), epochs: DataFrame | None = None) -> DataFrame:
     """(tenant, dek): a key per tenant that is not shredded, derived by built-in functions.
 

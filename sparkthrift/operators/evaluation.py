@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkthrift.functions import terms as V
@@ -42,6 +42,18 @@ def tier_scores(cases: DataFrame) -> DataFrame:
     return cases.groupBy("tier").agg(F.count(F.lit(1)).alias("cases"), F.count_if("kept").alias("kept"), F.round(F.avg(1 - F.col("tokens_after") / F.col("tokens_before")), 6).alias("mean_reduction"))
 
 
+def ladder(cases: DataFrame) -> DataFrame:
+    """(bucket, tier, level, cases, mean_reduction, gain) from (bucket, tier, level, tokens_before, tokens_after).
+
+    Means are of the cases' own ratios (0 for an empty case), not a ratio of
+    sums; ``gain`` is the difference to the level before in the same bucket.
+    """
+    ratio = F.when(F.col("tokens_before") > 0, 1 - F.col("tokens_after") / F.col("tokens_before")).otherwise(0.0)
+    means = cases.groupBy("bucket", "tier", "level").agg(F.count(F.lit(1)).alias("cases"), F.avg(ratio).alias("mean_reduction"))
+    before = F.lag("mean_reduction").over(Window.partitionBy("bucket").orderBy("level"))  # a row a level: small
+    return means.withColumn("gain", F.col("mean_reduction") - F.coalesce(before, F.lit(0.0)))
+
+
 def best_ratio(sweep: DataFrame) -> DataFrame:
     """The lowest ratio that passes, else the one of the highest mean."""
     best = F.coalesce(F.min(F.when(F.col("passed"), F.col("ratio"))), F.max_by("ratio", "mean_score"))

@@ -32,6 +32,11 @@ def nodes(messages: DataFrame) -> DataFrame:
     return rows.withColumn("terms", F.array_sort(V.terms(F.col("text"))))
 
 
+def node_order(messages: DataFrame, seq: str) -> DataFrame:
+    """(id, seq): the order in which nodes came in, by the first message of each."""
+    return _turns(messages).groupBy("id").agg(F.min(seq).alias("seq"))
+
+
 def follows(messages: DataFrame) -> DataFrame:
     """(request_id, src, dst): each turn follows the one before; edges are a multiset."""
     turns = _turns(messages).where("kind = 'turn'")

@@ -91,6 +91,12 @@ def similar_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("probe_id", "key", "hit", "status_code")
 
 
+def similarity_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh vector does not decode."""
+    entries = _index(spark, sf_dir)[1].withColumn("vector", F.when(F.col("key") % 11 != 0, F.col("vector")))
+    return C.hydrate(entries, 50).select("key", F.col("place").cast("long").alias("place"))
+
+
 def store_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which answers are stored, by type of event; every seventh has no status."""
     status = F.when(F.col("event_id") % 7 != 0, F.lit(199) + F.col("event_id") % 5 * 50)
@@ -216,6 +222,7 @@ QUERIES = {
         similar_response,
         f"WITH {_IDX}, p AS (SELECT a.vec_id AS probe_id, b.vec_id AS key, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN (SELECT * FROM v WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 2048) b ON a.tenant = b.tenant WHERE a.vec_id % 2 = 0), n AS (SELECT probe_id, arg_max(key, [s, key::DOUBLE]) AS key FROM p WHERE s >= 0.3 GROUP BY probe_id) SELECT v.vec_id AS probe_id, key, coalesce(key % 5 <> 0 AND key % 3 <> 0, false) AS hit, CASE WHEN key % 5 <> 0 AND key % 3 <> 0 THEN 200 + key % 7 END AS status_code FROM v LEFT JOIN n ON n.probe_id = v.vec_id WHERE v.vec_id % 2 = 0",
     ),
+    "similarity_hydrate": (similarity_hydrate, "SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id) AS place FROM (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 11 <> 0 ORDER BY vec_id DESC LIMIT 50)"),
     "store_decision": (store_decision, "SELECT event_type, count(*) AS answers, count(*) FILTER (WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND event_id % 5 IN (1, 2)) AS stored FROM events GROUP BY event_type"),
     "similarity_fifo": (similarity_fifo, "SELECT vec_id AS key, vec_id AS seq, len(embedding) AS dim FROM embeddings WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 100"),
     "similarity_gate": (similarity_gate, f"WITH {_IDX}, p AS (SELECT list_cosine_similarity(a.v, b.v) >= 0.97 AS hit, a.label = b.label AS want FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0 UNION ALL SELECT true, true FROM v) SELECT round(count(*) FILTER (WHERE hit AND want) / nullif(count(*) FILTER (WHERE hit), 0), 6) AS precision, round(count(*) FILTER (WHERE hit AND want) / count(*) FILTER (WHERE want), 6) AS recall, count(*) FILTER (WHERE hit AND NOT want) AS false_hits, count(*) FILTER (WHERE hit AND NOT want) = 0 AS passed FROM p"),

@@ -77,6 +77,11 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(rows, rows)
 
 
+def node_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir).withColumn("seq", F.col("request_id") * 1000 + F.col("msg_idx"))
+    return M.node_order(rows, "seq")
+
+
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by kind, and edges."""
     rows = conversations(spark, sf_dir)
@@ -149,6 +154,7 @@ QUERIES = {
     "retrieval_recall": (retrieval_recall, f"WITH {_RELEVANT} SELECT r.query_id, bool_or(contains(d.text, b.text)) AS found FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.id WHERE rank <= 5 GROUP BY r.query_id"),
     "hashing_embed": (hashing_embed, f"WITH t AS (SELECT doc_id, unnest({_terms_sql('text')}) AS term FROM documents), h AS (SELECT doc_id, ('0x' || substr(sha256(term), 15, 2))::INT AS bucket, CASE WHEN (('0x' || substr(sha256(term), 11, 2))::INT & 2) <> 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS s FROM t), a AS (SELECT doc_id, bucket, sum(s) AS raw FROM h GROUP BY ALL HAVING sum(s) <> 0) SELECT doc_id, bucket::BIGINT AS bucket, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS value FROM a"),
     "semantic_topk": (semantic_topk, "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM v q, v d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10 AND score > 0"),
+    "node_order": (node_order, f"WITH {_TURNS} SELECT id, min(conv_id * 1000 + turn) AS seq FROM n GROUP BY id"),
     "graph_counts": (graph_counts, f"WITH {_TURNS}, k AS (SELECT id, any_value(kind) AS kind FROM n GROUP BY id) SELECT kind, count(*) AS n FROM k GROUP BY kind UNION ALL SELECT 'follows', count(*) FROM (SELECT lag(id) OVER (PARTITION BY conv_id ORDER BY turn) AS src FROM n WHERE kind = 'turn') WHERE src IS NOT NULL"),
     "missing_vectors": (missing_vectors, "SELECT lang, count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 3) GROUP BY lang"),
     "lead_sentence": (lead_sentence, f"SELECT doc_id, sha256({_TRIM.format(f'substr({_CUT}, 1, 200)')}) AS sha FROM (SELECT doc_id, {_TRIM.format(_LINE)} AS l FROM documents)"),

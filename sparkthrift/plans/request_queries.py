@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkthrift.functions import keys as K
 from sparkthrift.functions import redaction as R
 from sparkthrift.functions import text as T
-from sparkthrift.operators import crypto, requests, tiers
+from sparkthrift.operators import crypto, metrics, requests, tiers
 
 from . import lifecycle
 from .common import NL, conversations, filler_sql, lossless_sql, table, tokens_sql
@@ -165,6 +165,20 @@ def shred_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.groupBy("tenant").agg(F.count(F.lit(1)).alias("rows"), F.count("plain").alias("opened"))
 
 
+def encrypted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh conversation is asked for by a foreign tenant, and one tenant is shredded: both miss."""
+    rows = conversations(spark, sf_dir).select("request_id", "msg_idx", F.concat_ws("/", "request_id", "msg_idx").alias("key"), F.concat(F.lit("t"), F.col("request_id") % 5).alias("tenant"), F.col("text").cast("binary").alias("body"))
+    stored = crypto.put_sealed(rows, crypto.tenant_keys(rows, _master()))
+    asked = rows.drop("body").withColumn("tenant", F.when(F.col("request_id") % 7 == 0, "t9").otherwise(F.col("tenant")))
+    found = crypto.get_sealed(asked, stored, crypto.tenant_keys(asked, _master(), shredded=["t2"]))
+    return found.select("request_id", "msg_idx", "hit", F.sha2("body", 256).alias("sha"))
+
+
+def lifecycle_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of what the lifecycle of requests put out."""
+    return metrics.totals(request_lifecycle(spark, sf_dir))
+
+
 def request_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation sent twice, an hour apart; the second of a cacheable one is a hit."""
     body = _bodies(spark, sf_dir).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -202,6 +216,11 @@ n AS (SELECT conv_id, {tokens_sql('b')} AS b, least({tokens_sql('a')}, {tokens_s
 life AS (SELECT conv_id * 2 + again AS request_id, CASE WHEN conv_id % 10 = 9 THEN 'unknown' ELSE 'anthropic' END AS dialect, '' AS tenant, CASE WHEN conv_id % 10 = 9 THEN 502 ELSE 200 END AS status, CASE WHEN conv_id % 10 = 9 THEN 'none' WHEN again = 1 THEN 'hit' ELSE 'miss' END AS cache, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE b END AS tokens_before, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE a END AS tokens_after FROM n)"""
 
 QUERIES = {
+    "encrypted_cache": (encrypted_cache, "SELECT conv_id AS request_id, turn AS msg_idx, conv_id % 7 <> 0 AND conv_id % 5 <> 2 AS hit, CASE WHEN conv_id % 7 <> 0 AND conv_id % 5 <> 2 THEN sha256(text) END AS sha FROM conversations"),
+    "lifecycle_totals": (
+        lifecycle_totals,
+        f"{_LIFE} SELECT count(*) AS requests, count(*) FILTER (WHERE cache = 'hit') AS hits, count(*) FILTER (WHERE cache = 'similar') AS similar_hits, round(count(*) FILTER (WHERE cache = 'hit') / count(*), 4) AS cache_hit_rate, sum(tokens_before)::BIGINT AS tokens_before, sum(tokens_after)::BIGINT AS tokens_after, (sum(tokens_before) - sum(tokens_after))::BIGINT AS tokens_saved, round((sum(tokens_before) - sum(tokens_after)) / sum(tokens_before), 4) AS overall_ratio FROM life",
+    ),
     "request_lifecycle": (request_lifecycle, f"{_LIFE} SELECT * FROM life"),
     "meta_header_lines": (meta_header_lines, f"{_LIFE} SELECT request_id, 'x-sparkthrift-' || unnest(['cache', 'dialect', 'tokens-before', 'tokens-after', 'tokens-saved']) AS name, unnest([cache, dialect, tokens_before::VARCHAR, tokens_after::VARCHAR, greatest(0, tokens_before - tokens_after)::VARCHAR]) AS value FROM life"),
     "dialect_detect": (dialect_detect, f"WITH p AS (SELECT page_id, {PATHS} AS path FROM pages) SELECT page_id, {DETECT_SQL} AS dialect, nullif(regexp_extract(regexp_extract(path, '[^/]*$'), '^([^:]+):(.+)$', 1), '') AS model FROM p"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkthrift.functions import text as T
+from sparkthrift.operators import evaluation as E
 from sparkthrift.operators import tiers
 
 from .common import DECORATED, EVENTS_SQL, SPANS_SQL, conversations, decorated, filler_sql, lossless_sql, per_span, table, timed_events, tokens_sql, words_sql
@@ -42,6 +43,17 @@ def tier_savings_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tokens_saved", saved).withColumn("ratio", F.round(saved / F.col("tokens_before"), 6))
 
 
+def ladder_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean reduction of each tier, and its gain over the tier before, by size of the input."""
+    text, n = F.col("text"), T.heuristic_tokens
+    after = T.bind(T.lossless(text), lambda t: F.struct(n(t).alias("t0"), n(T.filler(t)).alias("t1"), n(T.filler(t, T.AGGRESSIVE_FILLERS)).alias("t2")))
+    bucket = F.when(n(text) < 200, "small").when(n(text) < 800, "medium").otherwise("large")
+    made = decorated(spark, sf_dir).select(bucket.alias("bucket"), n(text).alias("tokens_before"), after.alias("x")).select("bucket", "tokens_before", "x.*")
+    each = F.array(*(F.struct(F.lit(tier).alias("tier"), F.lit(level).alias("level"), F.col(f"t{level}").alias("tokens_after")) for level, tier in enumerate(("lossless", "filler", "aggressive"))))
+    found = E.ladder(made.select("bucket", "tokens_before", F.inline(each)))
+    return found.select("bucket", "tier", "cases", F.round("mean_reduction", 6).alias("mean_reduction"), F.round("gain", 6).alias("gain"))
+
+
 def never_cost_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     worse = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" padding padding"))).otherwise(T.filler(F.col("text")))
     kept = T.not_longer(F.col("text"), worse)
@@ -87,19 +99,27 @@ def _filler_query(names: tuple[str, ...]) -> str:
     return f"WITH {SPANS_SQL} SELECT doc_id, sha256(text) AS sha FROM ({per_span(filler_sql('text', names))})"
 
 
-def _savings_sql() -> str:
+def _savings_sql(last: str = "") -> str:
     spans_of = "SELECT doc_id, lang, i, mutable, CASE WHEN mutable THEN {} ELSE text END AS text FROM spans"
     parts = [f"WITH {SPANS_SQL}, l AS ({spans_of.format(lossless_sql('text'))})"]
     tier = lambda name, change: f"SELECT lang, '{name}' AS tier, doc_id, {tokens_sql('text')} AS n FROM (SELECT doc_id, any_value(lang) AS lang, string_agg(CASE WHEN mutable THEN {change} ELSE text END, '' ORDER BY i) AS text FROM l GROUP BY doc_id)"
     parts.append(", a AS (" + " UNION ALL ".join((tier("lossless", "text"), tier("filler", filler_sql("text", T.DEFAULT_FILLERS)), tier("aggressive", filler_sql("text", T.AGGRESSIVE_FILLERS)))) + ")")
     parts.append(f", b AS (SELECT doc_id, {tokens_sql('t')} AS n FROM d)")
+    if last:
+        return " ".join([*parts, last])
     parts.append("SELECT a.lang, count(*) AS requests, sum(b.n)::BIGINT AS tokens_before, a.tier, sum(a.n)::BIGINT AS tokens_after, (sum(b.n) - sum(a.n))::BIGINT AS tokens_saved, round((sum(b.n) - sum(a.n)) / sum(b.n), 6) AS ratio FROM a JOIN b USING (doc_id) GROUP BY a.lang, a.tier")
     return " ".join(parts)
 
 
+_LADDER = """, c AS (SELECT CASE WHEN b.n < 200 THEN 'small' WHEN b.n < 800 THEN 'medium' ELSE 'large' END AS bucket, a.tier, list_position(['lossless', 'filler', 'aggressive'], a.tier) AS level, CASE WHEN b.n > 0 THEN 1 - a.n / b.n ELSE 0 END AS ratio FROM a JOIN b USING (doc_id)),
+m AS (SELECT bucket, tier, level, count(*) AS cases, avg(ratio) AS mean FROM c GROUP BY ALL)
+SELECT bucket, tier, cases, round(mean, 6) AS mean_reduction, round(mean - coalesce(lag(mean) OVER (PARTITION BY bucket ORDER BY level), 0), 6) AS gain FROM m"""
+_OUT = f"CASE WHEN d.doc_id % 5 = 0 THEN o.text || ' extra' ELSE {lossless_sql('d.t')} END"
+
 QUERIES = {
+    "ladder_means": (ladder_means, _savings_sql(_LADDER)),
     "spans_classify": (spans_classify, f"WITH {SPANS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS span_idx, mutable, sha256(text) AS span_sha FROM spans"),
-    "span_roundtrip": (span_roundtrip, "SELECT lang, count(*) AS docs, count(*) AS same FROM documents GROUP BY lang"),
+    "span_roundtrip": (span_roundtrip, f"WITH {SPANS_SQL}, o AS ({per_span('text')}) SELECT d.lang, count(*) AS docs, count(*) FILTER (WHERE o.text = d.t) AS same FROM d LEFT JOIN o USING (doc_id) GROUP BY d.lang"),
     "lossless_text": (_hashed(T.lossless), f"WITH {SPANS_SQL} SELECT doc_id, sha256(text) AS sha FROM ({per_span(lossless_sql('text'))})"),
     "filler_default": (_hashed(T.filler), _filler_query(T.DEFAULT_FILLERS)),
     "filler_aggressive": (_hashed(lambda t: T.filler(t, T.AGGRESSIVE_FILLERS)), _filler_query(T.AGGRESSIVE_FILLERS)),
@@ -108,7 +128,7 @@ QUERIES = {
         never_cost_more,
         f"WITH {SPANS_SQL}, f AS ({per_span(filler_sql('text', T.DEFAULT_FILLERS))}), o AS (SELECT d.doc_id, t, CASE WHEN d.doc_id % 3 = 0 THEN t || ' padding padding' ELSE f.text END AS c FROM d JOIN f USING (doc_id)), k AS (SELECT doc_id, CASE WHEN {tokens_sql('c')} > {tokens_sql('t')} THEN t ELSE c END AS x FROM o) SELECT doc_id, {tokens_sql('x')} AS tokens, sha256(x) AS sha FROM k",
     ),
-    "invariant_lossless": (invariant_lossless, "SELECT doc_id, doc_id % 5 <> 0 AS ok FROM documents"),
+    "invariant_lossless": (invariant_lossless, f"WITH {SPANS_SQL}, o AS ({per_span(lossless_sql('text'))}) SELECT d.doc_id, {words_sql('d.t')} = {words_sql(_OUT)} AS ok FROM d JOIN o USING (doc_id)"),
     "invariant_filler": (invariant_filler, f"WITH d AS (SELECT doc_id, {DECORATED} AS t FROM documents), w AS (SELECT doc_id, list_filter({words_sql('t')}, lambda v: NOT list_contains([{', '.join(repr(x) for x in T.DEFAULT_FILLERS)}], lower(trim(v, '.,!')))) AS k FROM d) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN false WHEN 1 THEN len(k) = 0 ELSE true END AS ok FROM w"),
     "verify_sampler": (verify_sampler, f"WITH {EVENTS_SQL}, k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ev) SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE ceil(k * 0.3::DOUBLE) > ceil((k - 1) * 0.3::DOUBLE)) AS verified FROM k GROUP BY user_id"),
     "dedup_blocks": (dedup_blocks, f"WITH r AS (SELECT source AS request_id, doc_id AS msg_idx, text, length(text) >= 200 AND row_number() OVER (PARTITION BY source, text ORDER BY doc_id) > 1 AS deduplicated FROM documents) SELECT request_id, msg_idx, deduplicated, CASE WHEN deduplicated THEN {(len(tiers.DEDUP_MARKER) + 3) // 4} ELSE {tokens_sql('text')} END AS tokens FROM r"),
