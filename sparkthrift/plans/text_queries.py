@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkthrift.functions import invariants as I
 from sparkthrift.functions import text as T
 from sparkthrift.operators import evaluation as E
 from sparkthrift.operators import tiers
@@ -65,6 +66,17 @@ def invariant_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", T.same_words(F.col("text"), F.col("out")).alias("ok"))
 
 
+def request_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations against copies whose last message lost its role, gained a word or went missing."""
+    rows = conversations(spark, sf_dir).withColumn("last", F.max("msg_idx").over(Window.partitionBy("request_id")) == F.col("msg_idx"))
+    harm = lambda k: F.col("last") & (F.col("request_id") % 4 == k)
+    after = F.struct("msg_idx", F.when(harm(1), "tool").otherwise(F.col("role")).alias("role"), F.when(harm(2), F.concat("text", F.lit(" extra"))).otherwise(F.col("text")).alias("text"))
+    made = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("msg_idx", "role", "text"))).alias("x"), F.array_sort(F.collect_list(F.when(~harm(3), after))).alias("y"))
+    request = lambda c: F.struct(F.lit(None).cast("string").alias("system"), F.col(c).alias("messages"))
+    found = I.request_violations(request("x"), request("y"))
+    return made.select("request_id", F.array_join(found, ",").alias("violations"))
+
+
 def invariant_filler(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = T.filler_prose(F.col("text"), T.DEFAULT_FILLERS)
     rows = decorated(spark, sf_dir).withColumn("out", F.when(F.col("doc_id") % 5 == 0, F.concat(out, F.lit(" extra"))).when(F.col("doc_id") % 5 == 1, F.regexp_replace(out, r"\S+\s*\z", "")).otherwise(out))
@@ -117,6 +129,13 @@ SELECT bucket, tier, cases, round(mean, 6) AS mean_reduction, round(mean - coale
 _OUT = f"CASE WHEN d.doc_id % 5 = 0 THEN o.text || ' extra' ELSE {lossless_sql('d.t')} END"
 
 QUERIES = {
+    "request_violations": (
+        request_violations,
+        f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+h AS (SELECT conv_id, i, role, text, last AND conv_id % 4 = 3 AS gone, CASE WHEN last AND conv_id % 4 = 1 THEN 'tool' ELSE role END AS role2, CASE WHEN last AND conv_id % 4 = 2 THEN text || ' extra' ELSE text END AS text2 FROM c),
+v AS (SELECT conv_id, i, gone, CASE WHEN gone THEN NULL WHEN role <> role2 THEN 'role ' || i WHEN {words_sql('text')} <> {words_sql('text2')} THEN 'words ' || i END AS said FROM h)
+SELECT conv_id AS request_id, concat_ws(',', CASE WHEN bool_or(gone) THEN 'message count' END, string_agg(said, ',' ORDER BY i)) AS violations FROM v GROUP BY conv_id""",
+    ),
     "ladder_means": (ladder_means, _savings_sql(_LADDER)),
     "spans_classify": (spans_classify, f"WITH {SPANS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS span_idx, mutable, sha256(text) AS span_sha FROM spans"),
     "span_roundtrip": (span_roundtrip, f"WITH {SPANS_SQL}, o AS ({per_span('text')}) SELECT d.lang, count(*) AS docs, count(*) FILTER (WHERE o.text = d.t) AS same FROM d LEFT JOIN o USING (doc_id) GROUP BY d.lang"),
