@@ -11,6 +11,9 @@ every code of the radius.  What is found is checked in full, and reranked by
 inner products of the original vectors in double precision.  A query with
 fewer than k codes in the radius probes larger ones until it has k.
 
+The radius holds a fixed share of the true neighbours, among all rows, of a
+bounded set of asked vectors, so it shrinks as the rows grow denser.
+
 Every row is indexed.  Blocks of the index meet blocks of the queries; a task
 holds one of each and emits k rows a query.
 
@@ -24,6 +27,7 @@ are all returned; extra columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,12 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import stage, table, union_all
 
-#: Vectors that the rotations and the radius are learned on, at most.
-SAMPLE = 8_000
+#: Vectors that the rotations are learned on, at most, and those of them whose true neighbours set the radius.
+SAMPLE, ASKS = 8_000, 200
 ROTATIONS = 4
 #: Vectors of an index block and of a query block.
 INDEX_ROWS, QUERY_ROWS = 16_384, 4_096
-#: Share of a sample query's neighbours that the radius must hold.
+#: Share of these true neighbours that the radius must hold.
 HELD = 0.97
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
@@ -90,18 +94,36 @@ class Index:
         return found[distances(self.code[found], q) <= radius]
 
 
-def learn(x: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """Rotations, and the radius that holds ``HELD`` of the sample's own neighbours."""
-    rotation = learn_rotations(x)
-    code = codes(x, rotation)
-    seen = []
-    for i in range(0, len(x), max(1, len(x) // 200)):
-        near = x @ x[i]
-        near[i] = -np.inf
-        top = np.argsort(-near)[: min(k, len(x) - 1)]
-        seen.append(distances(code[top], code[i]))
-    all_seen = np.concatenate(seen) if seen else np.empty(0)
-    return rotation, int(np.quantile(all_seen, HELD)) if len(all_seen) else code.shape[1] * 16
+def nearest_distances(rows: DataFrame, ids: np.ndarray, asks: np.ndarray, index_codes: Callable[[np.ndarray], np.ndarray], query_codes: np.ndarray, k: int) -> DataFrame:
+    """(ask, score, distance): code distances of the ``k`` true neighbours of a bounded set of asked vectors among all rows.
+
+    Each partition keeps ``k`` rows an ask while it streams, so what is shuffled
+    does not depend on the rows.
+    """
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, apart = np.full((k, len(asks)), -np.inf), np.zeros((k, len(asks)), np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 4_096):
+                part = batch.iloc[lo : lo + 4_096]
+                v = np.array(part["v"].tolist(), float)
+                if not len(v):
+                    continue
+                near = v @ asks.T
+                near[part["vec_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                top = np.argsort(-near, axis=0, kind="stable")[:k]
+                code = index_codes(v)
+                far = np.stack([distances(code[t], q) for t, q in zip(top.T, query_codes, strict=True)], axis=1)
+                score = np.concatenate((score, np.take_along_axis(near, top, 0)))
+                apart = np.concatenate((apart, far))
+                keep = np.argsort(-score, axis=0, kind="stable")[:k]
+                score, apart = np.take_along_axis(score, keep, 0), np.take_along_axis(apart, keep, 0)
+        at, ask = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"ask": ask, "score": score[at, ask], "distance": apart[at, ask]})
+
+    some = rows.select("vec_id", "v").mapInPandas(best, "ask int, score double, distance int")
+    place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "distance"))
+    return some.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def _usable(vector: Column) -> Column:
@@ -131,7 +153,18 @@ def _nearest(rows: DataFrame, n: int, most: float, k: int, every: int, sample: i
         rest = np.sqrt(np.maximum(most - (v * v).sum(1), 0.0)) / math.sqrt(most)
         return np.concatenate((v / math.sqrt(most), rest[:, None]), axis=1)
 
-    rotation, radius = learn(lengthen(np.array(fit["v"].tolist(), float)), k)
+    def query_codes(v: np.ndarray) -> np.ndarray:
+        return codes(np.concatenate((v / math.sqrt(most), np.zeros((len(v), 1))), axis=1), rotation)
+
+    def index_codes(v: np.ndarray) -> np.ndarray:
+        return codes(lengthen(v), rotation)
+
+    seen = np.array(fit["v"].tolist(), float)
+    rotation = learn_rotations(lengthen(seen))
+    asks = seen[:ASKS]
+    found = nearest_distances(rows, fit["vec_id"].to_numpy()[:ASKS], asks, index_codes, query_codes(asks), k)
+    held = found.agg(F.percentile("distance", F.lit(HELD))).first()[0]
+    radius = math.ceil(held) if held is not None else 16 * query_codes(asks).shape[1]
     blocks = max(24, math.ceil(n / index_rows))
     asked = max(1, math.ceil(n / every / query_rows))
     spread = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks).cast("long")).alias("b"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(asked).cast("long")).alias("q"))
@@ -144,12 +177,10 @@ def _nearest(rows: DataFrame, n: int, most: float, k: int, every: int, sample: i
             v, ids = np.array(left["v"].tolist(), float), left["vec_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             v, ids = v[order], ids[order]
-            table_of = Index(codes(lengthen(v), rotation))
+            table_of = Index(index_codes(v))
             right = right.drop_duplicates("vec_id")
             asks = np.array(right["v"].tolist(), float)
-            long = asks / math.sqrt(most)
-            code = codes(np.concatenate((long, np.zeros((len(long), 1))), axis=1), rotation)
-            for name, ask, c in zip(right["vec_id"], asks, code, strict=True):
+            for name, ask, c in zip(right["vec_id"], asks, query_codes(asks), strict=True):
                 r, others = radius, int((ids != name).sum())
                 while True:
                     at = table_of.within(c, r)
