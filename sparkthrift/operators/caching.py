@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,11 +47,12 @@ def storable(status: Column, compacted: Column) -> Column:
     return F.coalesce((status >= 200) & (status < 300) & ~compacted, F.lit(False))
 
 
-def _folded(events: DataFrame, order: tuple[str, ...], added: list[StructField], start: Callable[[], Callable[[float], tuple]]) -> DataFrame:
+def _folded(events: DataFrame, order: tuple[str, ...], added: list[StructField], start: Callable[[], Callable[..., tuple]], reads: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns to events (key, ts, ...) by a fold over each key's rows in order of ts and ``order``.
 
     Rows are sorted inside hash partitions of the key and streamed through the
-    fold, so a key of any size takes linear time and a few numbers of memory.
+    fold, so a key of any size takes linear time and only the fold's own memory.
+    A step gets ts and the columns ``reads``.
     Rows without ts are left out.
     """
     names, kinds = [f.name for f in added], [to_arrow_type(f.dataType) for f in added]
@@ -58,10 +61,10 @@ def _folded(events: DataFrame, order: tuple[str, ...], added: list[StructField],
         last, step = None, None
         for batch in batches:
             made = []
-            for key, t in zip(batch.column("key").to_pylist(), batch.column("ts").to_pylist(), strict=True):
+            for key, *values in zip(*(batch.column(x).to_pylist() for x in ("key", "ts", *reads)), strict=True):
                 if step is None or key != last:
                     last, step = key, start()
-                made.append(step(t))
+                made.append(step(*values))
             columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
@@ -89,6 +92,57 @@ def replay(events: DataFrame, ttl: float, order: tuple[str, ...] = ()) -> DataFr
     return _folded(events, order, [StructField("hit", BooleanType())], start)
 
 
+def similar_replay(events: DataFrame, threshold: float, ttl: float, most: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``answered_by`` and ``similarity`` to events (key, ts, entry, vector): the similarity cache over time.
+
+    ``key`` is the scope (model and tenant) in which entries are compared.  An
+    event is answered by the live entry of the largest cosine at or over the
+    threshold (ties: the later entry); one that is not answered becomes an
+    entry, and beyond ``most`` the oldest entry of the scope goes.  Vectors that
+    are null, zero, or hold null or non-finite components are neither answered
+    nor remembered.  A scope is one fold, in time linear in its events.
+    """
+
+    def start() -> Callable[..., tuple]:
+        entries: deque[tuple[float, object]] = deque()
+        units, lo = np.empty((0, 0)), 0  # the entries' directions are units[lo : lo + len(entries)]
+
+        def step(t: float, entry: object, vector: list[float] | None) -> tuple:
+            nonlocal units, lo
+            v = np.array([np.nan] if not vector else vector, float)
+            size = float(np.sqrt((v * v).sum()))
+            if not np.isfinite(size) or size == 0.0:
+                return None, None
+            while entries and entries[0][0] + ttl <= t:
+                entries.popleft()
+                lo += 1
+            if entries and units.shape[1] != len(v):
+                raise ValueError("vectors of different lengths")
+            if entries:
+                close = units[lo : lo + len(entries)] @ (v / size)
+                best = len(close) - 1 - int(np.argmax(close[::-1]))
+                if close[best] >= threshold:
+                    return entries[best][1], float(close[best])
+            if most > 0:
+                if len(entries) == most:
+                    entries.popleft()
+                    lo += 1
+                end = lo + len(entries)
+                if end == len(units) or units.shape[1] != len(v):  # move to the front of a roomier array
+                    room = np.empty((2 * len(entries) + 16, len(v)))
+                    if entries:
+                        room[: len(entries)] = units[lo:end]
+                    units, lo, end = room, 0, len(entries)
+                units[end] = v / size
+                entries.append((t, entry))
+            return None, None
+
+        return step
+
+    kind = events.schema["entry"].dataType
+    return _folded(events, order, [StructField("answered_by", kind), StructField("similarity", DoubleType())], start, ("entry", "vector"))
+
+
 def seen_within(sightings: DataFrame, ttl: float, keys: tuple[str, ...] = ("tenant", "digest"), ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``seen``: was the key sighted at most ``ttl`` before (every sighting refreshes)?  Equal times go by ``order``."""
     before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts, *order))

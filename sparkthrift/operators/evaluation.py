@@ -60,7 +60,14 @@ def best_ratio(sweep: DataFrame) -> DataFrame:
     return sweep.agg(best.alias("best_ratio"))
 
 
+def totals(results: DataFrame) -> DataFrame:
+    """One row over (tokens_before, tokens_after, canonicalized, passed): sums, regressions, verdict of the gate."""
+    before, after, wrong = (F.coalesce(x, F.lit(0).cast("long")) for x in (F.sum("tokens_before"), F.sum("tokens_after"), F.count_if(~F.col("passed"))))
+    ratio = F.when(before > 0, (before - after) / before).otherwise(0.0)
+    return results.agg(F.count(F.lit(1)).alias("samples"), F.count_if("canonicalized").alias("canonicalized"), before.alias("tokens_before"), after.alias("tokens_after"), (before - after).alias("tokens_saved"), ratio.alias("overall_ratio"), wrong.alias("regressions"), (wrong == 0).alias("passed"))
+
+
 def samples(rows: DataFrame, compressed: Column, tokens: Column, after: Column, equal: Column) -> DataFrame:
     """Token counts and verdict per sample; a sample that could not be parsed passes with zeros."""
     known = compressed.isNotNull()
-    return rows.select("name", F.when(known, tokens).otherwise(0).alias("tokens_before"), F.when(known, after).otherwise(0).alias("tokens_after"), F.when(known, equal).otherwise(True).alias("passed"))
+    return rows.select("name", known.alias("canonicalized"), F.when(known, tokens).otherwise(0).alias("tokens_before"), F.when(known, after).otherwise(0).alias("tokens_after"), F.when(known, equal).otherwise(True).alias("passed"))

@@ -37,12 +37,26 @@ def latest_evals(runs: DataFrame) -> DataFrame:
     return runs.groupBy("kind").agg(F.max_by("score", "id").alias("score"), F.max_by("passed", "id").alias("passed"))
 
 
-def _family(rows: DataFrame, order: int, name: str, kind: str, about: str, label: str | None, value: Column) -> DataFrame:
-    text = F.concat(F.lit(name), F.lit("") if label is None else F.concat(F.lit(f'{{{label}="'), F.col(label), F.lit('"}')), F.lit(" "), value)
-    head = rows.limit(1).select(F.explode(F.array(F.lit(f"# HELP {name} {about}"), F.lit(f"# TYPE {name} {kind}"))).alias("line"))
-    head = head.select(F.lit(order).alias("family"), F.when(F.col("line").startswith("# HELP"), 0).otherwise(1).alias("part"), F.lit("").alias("label"), "line")
-    body = rows.select(F.lit(order).alias("family"), F.lit(2).alias("part"), (F.lit("") if label is None else F.col(label)).alias("label"), text.alias("line"))
-    return head.unionByName(body)
+def _family(order: int, name: str, kind: str, about: str, value: Column, label: str | None = None, known: Column | None = None) -> Column:
+    """array<struct<family, part, label, line>>: the two head lines and the sample of one row; empty where the row has none."""
+    named = F.lit("") if label is None else F.coalesce(c(label), F.lit(""))
+    tag = F.lit("") if label is None else F.concat(F.lit(f'{{{label}="'), named, F.lit('"}'))
+    lines = ((0, F.lit(""), F.lit(f"# HELP {name} {about}")), (1, F.lit(""), F.lit(f"# TYPE {name} {kind}")), (2, named, F.concat(F.lit(name), tag, F.lit(" "), value)))
+    made = F.array(*(F.struct(F.lit(order).alias("family"), F.lit(part).alias("part"), own.alias("label"), line.alias("line")) for part, own, line in lines))
+    return made if known is None else F.when(known, made).otherwise(F.slice(made, 1, 0))
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """Events as they are logged: savings that are not below 0, their ratio to 4 and the duration to 2 places."""
+    saved = F.greatest(F.lit(0).cast("long"), c("tokens_before") - c("tokens_after"))
+    ratio = F.when(c("tokens_before") > 0, saved / c("tokens_before")).otherwise(0.0)
+    timed = {"duration_ms": F.bround("duration_ms", 2)} if "duration_ms" in events.columns else {}
+    return events.withColumns({"event": F.lit("savings"), "tokens_saved": saved, "ratio": F.bround(ratio, 4), **timed})
+
+
+def evals_recorded(kind: str, score: Column, passed: Column, report: DataFrame, at: Column) -> DataFrame:
+    """(id, kind, score, passed): a gate's verdict as a row of the table that ``latest_evals`` reads; ``at`` orders the runs."""
+    return report.select(at.alias("id"), F.lit(kind).alias("kind"), score.cast("double").alias("score"), passed.alias("passed"))
 
 
 def number(x: Column, digits: int = 6) -> Column:
@@ -52,21 +66,23 @@ def number(x: Column, digits: int = 6) -> Column:
 
 def prometheus(total: DataFrame, stages: DataFrame, evals: DataFrame, prefix: str = "sparkthrift") -> DataFrame:
     """(family, part, label, line): exposition lines; sorted by these columns they are the page."""
-    rows = [
-        _family(total, 0, f"{prefix}_requests_total", "counter", "Requests seen.", None, c("requests").cast("string")),
-        _family(total, 1, f"{prefix}_cache_hit_rate", "gauge", "Share of requests answered from the exact cache.", None, number(c("cache_hit_rate"))),
-        _family(total, 2, f"{prefix}_tokens_saved_total", "counter", "Input tokens saved.", None, c("tokens_saved").cast("string")),
-        _family(total, 3, f"{prefix}_overall_reduction_ratio", "gauge", "Share of input tokens saved.", None, number(c("overall_ratio"))),
-        _family(stages, 4, f"{prefix}_stage_reduction_ratio", "gauge", "Share of tokens saved by a stage.", "stage", number(c("reduction"))),
-        _family(stages, 5, f"{prefix}_stage_tokens_saved_total", "counter", "Tokens saved by a stage.", "stage", c("tokens_saved").cast("string")),
-        _family(stages.where("accuracy is not null"), 6, f"{prefix}_stage_accuracy_ratio", "gauge", "Share of a stage's checked rows that held.", "stage", number(c("accuracy"))),
-        _family(evals, 7, f"{prefix}_eval_score", "gauge", "Latest score of a gate.", "kind", number(c("score"))),
-        _family(evals, 8, f"{prefix}_eval_passed", "gauge", "Latest verdict of a gate (1: passed).", "kind", c("passed").cast("int").cast("string")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    whole = F.concat(
+        _family(0, f"{prefix}_requests_total", "counter", "Requests seen.", c("requests").cast("string")),
+        _family(1, f"{prefix}_cache_hit_rate", "gauge", "Share of requests answered from the exact cache.", number(c("cache_hit_rate"))),
+        _family(2, f"{prefix}_tokens_saved_total", "counter", "Input tokens saved.", c("tokens_saved").cast("string")),
+        _family(3, f"{prefix}_overall_reduction_ratio", "gauge", "Share of input tokens saved.", number(c("overall_ratio"))),
+    )
+    staged = F.concat(
+        _family(4, f"{prefix}_stage_reduction_ratio", "gauge", "Share of tokens saved by a stage.", number(c("reduction")), "stage"),
+        _family(5, f"{prefix}_stage_tokens_saved_total", "counter", "Tokens saved by a stage.", c("tokens_saved").cast("string"), "stage"),
+        _family(6, f"{prefix}_stage_accuracy_ratio", "gauge", "Share of a stage's checked rows that held.", number(c("accuracy")), "stage", c("accuracy").isNotNull()),
+    )
+    judged = F.concat(
+        _family(7, f"{prefix}_eval_score", "gauge", "Latest score of a gate.", number(c("score")), "kind"),
+        _family(8, f"{prefix}_eval_passed", "gauge", "Latest verdict of a gate (1: passed).", c("passed").cast("int").cast("string"), "kind"),
+    )
+    # head lines come once a row and are the same for all rows of a family
+    return total.select(F.inline(whole)).unionByName(stages.select(F.inline(staged))).unionByName(evals.select(F.inline(judged))).distinct()
 
 
 def _percent(x: Column, width: int = 0) -> Column:

@@ -55,6 +55,22 @@ def kept_headers(headers: Column, dropped: tuple[str, ...] = DROPPED_FROM_REQUES
     return F.filter(headers, lambda h: ~F.lower(h["k"]).isin(*dropped))
 
 
+def header(headers: Column, name: str) -> Column:
+    """The last value of a header, whatever its case; null without it."""
+    return F.get(F.reverse(F.filter(headers, lambda h: F.lower(h["k"]) == name)), F.lit(0))["v"]
+
+
+def correlation_id(headers: Column, fallback: Column) -> Column:
+    """The id that the caller gave, else ``fallback`` (which a batch must make reproducible)."""
+    given = [F.when(header(headers, x) != "", header(headers, x)) for x in ("x-request-id", "x-correlation-id")]
+    return F.coalesce(*given, fallback)
+
+
+def content_type(headers: Column, default: str = "application/json") -> Column:
+    """The first content type of a response, else the default that a replay answers with."""
+    return F.coalesce(F.get(F.filter(headers, lambda h: F.lower(h["k"]) == "content-type"), F.lit(0))["v"], F.lit(default))
+
+
 def is_stream(path: Column, body: Column) -> Column:
     """By the path, or by any value of ``stream`` that is not empty, zero, false or null."""
     flag = F.to_json(F.try_variant_get(F.try_parse_json(body), "$.stream", "variant"))

@@ -10,8 +10,9 @@ from sparkthrift.operators import caching as C
 from sparkthrift.operators import evaluation as E
 from sparkthrift.operators import metrics as X
 from sparkthrift.operators import registrar
+from sparkthrift.operators import reports as P
 
-from .common import EVENTS_SQL, SPANS_SQL, conversations, decorated, filler_sql, per_span, table, timed_events, tokens_sql
+from .common import EVENTS_SQL, SPANS_SQL, conversations, decorated, filler_sql, per_span, table, timed_events, tokens_sql, words_sql
 
 HOUR = 3600.0
 
@@ -154,13 +155,50 @@ def latest_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prometheus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = X.prometheus(metrics_totals(spark, sf_dir), metrics_by_stage(spark, sf_dir), latest_eval(spark, sf_dir))
-    return out.where("part = 2").select("family", "label", "line")
+    return out
 
 
 def stats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.stats_lines(metrics_totals(spark, sf_dir), metrics_by_stage(spark, sf_dir), latest_eval(spark, sf_dir), metrics_by_tenant(spark, sf_dir))
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as logged; some cost more after than before."""
+    rows = savings_events(spark, sf_dir).withColumn("tokens_after", F.col("tokens_after") + F.when(F.col("event_id") % 11 == 0, 9).otherwise(0))
+    return X.event_rows(rows).select("event", "event_id", "cache", "tenant", "tokens_before", "tokens_after", "tokens_saved", "ratio")
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filler tier held to the lossless gate; every seventh document could not be parsed."""
+    rows = decorated(spark, sf_dir).withColumn("name", F.concat(F.lit("doc-"), "doc_id"))
+    rows = rows.withColumn("short", F.when(F.col("doc_id") % 7 != 0, T.filler(F.col("text"))))
+    return E.samples(rows, F.col("short"), T.heuristic_tokens(F.col("text")), T.heuristic_tokens(F.col("short")), T.same_words(F.col("text"), F.col("short")))
+
+
+def eval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.totals(_results(spark, sf_dir)).withColumn("overall_ratio", F.round("overall_ratio", 6))
+
+
+def eval_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.samples(_results(spark, sf_dir))
+
+
+def similarity_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each even vector with the next odd one; those of the same label should hit."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    a = rows.where("vec_id % 2 = 0").select("vec_id", F.col("v").alias("anchor"), F.col("label").alias("la"))
+    b = rows.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("variant"), F.col("label").alias("lb"))
+    pairs = a.join(b, "vec_id").select(F.concat(F.lit("pair-"), "vec_id").alias("name"), "anchor", "variant", (F.col("la") == F.col("lb")).alias("should_hit"))
+    return P.similarity(pairs, 0.1)
+
+
+def similarity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors asked in order of their ids, in two scopes, answered by what came before."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null")
+    events = rows.select((F.col("label") % 2).cast("string").alias("key"), F.col("vec_id").cast("double").alias("ts"), F.col("vec_id").alias("entry"), F.col("embedding").cast("array<double>").alias("vector"))
+    return C.similar_replay(events, 0.3, 1e9, 2048, ("entry",)).select("entry", "key", "answered_by", F.round("similarity", 6).alias("similarity"))
+
+
 def judged_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do filler-free texts keep their first word and a filler they had?"""
     must = F.array(F.get(F.split("text", " "), F.lit(0)), F.when(F.col("doc_id") % 4 == 2, "Obviously").otherwise(F.get(F.split("text", " "), F.lit(0))))
@@ -194,11 +232,25 @@ _STG = "SELECT stage, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_
 _TEN = "SELECT tenant, count(*) AS requests, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, round((sum(b) - sum(a)) / sum(b), 4) AS reduction FROM s WHERE tenant <> '' GROUP BY tenant"
 _EVL = "SELECT event_type AS kind, arg_max((event_id % 9) / 8, event_id) AS score, arg_max(event_id % 2 = 0, event_id) AS passed FROM s GROUP BY event_type"
 _NUM = r"regexp_replace(printf('%.6f', ({0})::DOUBLE), '(\.\d+?)0+$', '\1')"
-_PROM = " UNION ALL ".join(
-    [f"SELECT {i} AS family, '' AS label, 'sparkthrift_{n} ' || {v} AS line FROM tot" for i, n, v in ((0, "requests_total", "requests"), (1, "cache_hit_rate", _NUM.format("cache_hit_rate")), (2, "tokens_saved_total", "tokens_saved"), (3, "overall_reduction_ratio", _NUM.format("overall_ratio")))]
-    + [f"SELECT {i}, stage, 'sparkthrift_stage_{n}{{stage=\"' || stage || '\"}} ' || {v} FROM stg WHERE {w}" for i, n, v, w in ((4, "reduction_ratio", _NUM.format("reduction"), "true"), (5, "tokens_saved_total", "tokens_saved", "true"), (6, "accuracy_ratio", _NUM.format("accuracy"), "accuracy IS NOT NULL"))]
-    + [f"SELECT {i}, kind, 'sparkthrift_eval_{n}{{kind=\"' || kind || '\"}} ' || {v} FROM evl" for i, n, v in ((7, "score", _NUM.format("score")), (8, "passed", "passed::INT"))]
+_SAMPLES = " UNION ALL ".join(
+    [f"SELECT {i} AS family, 2 AS part, '' AS label, 'sparkthrift_{n} ' || {v} AS line FROM tot" for i, n, v in ((0, "requests_total", "requests"), (1, "cache_hit_rate", _NUM.format("cache_hit_rate")), (2, "tokens_saved_total", "tokens_saved"), (3, "overall_reduction_ratio", _NUM.format("overall_ratio")))]
+    + [f"SELECT {i}, 2, stage, 'sparkthrift_stage_{n}{{stage=\"' || stage || '\"}} ' || {v} FROM stg WHERE {w}" for i, n, v, w in ((4, "reduction_ratio", _NUM.format("reduction"), "true"), (5, "tokens_saved_total", "tokens_saved", "true"), (6, "accuracy_ratio", _NUM.format("accuracy"), "accuracy IS NOT NULL"))]
+    + [f"SELECT {i}, 2, kind, 'sparkthrift_eval_{n}{{kind=\"' || kind || '\"}} ' || {v} FROM evl" for i, n, v in ((7, "score", _NUM.format("score")), (8, "passed", "passed::INT"))]
+)
+# Name, type and help of each family.
+_HELP = (
+    ("requests_total", "counter", "Requests seen."),
+    ("cache_hit_rate", "gauge", "Share of requests answered from the exact cache."),
+    ("tokens_saved_total", "counter", "Input tokens saved."),
+    ("overall_reduction_ratio", "gauge", "Share of input tokens saved."),
+    ("stage_reduction_ratio", "gauge", "Share of tokens saved by a stage."),
+    ("stage_tokens_saved_total", "counter", "Tokens saved by a stage."),
+    ("stage_accuracy_ratio", "gauge", "Share of a stage's checked rows that held."),
+    ("eval_score", "gauge", "Latest score of a gate."),
+    ("eval_passed", "gauge", "Latest verdict of a gate (1: passed)."),
 )
+_HEADS = ", ".join("({}, 0, '# HELP sparkthrift_{} {}'), ({}, 1, '# TYPE sparkthrift_{} {}')".format(i, n, about.replace("'", "''"), i, n, kind) for i, (n, kind, about) in enumerate(_HELP))
+_PROM = f"SELECT * FROM pages_of UNION ALL SELECT h.family, h.part, '', h.line FROM (VALUES {_HEADS}) AS h(family, part, line) WHERE h.family IN (SELECT family FROM pages_of)"
 _PCT = "printf('%.1f%%', ({0}) * 100)"
 _LINES = f"""SELECT 0 AS part, '' AS label, 'requests=' || requests || '  cache_hit_rate=' || {_PCT.format('cache_hit_rate')} || '  tokens ' || tokens_before || '->' || tokens_after || ' (saved ' || tokens_saved || ', ' || {_PCT.format('overall_ratio')} || ')' AS line FROM tot
 UNION ALL SELECT 1, stage, rpad(stage, 14, ' ') || ' ' || printf('%8d %8d', tokens_before, tokens_after) || ' ' || lpad({_PCT.format('reduction')}, 10, ' ') || ' ' || lpad(CASE WHEN accuracy IS NULL THEN 'n/a' ELSE {_PCT.format('accuracy')} END, 9, ' ') FROM stg
@@ -208,6 +260,17 @@ _BUCKET = f"WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT user_id::VARCHAR AS key, t
 _SEEN = f"{EVENTS_SQL}, l AS (SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= 86400, false) AS seen FROM ev)"
 _IDX = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label % 2 AS tenant, label FROM embeddings)"
 
+_RES = f"""WITH {SPANS_SQL}, f AS ({per_span(filler_sql('text', T.DEFAULT_FILLERS))}),
+res AS (SELECT 'doc-' || doc_id AS name, doc_id % 7 <> 0 AS known, CASE WHEN known THEN {tokens_sql('d.t')} ELSE 0 END AS b, CASE WHEN known THEN {tokens_sql('f.text')} ELSE 0 END AS a, NOT known OR {words_sql('d.t')} = {words_sql('f.text')} AS ok FROM d JOIN f USING (doc_id)),
+tot AS (SELECT count(*) AS samples, count(*) FILTER (WHERE known) AS canonicalized, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, (sum(b) - sum(a)) / sum(b) AS overall_ratio, count(*) FILTER (WHERE NOT ok) AS regressions, bool_and(ok) AS passed FROM res)"""
+_RES_LINES = f"""{_RES} SELECT 2 AS part, name, printf('%-28s %5s %7d %7d %6.1f%% %3s', name, CASE WHEN known THEN 'yes' ELSE 'no' END, b, a, CASE WHEN b > 0 THEN 100 * ((b - a) / b) ELSE 0.0 END, CASE WHEN ok THEN 'ok' ELSE 'FAIL' END) AS line FROM res
+UNION ALL SELECT 0, '', 'sample                       canon  before   after  saved%  ok' UNION ALL SELECT unnest([1, 3]), '', repeat('-', 60)
+UNION ALL SELECT 4, '', printf('TOTAL  samples=%d canonicalised=%d  tokens %d->%d (saved %d, %.1f%%)  regressions=%d  %s', samples, canonicalized, tokens_before, tokens_after, tokens_saved, 100 * overall_ratio, regressions, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END) FROM tot"""
+_SIM_LINES = f"""WITH {_IDX}, p AS (SELECT 'pair-' || a.vec_id AS name, list_cosine_similarity(a.v, b.v) AS s, a.label = b.label AS want FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), h AS (SELECT *, s >= 0.1 AS hit FROM p)
+SELECT 2 AS part, name, printf('%-28s %6.3f %5s %5s %4s', name, s, CASE WHEN hit THEN 'hit' ELSE 'miss' END, CASE WHEN want THEN 'hit' ELSE 'miss' END, CASE WHEN hit = want THEN 'ok' ELSE 'XX' END) AS line FROM h
+UNION ALL SELECT 0, '', 'case                            sim  pred  want   ok' UNION ALL SELECT unnest([1, 3]), '', repeat('-', 52)
+UNION ALL SELECT 4, '', printf('threshold=0.100  precision=%.1f%%  recall=%.1f%%  false_hits=%d  %s', 100 * coalesce(count(*) FILTER (WHERE hit AND want) / nullif(count(*) FILTER (WHERE hit), 0), 1), 100 * coalesce(count(*) FILTER (WHERE hit AND want) / nullif(count(*) FILTER (WHERE want), 0), 1), count(*) FILTER (WHERE hit AND NOT want), CASE WHEN count(*) FILTER (WHERE hit AND NOT want) = 0 THEN 'PASS' ELSE 'FAIL' END) FROM h"""
+
 QUERIES = {
     "exact_cache_probe": (exact_cache_probe, f"WITH {EVENTS_SQL}, k AS (SELECT *, event_type || '|' || props AS key FROM ev), c AS (SELECT key, max(ts) AS put_at FROM k WHERE event_id % 2 = 0 GROUP BY key) SELECT event_id, coalesce(put_at + 2592000 > ts AND put_at <= ts, false) AS hit, CASE WHEN put_at + 2592000 > ts AND put_at <= ts THEN 200 END::BIGINT AS status_code FROM k LEFT JOIN c USING (key) WHERE event_id % 2 = 1"),
     "cache_ttl_replay": (cache_ttl_replay, f"WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT user_id || '/' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM ev), f AS (SELECT key, k, ts AS stored, false AS hit FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, CASE WHEN o.ts < f.stored + 86400 THEN f.stored ELSE o.ts END, o.ts < f.stored + 86400 FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1) SELECT key, count(*) AS events, count(*) FILTER (WHERE hit) AS hits FROM f GROUP BY key"),
@@ -230,8 +293,13 @@ QUERIES = {
     "metrics_by_stage": (metrics_by_stage, f"{_SAV} {_STG}"),
     "metrics_by_tenant": (metrics_by_tenant, f"{_SAV} {_TEN}"),
     "latest_eval": (latest_eval, f"{_SAV} {_EVL}"),
-    "prometheus_lines": (prometheus_lines, f"{_SAV}, tot AS ({_TOT}), stg AS ({_STG}), evl AS ({_EVL}) {_PROM}"),
+    "prometheus_lines": (prometheus_lines, f"{_SAV}, tot AS ({_TOT}), stg AS ({_STG}), evl AS ({_EVL}), pages_of AS ({_SAMPLES}) {_PROM}"),
     "stats_lines": (stats_lines, f"{_SAV}, tot AS ({_TOT}), stg AS ({_STG}), evl AS ({_EVL}), ten AS ({_TEN}) {_LINES}"),
+    "event_rows": (event_rows, f"{_SAV}, e AS (SELECT event_id, cache, tenant, b, a + CASE WHEN event_id % 11 = 0 THEN 9 ELSE 0 END AS a FROM s) SELECT 'savings' AS event, event_id, cache, tenant, b AS tokens_before, a AS tokens_after, greatest(0, b - a) AS tokens_saved, round_even(CASE WHEN b > 0 THEN greatest(0, b - a) / b ELSE 0 END, 4) AS ratio FROM e"),
+    "eval_totals": (eval_totals, f"{_RES} SELECT * REPLACE (round(overall_ratio, 6) AS overall_ratio) FROM tot"),
+    "eval_report_lines": (eval_report_lines, _RES_LINES),
+    "similarity_report_lines": (similarity_report_lines, _SIM_LINES),
+    "similarity_replay": (similarity_replay, None),
     "judged_recall": (judged_recall, "SELECT count(*) AS cases, round(avg(CASE WHEN doc_id % 4 = 2 THEN 0.5 ELSE 1 END), 6) AS mean_score, count(*) FILTER (WHERE doc_id % 4 <> 2) AS num_passed, bool_and(doc_id % 4 <> 2) AS passed FROM documents"),
     "judge_tiers": (judge_tiers, f"WITH {SPANS_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS tier, count(*) AS cases, count(*) FILTER (WHERE doc_id % 2 = 0) AS kept, round(avg(1 - {tokens_sql('f.text')} / {tokens_sql('d.t')}), 4) AS mean_reduction FROM ({per_span(filler_sql('text', w))}) f JOIN d USING (doc_id)" for n, w in (("L1", T.DEFAULT_FILLERS), ("L2", T.AGGRESSIVE_FILLERS)))),
     "sweep_best": (sweep_best, "SELECT min(l_linenumber / 10) AS best_ratio FROM lineitem WHERE l_linenumber >= 4"),

@@ -7,7 +7,7 @@ requests (request_id, ts, path, headers, body)
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +20,40 @@ from sparkthrift.operators import caching, requests
 from .config import Config
 
 
-def _tiers(config: Config):
-    steps = [T.lossless] if config.lossless else []
+Tier = Callable[[Column], Column]
+Check = Callable[[Column, Column], Column]
+
+
+def _tiers(config: Config) -> list[tuple[str, Tier, Check]]:
+    """(stage, tier, what it must keep) in the order in which they are chained."""
+    names = T.AGGRESSIVE_FILLERS if config.aggressive else T.DEFAULT_FILLERS
+    steps: list[tuple[str, Tier, Check]] = [("lossless", T.lossless, T.same_words)] if config.lossless else []
     if config.filler or config.aggressive:
-        steps.append(lambda t: T.filler(t, T.AGGRESSIVE_FILLERS if config.aggressive else T.DEFAULT_FILLERS))
-    return lambda text: reduce(lambda t, step: step(t), steps, text)
+        steps.append(("filler", lambda t: T.filler(t, names), lambda a, b: T.removed_only(a, b, names)))
+    return steps
+
+
+def _compressed(rows: DataFrame, config: Config) -> DataFrame:
+    """Adds _before and _after (the request's whole text) and stages: of each tier its tokens and whether it kept what it must.
+
+    Raw messages pass untouched; ``ok`` is null if nothing is verified.
+    """
+    p = F.col("parsed")
+    fixed = F.transform(p["messages"], lambda m: m["raw"].isNotNull())
+    rows = rows.withColumn("_t0", F.transform(p["messages"], lambda m: F.coalesce(m["text"], m["raw"]))).withColumn("_s0", p["system"])
+    steps, stages = _tiers(config), []
+    tokens = lambda i: T.heuristic_tokens(_text(F.col(f"_t{i}"), F.col(f"_s{i}")))
+    for i, (name, change, check) in enumerate(steps):
+        text, system = F.col(f"_t{i}"), F.col(f"_s{i}")
+        changed = F.zip_with(text, fixed, lambda t, raw: F.when(raw, t).otherwise(change(t)))  # noqa: B023  called at once
+        rows = rows.withColumns({f"_t{i + 1}": changed, f"_s{i + 1}": change(system)})
+        kept = F.forall(F.zip_with(text, F.col(f"_t{i + 1}"), check), lambda x: x) & F.coalesce(check(system, F.col(f"_s{i + 1}")), F.lit(True))
+        ok = kept if config.verify_sample > 0 else F.lit(None).cast("boolean")
+        stages.append(F.struct(F.lit(name).alias("stage"), tokens(i).alias("tokens_before"), tokens(i + 1).alias("tokens_after"), ok.alias("ok")))
+    before, after = (_text(F.col(f"_t{i}"), F.col(f"_s{i}")) for i in (0, len(steps)))
+    told = F.array(*stages) if stages else F.lit(None).cast("array<struct<stage string, tokens_before bigint, tokens_after bigint, ok boolean>>")
+    rows = rows.withColumns({"_before": before, "_after": T.not_longer(before, after), "stages": F.when(p["messages"].isNotNull(), told)})
+    return rows.drop(*(f"_{x}{i}" for x in "ts" for i in range(len(steps) + 1)))
 
 
 def _alone(key: Column) -> Column:
@@ -47,17 +76,13 @@ def _text(role_text: Column, system: Column) -> Column:
 
 
 def outcomes(rows: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008  it is frozen
-    """One row per request: dialect, tenant, status, cache, tokens_before, tokens_after, key."""
+    """One row per request: dialect, tenant, status, cache, tokens_before, tokens_after, key, stages (a row a tier)."""
     rows = requests.parse_requests(rows, config.structured)
     tenant = K.tenant_id(K.credential(F.col("headers")), config.salt) if config.multi_tenant or config.allowed else F.lit("")
     rows = rows.withColumn("provider", requests.route(F.col("dialect"), F.col("headers"))).withColumn("tenant", tenant)
     rows = rows.withColumn("authorized", K.is_authorized(F.col("tenant"), config.allowed))
 
-    p, change = F.col("parsed"), _tiers(config)
-    said = F.transform(p["messages"], lambda m: F.coalesce(m["text"], m["raw"]))
-    rows = rows.withColumn("_before", _text(said, p["system"]))
-    changed = F.transform(p["messages"], lambda m: F.when(m["raw"].isNotNull(), m["raw"]).otherwise(change(m["text"])))
-    rows = rows.withColumn("_after", T.not_longer(F.col("_before"), _text(changed, F.when(p["system"].isNotNull(), change(p["system"])))))
+    p, rows = F.col("parsed"), _compressed(rows, config)
     messages = F.transform(p["messages"], lambda m: F.array(m["role"], F.coalesce(m["text"], m["raw"])))
     key = K.cache_key(F.col("dialect"), p["model"], p["system"], messages, p["tools"], config.salt)
     key = F.when(F.col("tenant") != "", F.concat(key, F.lit("|"), F.col("tenant"))).otherwise(key)
@@ -65,7 +90,7 @@ def outcomes(rows: DataFrame, config: Config = Config()) -> DataFrame:  # noqa:
     may = F.lit(config.cache) & p["messages"].isNotNull() & ~F.coalesce(p["stream"], F.lit(False)) & ~streamed & ~((F.col("dialect") == "gemini") & p["model"].isNull()) & R.should_cache(F.col("_before"), nocache=config.nocache, bypass_on_secret=config.bypass_on_secret)
     tokens = lambda c: F.coalesce(T.heuristic_tokens(F.col(c)), F.lit(0).cast("long"))
     # from here on rows are narrow, and each is told apart by its request_id: no join parses them again
-    rows = rows.select("request_id", "ts", "dialect", "tenant", "provider", "authorized", tokens("_before").alias("tokens_before"), tokens("_after").alias("tokens_after"), F.when(may, key).alias("cache_key"), streamed.alias("streamed"))
+    rows = rows.select("request_id", "ts", "dialect", "tenant", "provider", "authorized", tokens("_before").alias("tokens_before"), tokens("_after").alias("tokens_after"), F.when(may, key).alias("cache_key"), streamed.alias("streamed"), "stages")
 
     rows = _limits(rows, config)
     status = F.when(F.col("provider").isNull(), 502).when(~F.col("authorized"), 401).when(~F.col("within_rate"), 429)
@@ -73,7 +98,7 @@ def outcomes(rows: DataFrame, config: Config = Config()) -> DataFrame:  # noqa:
     rows = caching.replay(rows.withColumn("key", _alone(F.col("cache_key"))), config.ttl, ("request_id",))
     cache = F.when(F.col("status").isNotNull(), "none").when(F.col("cache_key").isNull(), F.when(F.col("streamed"), "stream-bypass").otherwise("bypass")).when(F.col("hit"), "hit").otherwise("miss")
     dialect = F.when(F.col("provider").isNull(), "unknown").otherwise(F.col("dialect"))
-    return rows.select("request_id", dialect.alias("dialect"), "tenant", F.coalesce("status", F.lit(200)).alias("status"), cache.alias("cache"), "tokens_before", "tokens_after", F.col("cache_key").alias("key"))
+    return rows.select("request_id", dialect.alias("dialect"), "tenant", F.coalesce("status", F.lit(200)).alias("status"), cache.alias("cache"), "tokens_before", "tokens_after", F.col("cache_key").alias("key"), "stages")
 
 
 def meta_headers(events: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from sparkthrift.functions import text as T
 from sparkthrift.operators import crypto, metrics, requests, tiers
 
 from . import lifecycle
-from .common import NL, conversations, filler_sql, lossless_sql, table, tokens_sql
+from .common import NL, PUNCT_SQL, conversations, filler_sql, lossless_sql, table, tokens_sql, words_sql
 from .config import Config
 
 PATHS = """CASE page_id % 5 WHEN 0 THEN '/v1/messages' WHEN 1 THEN concat('/p/', page_id, '/v1/chat/completions') WHEN 2 THEN concat('/v1beta/models/g-', page_id, ':generateContent') WHEN 3 THEN '/v1beta/models/m:streamGenerateContent' ELSE concat('/other/', page_id) END"""
@@ -39,9 +39,9 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("page_id", requests.outcome(dialect, F.col("page_id") % 7 != 0, F.col("page_id") % 3 != 0).cast("int").alias("status"))
 
 
-def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bodies(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
     """An Anthropic-style body of each conversation: (conv_id, path, body)."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.expr(text))
     said = F.array_sort(F.collect_list(F.when(F.col("role") != "system", F.struct("turn", "role", "text"))))
     system = F.max(F.when(F.col("role") == "system", F.col("text")))
     chats = rows.groupBy("conv_id").agg(said.alias("said"), system.alias("system"))
@@ -60,12 +60,18 @@ def parse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serialize_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written and parsed again, with a breakpoint on the last message but one read as a block."""
+    """Written and parsed again."""
     parsed = requests.parse_requests(_bodies(spark, sf_dir)).withColumn("breakpoint", F.lit(None).cast("int"))
     sent = requests.serialize_requests(parsed).select("conv_id", "path", F.col("sent").alias("body"))
     return _told(requests.parse_requests(sent))
 
 
+def serialize_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies as they are sent, with a breakpoint on the last message but one."""
+    parsed = requests.parse_requests(_bodies(spark, sf_dir)).withColumn("breakpoint", F.size("parsed.messages") - 2)
+    return requests.serialize_requests(parsed).select("conv_id", F.sha2("sent", 256).alias("sha"))
+
+
 USAGE = """CASE o_orderkey % 4 WHEN 0 THEN concat('{"usage":{"input_tokens":', o_orderkey, ',"output_tokens":7.9,"cache_read_input_tokens":-3,"cache_creation_input_tokens":true}}') WHEN 1 THEN concat('{"usage":{"prompt_tokens":', o_orderkey, ',"completion_tokens":"5","prompt_tokens_details":{"cached_tokens":4}}}') WHEN 2 THEN concat('{"usageMetadata":{"promptTokenCount":', o_orderkey, ',"candidatesTokenCount":2}}') ELSE '{"usage":[1' END"""
 USAGE_DIALECT = "CASE o_orderkey % 4 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' WHEN 2 THEN 'gemini' ELSE 'openai' END"
 
@@ -179,12 +185,35 @@ def lifecycle_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.totals(request_lifecycle(spark, sf_dir))
 
 
-def request_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation sent twice, an hour apart; the second of a cacheable one is a hit."""
-    body = _bodies(spark, sf_dir).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+def lifecycle_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage table of what the lifecycle of requests put out."""
+    rows = lifecycle.outcomes(_sent_twice(spark, sf_dir, WORDY), Config(filler=True))
+    return metrics.by_stage(rows.select(F.inline("stages")))
+
+
+#: Every other turn with fillers, blanks at line ends and empty lines.
+WORDY = f"CASE turn % 2 WHEN 0 THEN concat('Please just ', text, '   ', {NL}, {NL}, {NL}, {NL}, 'really thanks.  ') ELSE text END"
+
+
+def _sent_twice(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
+    """Each conversation sent twice, an hour apart; every tenth to no known path."""
+    body = _bodies(spark, sf_dir, text).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
     path = F.when(F.col("conv_id") % 10 == 9, "/nowhere").otherwise(F.col("path"))
-    rows = body.select((F.col("conv_id") * 2 + F.col("again")).alias("request_id"), (F.col("again") * 3600.0 + F.col("conv_id")).alias("ts"), path.alias("path"), F.array(F.struct(F.lit("k").alias("k"), F.lit("v").alias("v"))).alias("headers"), "body")
-    return lifecycle.outcomes(rows, Config(filler=True)).drop("key")
+    return body.select((F.col("conv_id") * 2 + F.col("again")).alias("request_id"), (F.col("again") * 3600.0 + F.col("conv_id")).alias("ts"), path.alias("path"), F.array(F.struct(F.lit("k").alias("k"), F.lit("v").alias("v"))).alias("headers"), "body")
+
+
+def request_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second request of a cacheable conversation is a hit."""
+    return lifecycle.outcomes(_sent_twice(spark, sf_dir), Config(filler=True)).drop("key", "stages")
+
+
+def correlation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids given in one of two headers, in either case, empty or absent."""
+    name = F.expr("CASE page_id % 4 WHEN 0 THEN 'X-Request-Id' WHEN 1 THEN 'x-correlation-id' WHEN 2 THEN 'X-REQUEST-ID' ELSE 'content-type' END")
+    value = F.when(F.col("page_id") % 4 == 2, "").otherwise(F.sha2("url", 256))
+    headers = F.array(F.struct(name.alias("k"), value.alias("v")))
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", requests.correlation_id(headers, F.concat(F.lit("row-"), "page_id")).alias("id"), requests.content_type(headers).alias("content_type"))
 
 
 def meta_header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +243,21 @@ _LIFE = f"""WITH m AS (SELECT conv_id, role, turn, text, {filler_sql(lossless_sq
 c AS (SELECT conv_id, coalesce(max(text) FILTER (WHERE role = 'system'), '') || coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS b, coalesce(max(short) FILTER (WHERE role = 'system'), '') || coalesce(string_agg(short, '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS a FROM m GROUP BY conv_id),
 n AS (SELECT conv_id, {tokens_sql('b')} AS b, least({tokens_sql('a')}, {tokens_sql('b')}) AS a, unnest([0, 1]) AS again FROM c),
 life AS (SELECT conv_id * 2 + again AS request_id, CASE WHEN conv_id % 10 = 9 THEN 'unknown' ELSE 'anthropic' END AS dialect, '' AS tenant, CASE WHEN conv_id % 10 = 9 THEN 502 ELSE 200 END AS status, CASE WHEN conv_id % 10 = 9 THEN 'none' WHEN again = 1 THEN 'hit' ELSE 'miss' END AS cache, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE b END AS tokens_before, CASE WHEN conv_id % 10 = 9 THEN 0 ELSE a END AS tokens_after FROM n)"""
+_MARKED_SQL = """WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn) AS nth, count(*) OVER (PARTITION BY conv_id, role = 'system') AS n FROM conversations)
+SELECT conv_id, sha256('{"model":"m-1"' || coalesce(',"system":' || to_json(max(text) FILTER (WHERE role = 'system'))::VARCHAR, '') || ',"max_tokens":64,"messages":[' || coalesce(string_agg('{"role":' || to_json(role)::VARCHAR || ',"content":' || CASE WHEN nth = n - 1 THEN '[{"type":"text","text":' || to_json(text)::VARCHAR || ',"cache_control":{"type":"ephemeral"}}]' ELSE to_json(text)::VARCHAR END || '}', ',' ORDER BY turn) FILTER (WHERE role <> 'system'), '') || ']}') AS sha FROM m GROUP BY conv_id"""
+
+
+def bare_sql(text: str) -> str:
+    """The words that are no fillers, in order."""
+    names = ", ".join(f"'{w}'" for w in T.DEFAULT_FILLERS)
+    return f"list_filter({words_sql(text)}, lambda w: NOT list_contains([{names}], lower(trim(w, {PUNCT_SQL}))))"
+
+
+_STAGE_ROWS = f"""WITH m AS (SELECT conv_id, role, turn, text AS t0, {lossless_sql('text')} AS t1, {filler_sql(lossless_sql('text'), T.DEFAULT_FILLERS)} AS t2 FROM (SELECT * REPLACE ({WORDY} AS text) FROM conversations) WHERE conv_id % 10 <> 9),
+w AS (SELECT conv_id, {', '.join(f"coalesce(max(t{i}) FILTER (WHERE role = 'system'), '') || coalesce(string_agg(t{i}, '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS w{i}" for i in range(3))}, bool_and({words_sql('t0')} = {words_sql('t1')}) AS ok1, bool_and(len({words_sql('t2')}) <= len({words_sql('t1')}) AND {bare_sql('t1')} = {bare_sql('t2')}) AS ok2 FROM m GROUP BY conv_id),
+r AS (SELECT conv_id, unnest([0, 1]) AS again, {', '.join(f"{tokens_sql(f'w{i}')} AS n{i}" for i in range(3))}, ok1, ok2 FROM w),
+st AS (SELECT 'lossless' AS stage, n0 AS b, n1 AS a, ok1 AS ok FROM r UNION ALL SELECT 'filler', n1, n2, ok2 FROM r)
+SELECT stage, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, round((sum(b) - sum(a)) / sum(b), 4) AS reduction, count(ok) AS checked, round(count(*) FILTER (WHERE ok) / count(ok), 4) AS accuracy FROM st GROUP BY stage"""
 
 QUERIES = {
     "encrypted_cache": (encrypted_cache, "SELECT conv_id AS request_id, turn AS msg_idx, conv_id % 7 <> 0 AND conv_id % 5 <> 2 AS hit, CASE WHEN conv_id % 7 <> 0 AND conv_id % 5 <> 2 THEN sha256(text) END AS sha FROM conversations"),
@@ -221,6 +265,8 @@ QUERIES = {
         lifecycle_totals,
         f"{_LIFE} SELECT count(*) AS requests, count(*) FILTER (WHERE cache = 'hit') AS hits, count(*) FILTER (WHERE cache = 'similar') AS similar_hits, round(count(*) FILTER (WHERE cache = 'hit') / count(*), 4) AS cache_hit_rate, sum(tokens_before)::BIGINT AS tokens_before, sum(tokens_after)::BIGINT AS tokens_after, (sum(tokens_before) - sum(tokens_after))::BIGINT AS tokens_saved, round((sum(tokens_before) - sum(tokens_after)) / sum(tokens_before), 4) AS overall_ratio FROM life",
     ),
+    "lifecycle_stages": (lifecycle_stages, _STAGE_ROWS),
+    "correlation_ids": (correlation_ids, "SELECT page_id, CASE WHEN page_id % 4 < 2 THEN sha256(url) ELSE 'row-' || page_id END AS id, CASE WHEN page_id % 4 = 3 THEN sha256(url) ELSE 'application/json' END AS content_type FROM pages"),
     "request_lifecycle": (request_lifecycle, f"{_LIFE} SELECT * FROM life"),
     "meta_header_lines": (meta_header_lines, f"{_LIFE} SELECT request_id, 'x-sparkthrift-' || unnest(['cache', 'dialect', 'tokens-before', 'tokens-after', 'tokens-saved']) AS name, unnest([cache, dialect, tokens_before::VARCHAR, tokens_after::VARCHAR, greatest(0, tokens_before - tokens_after)::VARCHAR]) AS value FROM life"),
     "dialect_detect": (dialect_detect, f"WITH p AS (SELECT page_id, {PATHS} AS path FROM pages) SELECT page_id, {DETECT_SQL} AS dialect, nullif(regexp_extract(regexp_extract(path, '[^/]*$'), '^([^:]+):(.+)$', 1), '') AS model FROM p"),
@@ -228,6 +274,7 @@ QUERIES = {
     "early_outcome": (outcomes, f"WITH p AS (SELECT page_id, {PATHS} AS path FROM pages), d AS (SELECT *, {DETECT_SQL} AS dialect FROM p) SELECT page_id, CASE WHEN dialect = 'unknown' THEN 502 WHEN page_id % 7 = 0 THEN 401 WHEN page_id % 3 = 0 THEN 429 END AS status FROM d"),
     "parse_requests": (parse_requests, _PARSED_SQL),
     "serialize_requests": (serialize_requests, _PARSED_SQL),
+    "serialize_marked": (serialize_marked, _MARKED_SQL),
     "parse_usage": (parse_usage, "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey END::BIGINT AS input_tokens, CASE o_orderkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 0 WHEN 2 THEN 2 END::BIGINT AS output_tokens, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 0 END::BIGINT AS cache_read, CASE WHEN o_orderkey % 4 < 3 THEN 0 END::BIGINT AS cache_write FROM orders"),
     "tenant_id": (tenant_id, "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'anon' ELSE substr(sha256('salt|' || c_name), 1, 16) END AS tenant FROM customer"),
     "authorize": (authorize, "SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS listed, true AS open FROM customer"),
