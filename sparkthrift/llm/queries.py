@@ -16,12 +16,15 @@ from .op7_sharding import op7_sharding
 from .op8_mixing import op8_mixing
 from .op9_quality import op9_quality
 from .op10_dedup import OP10_SQL, op10_exact_dedup
+from .op11_resampling import OP11_SQL, op11_resampling
+from .op12_quality_rules import OP12_SQL, op12_quality_rules
+from .op13_codes import OP13_SQL, op13_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_ann, op3_warc, op4_chat, op5_toxicity, op6_jaccard, op7_sharding, op8_mixing, op9_quality, op10_exact_dedup)
+    found = (op1_packing, op2_ann, op3_warc, op4_chat, op5_toxicity, op6_jaccard, op7_sharding, op8_mixing, op9_quality, op10_exact_dedup, op11_resampling, op12_quality_rules, op13_codes)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_chat": OP4_SQL, "op10_exact_dedup": OP10_SQL, "op11_resampling": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_codes": OP13_SQL}
