@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkthrift.plans import cache_queries, memory_queries, request_queries, text_queries
+from sparkthrift.plans import cache_queries, lifecycle_queries, memory_queries, request_queries, text_queries
 
-_ALL = text_queries.QUERIES | request_queries.QUERIES | memory_queries.QUERIES | cache_queries.QUERIES
+_ALL = text_queries.QUERIES | request_queries.QUERIES | memory_queries.QUERIES | cache_queries.QUERIES | lifecycle_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

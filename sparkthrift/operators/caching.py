@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from sparkthrift.functions import terms as V
 
@@ -52,10 +52,10 @@ def _folded(events: DataFrame, order: tuple[str, ...], added: list[StructField],
 
     Rows are sorted inside hash partitions of the key and streamed through the
     fold, so a key of any size takes linear time and only the fold's own memory.
-    A step gets ts and the columns ``reads``.
-    Rows without ts are left out.
+    A step gets ts and the columns ``reads``.  Rows without ts come to no step:
+    they keep null in the added columns.
     """
-    names, kinds = [f.name for f in added], [to_arrow_type(f.dataType) for f in added]
+    names, kinds, nothing = [f.name for f in added], [to_arrow_type(f.dataType) for f in added], (None,) * len(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, step = None, None
@@ -64,32 +64,78 @@ def _folded(events: DataFrame, order: tuple[str, ...], added: list[StructField],
             for key, *values in zip(*(batch.column(x).to_pylist() for x in ("key", "ts", *reads)), strict=True):
                 if step is None or key != last:
                     last, step = key, start()
-                made.append(step(*values))
+                made.append(step(*values) if values[0] is not None else nothing)
             columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    rows = events.where("ts is not null").repartition("key").sortWithinPartitions("key", "ts", *order)
+    rows = events.repartition("key").sortWithinPartitions("key", "ts", *order)
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *added]))
 
 
 def replay(events: DataFrame, ttl: float, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``hit`` to events (key, ts): a miss stores, hits do not extend, t0 + ttl is a miss.
 
-    Of rows of one key and time the first in ``order`` stores, and the others hit.
+    Of rows of one key and time the first in ``order`` stores, and the others
+    hit; a row without ts neither hits nor stores.  With a column ``stores``, a
+    miss for which it isn't true stores nothing.
     """
+    reads = ("stores",) if "stores" in events.columns else ()
 
-    def start() -> Callable[[float], tuple]:
+    def start() -> Callable[..., tuple]:
         stored: float | None = None
 
-        def step(t: float) -> tuple:
+        def step(t: float, stores: bool | None = True) -> tuple:
             nonlocal stored
             hit = stored is not None and t < stored + ttl
-            stored = stored if hit else t
+            stored = stored if hit else t if stores else None
             return (hit,)
 
         return step
 
-    return _folded(events, order, [StructField("hit", BooleanType())], start)
+    return _folded(events, order, [StructField("hit", BooleanType())], start, reads).withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+class Ring:
+    """The newest ``most`` entries with their directions, oldest first; a search is one product with them."""
+
+    def __init__(self, most: int):
+        self.most, self.entries = most, deque()
+        self.units, self.lo = np.empty((0, 0)), 0  # the entries' directions are units[lo : lo + len(entries)]
+
+    @staticmethod
+    def direction(vector: list[float] | None) -> np.ndarray | None:
+        """Null for vectors that are null, zero, or hold null or non-finite components."""
+        v = np.array([np.nan] if vector is None or not len(vector) else vector, float)
+        size = float(np.sqrt((v * v).sum()))
+        return v / size if np.isfinite(size) and size > 0.0 else None
+
+    def nearest(self, unit: np.ndarray, threshold: float) -> tuple[object, float] | None:
+        """The entry of the largest cosine at or over the threshold (ties: the latest)."""
+        if not self.entries:
+            return None
+        if self.units.shape[1] != len(unit):
+            raise ValueError("vectors of different lengths")
+        close = self.units[self.lo : self.lo + len(self.entries)] @ unit
+        best = len(close) - 1 - int(np.argmax(close[::-1]))
+        return (self.entries[best], float(close[best])) if close[best] >= threshold else None
+
+    def drop(self) -> None:
+        self.entries.popleft()
+        self.lo += 1
+
+    def add(self, entry: object, unit: np.ndarray) -> None:
+        if self.most <= 0:
+            return
+        if len(self.entries) == self.most:
+            self.drop()
+        end = self.lo + len(self.entries)
+        if end == len(self.units) or self.units.shape[1] != len(unit):  # move to the front of a roomier array
+            room = np.empty((2 * len(self.entries) + 16, len(unit)))
+            if self.entries:
+                room[: len(self.entries)] = self.units[self.lo : end]
+            self.units, self.lo, end = room, 0, len(self.entries)
+        self.units[end] = unit
+        self.entries.append(entry)
 
 
 def similar_replay(events: DataFrame, threshold: float, ttl: float, most: int, order: tuple[str, ...] = ()) -> DataFrame:
@@ -104,37 +150,18 @@ def similar_replay(events: DataFrame, threshold: float, ttl: float, most: int, o
     """
 
     def start() -> Callable[..., tuple]:
-        entries: deque[tuple[float, object]] = deque()
-        units, lo = np.empty((0, 0)), 0  # the entries' directions are units[lo : lo + len(entries)]
+        ring = Ring(most)
 
         def step(t: float, entry: object, vector: list[float] | None) -> tuple:
-            nonlocal units, lo
-            v = np.array([np.nan] if not vector else vector, float)
-            size = float(np.sqrt((v * v).sum()))
-            if not np.isfinite(size) or size == 0.0:
+            unit = Ring.direction(vector)
+            if unit is None:
                 return None, None
-            while entries and entries[0][0] + ttl <= t:
-                entries.popleft()
-                lo += 1
-            if entries and units.shape[1] != len(v):
-                raise ValueError("vectors of different lengths")
-            if entries:
-                close = units[lo : lo + len(entries)] @ (v / size)
-                best = len(close) - 1 - int(np.argmax(close[::-1]))
-                if close[best] >= threshold:
-                    return entries[best][1], float(close[best])
-            if most > 0:
-                if len(entries) == most:
-                    entries.popleft()
-                    lo += 1
-                end = lo + len(entries)
-                if end == len(units) or units.shape[1] != len(v):  # move to the front of a roomier array
-                    room = np.empty((2 * len(entries) + 16, len(v)))
-                    if entries:
-                        room[: len(entries)] = units[lo:end]
-                    units, lo, end = room, 0, len(entries)
-                units[end] = v / size
-                entries.append((t, entry))
+            while ring.entries and ring.entries[0][0] + ttl <= t:
+                ring.drop()
+            found = ring.nearest(unit, threshold)
+            if found:
+                return found[0][1], found[1]
+            ring.add((t, entry), unit)
             return None, None
 
         return step
@@ -143,6 +170,45 @@ def similar_replay(events: DataFrame, threshold: float, ttl: float, most: int, o
     return _folded(events, order, [StructField("answered_by", kind), StructField("similarity", DoubleType())], start, ("entry", "vector"))
 
 
+def answers(events: DataFrame, ttl: float, threshold: float, most: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``answer`` (hit, similar or miss) and ``answered_by`` to events (key, ts, entry, vector, stores): both caches over time.
+
+    ``key`` is the scope (model and tenant), ``entry`` the exact key.  An exact
+    live entry hits.  Else the nearest remembered key at or over the threshold
+    answers, if its response is still live.  What misses is stored under its key
+    and remembered, if ``stores``; remembered keys go first in, first out beyond
+    ``most``.  A null entry misses and is not stored.  A scope is one fold.
+    """
+
+    def start() -> Callable[..., tuple]:
+        ring, until, ends = Ring(most), {}, deque()
+
+        def step(t: float, entry: str | None, vector: list[float] | None, stores: bool | None) -> tuple:
+            while ends and ends[0][0] <= t:
+                end, gone = ends.popleft()
+                if until.get(gone) == end:
+                    del until[gone]
+            if entry is None:
+                return "miss", None
+            if entry in until:
+                return "hit", entry
+            unit = Ring.direction(vector)
+            found = ring.nearest(unit, threshold) if unit is not None else None
+            if found and found[0] in until:
+                return "similar", found[0]
+            if stores:
+                until[entry] = t + ttl
+                ends.append((t + ttl, entry))
+                if unit is not None:
+                    ring.add(entry, unit)
+            return "miss", None
+
+        return step
+
+    told = _folded(events, order, [StructField("answer", StringType()), StructField("answered_by", StringType())], start, ("entry", "vector", "stores"))
+    return told.withColumn("answer", F.coalesce("answer", F.lit("miss")))
+
+
 def seen_within(sightings: DataFrame, ttl: float, keys: tuple[str, ...] = ("tenant", "digest"), ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``seen``: was the key sighted at most ``ttl`` before (every sighting refreshes)?  Equal times go by ``order``."""
     before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts, *order))
@@ -155,8 +221,8 @@ def newest(entries: DataFrame, n: int, order: str = "seq") -> DataFrame:
 
 
 def hydrate(entries: DataFrame, n: int, order: str = "seq") -> DataFrame:
-    """What a similarity cache starts with: the newest ``n`` entries, oldest first (``place`` from 1); those without a vector are skipped, as their blob did not decode."""
-    kept = newest(entries.where(F.col("vector").isNotNull()), n, order)
+    """What a similarity cache starts with: of the newest ``n`` entries those whose vector decodes, oldest first (``place`` from 1)."""
+    kept = newest(entries, n, order).where(F.col("vector").isNotNull())
     return kept.withColumn("place", F.row_number().over(Window.orderBy(order)))  # at most n rows
 
 
@@ -177,7 +243,10 @@ def similar(probes: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
 
 
 def token_bucket(events: DataFrame, capacity: float, per_second: float, order: tuple[str, ...] = ()) -> DataFrame:
-    """Adds allowed, retry_after to events (key, ts): a bucket that starts full.  Equal times go by ``order``."""
+    """Adds allowed, retry_after to events (key, ts): a bucket that starts full.  Equal times go by ``order``.
+
+    A row without ts drains nothing and is let through.
+    """
     most, rate = float(capacity), float(per_second)
 
     def start() -> Callable[[float], tuple]:
@@ -194,7 +263,8 @@ def token_bucket(events: DataFrame, capacity: float, per_second: float, order: t
 
         return step
 
-    return _folded(events, order, [StructField("allowed", BooleanType()), StructField("retry_after", DoubleType())], start)
+    told = _folded(events, order, [StructField("allowed", BooleanType()), StructField("retry_after", DoubleType())], start)
+    return told.withColumns({"allowed": F.coalesce("allowed", F.lit(True)), "retry_after": F.coalesce("retry_after", F.lit(0.0))})
 
 
 def epochs(bumps: DataFrame) -> DataFrame:

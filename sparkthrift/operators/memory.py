@@ -69,15 +69,11 @@ def relevant(queries: DataFrame, node_rows: DataFrame, k: int, min_score: float
 def semantic(queries: DataFrame, vectors: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, id, score, rank): ``k`` nearest by cosine, then those not over 0 go.
 
-    Up to 1,024 queries are sent to every vector; more meet the vectors block by
-    block, and a pair of blocks emits ``k`` rows a query.  Vectors that are null
-    or hold null or non-finite components take no part in blocks.
+    Queries meet the vectors block by block, and a pair of blocks emits ``k`` rows
+    a query.  Vectors and queries that are null or hold null or non-finite
+    components take no part.
     """
-    if queries.limit(1025).count() <= 1024:
-        pairs = vectors.join(F.broadcast(queries), how="cross")
-        scored = pairs.select("query_id", "id", "seq", V.cosine(F.col("vector"), F.col("qvector")).alias("score"))
-    else:
-        scored = _by_blocks(queries, vectors, k, block_rows)
+    scored = _by_blocks(queries, vectors, k, block_rows)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))
     return scored.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") > 0)).drop("seq")
 
@@ -181,6 +177,46 @@ def compact_by_retrieval(messages: DataFrame, *, keep_recent: int = 4, retrieve:
     return _rewrite(messages, plan)
 
 
+def sound(messages: Column) -> Column:
+    """May a rewritten request be sent: does it begin with a user message?"""
+    return F.coalesce(F.get(messages, F.lit(0))["role"] == "user", F.lit(False))
+
+
+def recalled(requests: DataFrame, *, keep_recent: int = 4, retrieve: int = 3, min_messages: int = 8) -> DataFrame:
+    """(request_id, start, header): what takes the place of the messages before ``start``, for requests that are compacted.
+
+    ``requests`` has request_id, tenant, ts, system, messages (role, text, raw).
+    A tenant's memory holds the texts of its requests up to and with the one that
+    asks, in the order of (ts, request_id, message); equal texts are one node,
+    from the first on.  Requests with raw messages are remembered by their texts
+    but not compacted, nor are those of which nothing is near.  Nodes and queries
+    meet by shared terms; the text of a node is joined back only for the few
+    that are retrieved.
+    """
+    own = F.transform("messages", lambda m, i: F.struct((i + 1).alias("msg_idx"), m["role"].alias("role"), m["text"].alias("text")))
+    listed = F.concat(F.array(F.struct(F.lit(0).alias("msg_idx"), F.lit("system").alias("role"), F.col("system").alias("text"))), own)
+    turns = _turns(requests.select("request_id", "tenant", "ts", F.explode(listed).alias("m")).select("request_id", "tenant", "ts", "m.*").where("text is not null"))
+    order = F.struct("ts", "request_id", "msg_idx")
+    known = turns.groupBy("tenant", "id").agg(F.min(order).alias("seq"), F.min_by("text", order).alias("text"))
+    m = F.col("messages")
+    target = F.greatest(F.lit(0), F.size(m) - keep_recent)
+    start = F.array_max(F.transform(m, lambda x, i: F.when((x["role"] == "user") & (i <= target), i)))
+    latest = F.get(F.reverse(F.filter(m, lambda x: x["role"] == "user")), F.lit(0))["text"]
+    apt = (F.size(m) > min_messages) & ~F.exists(m, lambda x: x["raw"].isNotNull()) & (start > 0)
+    asked = requests.where(apt).select("request_id", "tenant", "ts", start.alias("start"), V.terms(latest).alias("terms"))
+    q = asked.select("request_id", "tenant", F.col("ts").alias("at"), F.explode("terms").alias("term"), F.size("terms").alias("nq"))
+    d = known.select("tenant", "id", "seq", V.terms(F.col("text")).alias("terms")).select("tenant", "id", "seq", F.explode("terms").alias("term"), F.size("terms").alias("nd"))
+    before = (F.col("seq.ts") < F.col("at")) | ((F.col("seq.ts") == F.col("at")) & (F.col("seq.request_id") <= F.col("request_id")))
+    both = q.join(d, ["tenant", "term"]).where(before).groupBy("request_id", "tenant", "id", "seq", "nq", "nd").agg(F.count(F.lit(1)).alias("overlap"))
+    scored = both.withColumn("score", F.col("overlap") / (F.col("nq") + F.col("nd") - F.col("overlap")))
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("overlap"), "seq"))
+    top = scored.withColumn("rank", rank).where(F.col("rank") <= retrieve).select("request_id", "tenant", "id", "rank")
+    lines = top.join(known.select("tenant", "id", "text"), ["tenant", "id"]).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("lines"))
+    bullets = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("- "), x["text"])), "\n")
+    header = F.concat(F.lit(CONTEXT_HEADER), bullets, F.lit("\n\n"))
+    return lines.join(asked.select("request_id", "start"), "request_id").select("request_id", "start", header.alias("header"))
+
+
 def action(*, ingest: bool, structured: Column, summarise: bool, inject: bool) -> Column:
     """What the memory does with a request: off, ingest, summary or compact."""
     if not ingest:

@@ -62,6 +62,38 @@ def dedup(spans: DataFrame, min_chars: int = 200, marker: str = DEDUP_MARKER) ->
     return rows.withColumn("text", F.when(F.col("deduplicated"), marker).otherwise(F.col("text"))).withColumn("mutable", F.col("mutable") & ~F.col("deduplicated"))
 
 
+def repeated_spans(messages: Column, min_chars: int = 200, marker: str = DEDUP_MARKER) -> Column:
+    """array<struct<i, j>>: spans j of messages i (head, text, raw) that equal an earlier one of the request, in one row.
+
+    Heads are spans of their own; raw messages have none.  Long spans are hashed
+    and sorted with their places, so equal ones stand side by side.
+    """
+    least = max(min_chars, len(marker) + 1)
+    placed = F.flatten(F.transform(messages, lambda m, i: F.filter(F.transform(_message_spans(m), lambda s, j: F.when(F.length(s["text"]) >= least, F.struct(F.sha2(s["text"], 256).alias("h"), i.alias("i"), j.alias("j")))), lambda x: x.isNotNull())))
+
+    def later(found: Column) -> Column:
+        return F.transform(F.filter(found, lambda x, k: F.coalesce(x["h"] == F.get(found, k - 1)["h"], F.lit(False))), lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j")))
+
+    return T.bind(F.sort_array(placed), later)
+
+
+def _message_spans(m: Column) -> Column:
+    head = F.filter(F.array(F.struct(m["head"].alias("text"), F.lit(False).alias("mutable"))), lambda s: s["text"] != "")
+    spans = F.transform(T.spans(m["text"]), lambda s: F.struct(s["text"].alias("text"), s["mutable"].alias("mutable")))
+    return F.when(m["raw"].isNull(), F.concat(head, spans)).otherwise(F.array().cast("array<struct<text string, mutable boolean>>"))
+
+
+def without_repeats(messages: Column, repeats: Column, marker: str = DEDUP_MARKER) -> Column:
+    """Messages with the spans named in ``repeats`` replaced by the marker; what stood in a head is text then."""
+
+    def change(m: Column, i: Column) -> Column:
+        text = F.array_join(F.transform(_message_spans(m), lambda s, j: F.when(F.array_contains(repeats, F.struct(i.alias("i"), j.alias("j"))), marker).otherwise(s["text"])), "")
+        hit = F.exists(repeats, lambda x: x["i"] == i)
+        return F.struct(m["role"].alias("role"), F.when(hit, "").otherwise(m["head"]).alias("head"), F.when(hit, text).otherwise(m["text"]).alias("text"), m["raw"].alias("raw"))
+
+    return F.when(F.size(repeats) == 0, messages).otherwise(F.transform(messages, change))
+
+
 def elide(messages: DataFrame, is_result: Column, keep_recent: int = 4, stub: str = ELISION_STUB) -> DataFrame:
     """Tool results before the last ``keep_recent`` messages become ``stub`` where that is shorter; adds ``elided``."""
     total = F.count(F.lit(1)).over(Window.partitionBy("request_id"))

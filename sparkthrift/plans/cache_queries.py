@@ -227,9 +227,9 @@ def requests_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SAV = f"WITH {EVENTS_SQL}, s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'hit' WHEN 1 THEN 'similar' ELSE 'miss' END AS cache, CASE WHEN user_id % 4 = 0 THEN '' ELSE 't' || (user_id % 4) END AS tenant, event_id % 1000 AS b, event_id % 1000 - event_id % 7 AS a, event_type FROM ev), st AS (SELECT CASE event_id % 4 WHEN 0 THEN 'lossless' WHEN 1 THEN 'filler' WHEN 2 THEN 'dedup' ELSE 'learned' END AS stage, b, a, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE event_id % 2 = 0 END END AS ok FROM s)"
-_TOT = "SELECT count(*) AS requests, count(*) FILTER (WHERE cache = 'hit') AS hits, count(*) FILTER (WHERE cache = 'similar') AS similar_hits, round(count(*) FILTER (WHERE cache = 'hit') / count(*), 4) AS cache_hit_rate, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, round((sum(b) - sum(a)) / sum(b), 4) AS overall_ratio FROM s"
-_STG = "SELECT stage, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, round((sum(b) - sum(a)) / sum(b), 4) AS reduction, count(ok) AS checked, round(count(*) FILTER (WHERE ok) / nullif(count(ok), 0), 4) AS accuracy FROM st GROUP BY stage"
-_TEN = "SELECT tenant, count(*) AS requests, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, round((sum(b) - sum(a)) / sum(b), 4) AS reduction FROM s WHERE tenant <> '' GROUP BY tenant"
+_TOT = "SELECT count(*) AS requests, count(*) FILTER (WHERE cache = 'hit') AS hits, count(*) FILTER (WHERE cache = 'similar') AS similar_hits, printf('%.4f', (count(*) FILTER (WHERE cache = 'hit') / count(*))::DOUBLE)::DOUBLE AS cache_hit_rate, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, printf('%.4f', ((sum(b) - sum(a)) / sum(b))::DOUBLE)::DOUBLE AS overall_ratio FROM s"
+_STG = "SELECT stage, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, printf('%.4f', ((sum(b) - sum(a)) / sum(b))::DOUBLE)::DOUBLE AS reduction, count(ok) AS checked, printf('%.4f', (count(*) FILTER (WHERE ok) / nullif(count(ok), 0))::DOUBLE)::DOUBLE AS accuracy FROM st GROUP BY stage"
+_TEN = "SELECT tenant, count(*) AS requests, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, printf('%.4f', ((sum(b) - sum(a)) / sum(b))::DOUBLE)::DOUBLE AS reduction FROM s WHERE tenant <> '' GROUP BY tenant"
 _EVL = "SELECT event_type AS kind, arg_max((event_id % 9) / 8, event_id) AS score, arg_max(event_id % 2 = 0, event_id) AS passed FROM s GROUP BY event_type"
 _NUM = r"regexp_replace(printf('%.6f', ({0})::DOUBLE), '(\.\d+?)0+$', '\1')"
 _SAMPLES = " UNION ALL ".join(
@@ -285,7 +285,7 @@ QUERIES = {
         similar_response,
         f"WITH {_IDX}, p AS (SELECT a.vec_id AS probe_id, b.vec_id AS key, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN (SELECT * FROM v WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 2048) b ON a.tenant = b.tenant WHERE a.vec_id % 2 = 0), n AS (SELECT probe_id, arg_max(key, [s, key::DOUBLE]) AS key FROM p WHERE s >= 0.3 GROUP BY probe_id) SELECT v.vec_id AS probe_id, key, coalesce(key % 5 <> 0 AND key % 3 <> 0, false) AS hit, CASE WHEN key % 5 <> 0 AND key % 3 <> 0 THEN 200 + key % 7 END AS status_code FROM v LEFT JOIN n ON n.probe_id = v.vec_id WHERE v.vec_id % 2 = 0",
     ),
-    "similarity_hydrate": (similarity_hydrate, "SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id) AS place FROM (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 11 <> 0 ORDER BY vec_id DESC LIMIT 50)"),
+    "similarity_hydrate": (similarity_hydrate, "SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id) AS place FROM (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 50) WHERE vec_id % 11 <> 0"),
     "store_decision": (store_decision, "SELECT event_type, count(*) AS answers, count(*) FILTER (WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND event_id % 5 IN (1, 2)) AS stored FROM events GROUP BY event_type"),
     "similarity_fifo": (similarity_fifo, "SELECT vec_id AS key, vec_id AS seq, len(embedding) AS dim FROM embeddings WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 100"),
     "similarity_gate": (similarity_gate, f"WITH {_IDX}, p AS (SELECT list_cosine_similarity(a.v, b.v) >= 0.97 AS hit, a.label = b.label AS want FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0 UNION ALL SELECT true, true FROM v) SELECT round(count(*) FILTER (WHERE hit AND want) / nullif(count(*) FILTER (WHERE hit), 0), 6) AS precision, round(count(*) FILTER (WHERE hit AND want) / count(*) FILTER (WHERE want), 6) AS recall, count(*) FILTER (WHERE hit AND NOT want) AS false_hits, count(*) FILTER (WHERE hit AND NOT want) = 0 AS passed FROM p"),
@@ -295,7 +295,7 @@ QUERIES = {
     "latest_eval": (latest_eval, f"{_SAV} {_EVL}"),
     "prometheus_lines": (prometheus_lines, f"{_SAV}, tot AS ({_TOT}), stg AS ({_STG}), evl AS ({_EVL}), pages_of AS ({_SAMPLES}) {_PROM}"),
     "stats_lines": (stats_lines, f"{_SAV}, tot AS ({_TOT}), stg AS ({_STG}), evl AS ({_EVL}), ten AS ({_TEN}) {_LINES}"),
-    "event_rows": (event_rows, f"{_SAV}, e AS (SELECT event_id, cache, tenant, b, a + CASE WHEN event_id % 11 = 0 THEN 9 ELSE 0 END AS a FROM s) SELECT 'savings' AS event, event_id, cache, tenant, b AS tokens_before, a AS tokens_after, greatest(0, b - a) AS tokens_saved, round_even(CASE WHEN b > 0 THEN greatest(0, b - a) / b ELSE 0 END, 4) AS ratio FROM e"),
+    "event_rows": (event_rows, f"{_SAV}, e AS (SELECT event_id, cache, tenant, b, a + CASE WHEN event_id % 11 = 0 THEN 9 ELSE 0 END AS a FROM s) SELECT 'savings' AS event, event_id, cache, tenant, b AS tokens_before, a AS tokens_after, greatest(0, b - a) AS tokens_saved, printf('%.4f', (CASE WHEN b > 0 THEN greatest(0, b - a) / b ELSE 0 END)::DOUBLE)::DOUBLE AS ratio FROM e"),
     "eval_totals": (eval_totals, f"{_RES} SELECT * REPLACE (round(overall_ratio, 6) AS overall_ratio) FROM tot"),
     "eval_report_lines": (eval_report_lines, _RES_LINES),
     "similarity_report_lines": (similarity_report_lines, _SIM_LINES),

@@ -257,13 +257,13 @@ _STAGE_ROWS = f"""WITH m AS (SELECT conv_id, role, turn, text AS t0, {lossless_s
 w AS (SELECT conv_id, {', '.join(f"coalesce(max(t{i}) FILTER (WHERE role = 'system'), '') || coalesce(string_agg(t{i}, '' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS w{i}" for i in range(3))}, bool_and({words_sql('t0')} = {words_sql('t1')}) AS ok1, bool_and(len({words_sql('t2')}) <= len({words_sql('t1')}) AND {bare_sql('t1')} = {bare_sql('t2')}) AS ok2 FROM m GROUP BY conv_id),
 r AS (SELECT conv_id, unnest([0, 1]) AS again, {', '.join(f"{tokens_sql(f'w{i}')} AS n{i}" for i in range(3))}, ok1, ok2 FROM w),
 st AS (SELECT 'lossless' AS stage, n0 AS b, n1 AS a, ok1 AS ok FROM r UNION ALL SELECT 'filler', n1, n2, ok2 FROM r)
-SELECT stage, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, round((sum(b) - sum(a)) / sum(b), 4) AS reduction, count(ok) AS checked, round(count(*) FILTER (WHERE ok) / count(ok), 4) AS accuracy FROM st GROUP BY stage"""
+SELECT stage, sum(b)::BIGINT AS tokens_before, sum(a)::BIGINT AS tokens_after, (sum(b) - sum(a))::BIGINT AS tokens_saved, printf('%.4f', ((sum(b) - sum(a)) / sum(b))::DOUBLE)::DOUBLE AS reduction, count(ok) AS checked, printf('%.4f', (count(*) FILTER (WHERE ok) / count(ok))::DOUBLE)::DOUBLE AS accuracy FROM st GROUP BY stage"""
 
 QUERIES = {
     "encrypted_cache": (encrypted_cache, "SELECT conv_id AS request_id, turn AS msg_idx, conv_id % 7 <> 0 AND conv_id % 5 <> 2 AS hit, CASE WHEN conv_id % 7 <> 0 AND conv_id % 5 <> 2 THEN sha256(text) END AS sha FROM conversations"),
     "lifecycle_totals": (
         lifecycle_totals,
-        f"{_LIFE} SELECT count(*) AS requests, count(*) FILTER (WHERE cache = 'hit') AS hits, count(*) FILTER (WHERE cache = 'similar') AS similar_hits, round(count(*) FILTER (WHERE cache = 'hit') / count(*), 4) AS cache_hit_rate, sum(tokens_before)::BIGINT AS tokens_before, sum(tokens_after)::BIGINT AS tokens_after, (sum(tokens_before) - sum(tokens_after))::BIGINT AS tokens_saved, round((sum(tokens_before) - sum(tokens_after)) / sum(tokens_before), 4) AS overall_ratio FROM life",
+        f"{_LIFE} SELECT count(*) AS requests, count(*) FILTER (WHERE cache = 'hit') AS hits, count(*) FILTER (WHERE cache = 'similar') AS similar_hits, printf('%.4f', (count(*) FILTER (WHERE cache = 'hit') / count(*))::DOUBLE)::DOUBLE AS cache_hit_rate, sum(tokens_before)::BIGINT AS tokens_before, sum(tokens_after)::BIGINT AS tokens_after, (sum(tokens_before) - sum(tokens_after))::BIGINT AS tokens_saved, printf('%.4f', ((sum(tokens_before) - sum(tokens_after)) / sum(tokens_before))::DOUBLE)::DOUBLE AS overall_ratio FROM life",
     ),
     "lifecycle_stages": (lifecycle_stages, _STAGE_ROWS),
     "correlation_ids": (correlation_ids, "SELECT page_id, CASE WHEN page_id % 4 < 2 THEN sha256(url) ELSE 'row-' || page_id END AS id, CASE WHEN page_id % 4 = 3 THEN sha256(url) ELSE 'application/json' END AS content_type FROM pages"),
