@@ -52,6 +52,18 @@ def features(text: bytes, longest: int) -> tuple[int, Counter]:
     return len(words), found
 
 
+def pack(values: list[int]) -> bytes:
+    """Whole numbers as compressed planes of bytes: the upper planes are nearly empty."""
+    planes = np.array(values, "<u4").view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True) if n else b"", np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _blocks(longest: int, kind: pa.DataType):
     """Arrow batches (row, text) to blocks of documents, a row a block."""
 
@@ -62,7 +74,8 @@ def _blocks(longest: int, kind: pa.DataType):
         def made() -> pa.RecordBatch:
             flat = [
                 pa.array([block], pa.int64()),
-                *(pa.array([x], pa.list_(t)) for x, t in ((rows, kind), (words, pa.int64()), (totals, pa.int64()), (sizes, pa.int32()), (ids, pa.int32()), (counts, pa.int32()))),
+                *(pa.array([x], pa.list_(t)) for x, t in ((rows, kind), (words, pa.int64()), (totals, pa.int64()))),
+                *(pa.array([pack(x)], pa.binary()) for x in (sizes, ids, counts)),
                 pa.array([list(index)], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                 pa.array([sums], pa.list_(pa.int64())),
             ]
@@ -96,7 +109,7 @@ def _blocks(longest: int, kind: pa.DataType):
 def blocks(texts: DataFrame, longest: int) -> DataFrame:
     """Staged blocks of ``texts`` (row, text)."""
     field = texts.schema["row"].dataType
-    kinds = f"block long, rows array<{field.simpleString()}>, n_words array<long>, n_features array<long>, sizes array<int>, ids array<int>, counts array<int>, features array<string>, sums array<long>"
+    kinds = f"block long, rows array<{field.simpleString()}>, n_words array<long>, n_features array<long>, sizes binary, ids binary, counts binary, features array<string>, sums array<long>"
     return stage(texts.select("row", F.col("text").cast("binary")).mapInArrow(_blocks(longest, to_arrow_type(field)), kinds), "blocks")
 
 
@@ -133,12 +146,11 @@ def noise(doc_id: Column, seed: int) -> Column:
 def _weights(batches):
     for batch in batches:
         for i in range(len(batch)):
-            rows, words, totals, sizes, ids, counts, gain = (batch.column(c)[i].values for c in range(7))
-            each = sizes.to_numpy()
-            owner = np.repeat(np.arange(len(each)), each)
+            rows, words, totals, gain = (batch.column(c)[i].values for c in (0, 1, 2, 6))
+            each, ids, counts = (unpack(batch.column(c)[i].as_py()) for c in (3, 4, 5))
             weight = np.zeros(len(each), np.int64)
-            if gain is not None and len(owner):
-                worth = counts.to_numpy().astype(np.int64) * gain.to_numpy()[ids.to_numpy()]
+            if gain is not None and len(ids):
+                worth = counts * gain.to_numpy()[ids]
                 filled = each > 0
                 weight[filled] = np.add.reduceat(worth, (np.cumsum(each) - each)[filled])
             yield pa.RecordBatch.from_arrays([rows, words, totals, pa.array(weight)], ["row", "n_words", "n_features", "weight"])
