@@ -58,6 +58,16 @@ def by_tenant(events: DataFrame) -> DataFrame:
     return rows.groupBy("tenant").agg(F.count(F.lit(1)).alias("requests"), before.alias("tokens_before"), after.alias("tokens_after"), rounded(_share(before - after, before), 4).alias("reduction"))
 
 
+def from_sums(sums: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of ``totals``, ``by_stage`` and ``by_tenant`` from sums (part, name, requests, hits, similar, tokens_before, tokens_after, checked, held)."""
+    whole = sums.where("part = 'all'").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("requests", "hits", "similar", "tokens_before", "tokens_after")))
+    saved = c("tokens_before") - c("tokens_after")
+    total = whole.select("requests", "hits", c("similar").alias("similar_hits"), rounded(_share(c("hits"), c("requests")), 4).alias("cache_hit_rate"), "tokens_before", "tokens_after", saved.alias("tokens_saved"), rounded(_share(saved, c("tokens_before")), 4).alias("overall_ratio"))
+    stages = sums.where("part = 'stage'").select(c("name").alias("stage"), "tokens_before", "tokens_after", saved.alias("tokens_saved"), rounded(_share(saved, c("tokens_before")), 4).alias("reduction"), "checked", rounded(F.when(c("checked") > 0, c("held") / c("checked")), 4).alias("accuracy"))
+    tenants = sums.where("part = 'tenant'").select(c("name").alias("tenant"), "requests", "tokens_before", "tokens_after", rounded(_share(saved, c("tokens_before")), 4).alias("reduction"))
+    return total, stages, tenants
+
+
 def latest_evals(runs: DataFrame) -> DataFrame:
     return runs.groupBy("kind").agg(F.max_by("score", "id").alias("score"), F.max_by("passed", "id").alias("passed"))
 
