@@ -24,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -118,6 +119,10 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 100, chunk_bytes
     writer.text(path)
 
 
+# The digests of fixed length that a record may be checked by.
+DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+#: A length that fits a long.
+_COUNT = re.compile("[0-9]{1,18}")
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _HEAD_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.[01]\r\n")
 
@@ -142,7 +147,7 @@ def _head(data: memoryview, at: int) -> tuple[dict[str, str], int] | None:
 def _plain(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """The record that holds at ``at``: header, block, end."""
     found = _head(data, at)
-    if not found or not found[0].get("content-length", "").isdigit():
+    if not found or not _COUNT.fullmatch(found[0].get("content-length", "")):
         return None
     begin = found[1]
     end = begin + int(found[0]["content-length"])
@@ -150,11 +155,19 @@ def _plain(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int] | Non
         return None
     block = bytes(data[begin:end])
     kind, _, value = found[0].get("warc-block-digest", "").partition(":")
-    if kind and (kind.lower() not in hashlib.algorithms_available or hashlib.new(kind.lower(), block).hexdigest() != value.lower()):
+    if kind and not _holds(kind.lower(), value, block):
         return None
     return found[0], block, end + 4
 
 
+def _holds(kind: str, value: str, block: bytes) -> bool:
+    """Does the digest, in hex or base 32, hold for the block?  One of an unknown kind doesn't."""
+    if kind not in DIGESTS:
+        return False
+    made = hashlib.new(kind, block).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int, bool]:
     """What the member at ``at`` holds as far as it inflates, its end, and whether it is whole."""
     code, made, pos = zlib.decompressobj(31), [], at
@@ -220,7 +233,9 @@ def salvage(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str], byt
 
 
 def _number(x: str | None) -> int | None:
-    return int(x) if x and re.fullmatch(r"-?\d+", x) else None
+    """A whole number that fits a long; null for anything else."""
+    found = re.fullmatch("-?[0-9]{1,19}", x or "")
+    return int(x) if found and -(1 << 63) <= int(x) < 1 << 63 else None
 
 
 _READ = "archive string, kind string, begin long, end long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"

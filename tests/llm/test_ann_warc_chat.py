@@ -188,3 +188,60 @@ def test_escaping_is_reversible(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     for t, e, u in rows.select("t", op4_chat.escape(F.col("t")), op4_chat.unescape(op4_chat.escape(F.col("t")))).collect():
         assert u == t and not any(mark in e for mark in ("</s>", "[INST:", "[/INST]"))
+
+
+BROKEN = ["\u00b3", "9" * 5000, "-" + "9" * 30, "0x1", "", " ", "1.5", "\u0661", "\u221e", "9223372036854775808", "-9223372036854775808"]
+
+
+@pytest.mark.parametrize("value", BROKEN)
+@pytest.mark.parametrize("field", ["Content-Length", "WARC-Page-Id", "WARC-Payload-Length", "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Type"])
+def test_no_header_value_stops_the_reader(spark, field, value):
+    from sparkthrift.llm.op3_warc import record
+
+    good = record(1, "http://a", b"x" * 200, "d", None, True)
+    lines = good.split(b"\r\n")
+    bad = b"\r\n".join(f"{field}: {value}".encode() if x.lower().startswith(field.lower().encode() + b":") else x for x in lines)
+    rows = _read_all(bad + good)
+    assert [r for r in rows if r["kind"] == "record"][-1]["page_id"] == 1
+
+
+def _read_all(content):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([content], pa.binary())], ["path", "content"])
+    return [r for b in op3_warc._read([batch]) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("digest", ["shake_128:00", "sha1:", ":", "sha256", "SHA256:xyz", "md5:" + "0" * 32])
+def test_a_digest_that_does_not_hold_is_a_failed_check(digest):
+    from sparkthrift.llm.op3_warc import record
+
+    good = record(1, "http://a", b"x" * 200, "d", None, True)
+    bad = b"\r\n".join(b"WARC-Block-Digest: " + digest.encode() if x.startswith(b"WARC-Block-Digest") else x for x in good.split(b"\r\n"))
+    assert [r["kind"] for r in _read_all(bad + good)] == (["record", "record"] if digest == ":" else ["gap", "record"])
+
+
+def test_ten_thousand_mutated_archives_are_read():
+    import gzip
+    import random
+
+    from sparkthrift.llm.op3_warc import record
+
+    rng = random.Random(5)
+    plain = [record(i, f"http://a/{i}", b"payload %d " % i * 20, "d", None, True) for i in range(3)]
+    for turn in range(10_000):
+        members = [gzip.compress(x, 1) for x in plain] if turn % 2 else plain
+        data = bytearray(b"".join(members))
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(data) if turn % 3 else min(len(data), 700))
+            kind = rng.randrange(4)
+            if kind == 0:
+                data[at] = rng.randrange(256)
+            elif kind == 1:
+                del data[at : at + rng.randint(1, 40)]
+            elif kind == 2:
+                data[at:at] = bytes(rng.choices(range(256), k=rng.randint(1, 20)))
+            else:
+                data[at : at + 3] = rng.choice([b"\r\n\r\n", b"\xc2\xb3", b"99999999999999999999", b"WARC/1.1\r\n", b"\x1f\x8b\x08"])
+        rows = _read_all(bytes(data))
+        assert all(r["begin"] <= r["end"] for r in rows)
