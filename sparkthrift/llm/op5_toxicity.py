@@ -12,9 +12,10 @@ Where the lattice is decoded:
   nothing (``!|+(*``), always;
 * elsewhere where a telling word may stand.  Characters that may be one another
   are folded, white space, other marks and repetitions dropped, and the telling
-  words, folded alike, are searched for in what is left of the whole text.  No
-  reading can hold a telling word where its folded form does not stand, so
-  nothing else needs decoding.  The tokens around a hit (24 characters of them
+  words, folded alike, are searched for in what is left of the whole text; and
+  without one or two letters or up to four vowels, where a star stands among their
+  letters.  No reading can hold a telling word anywhere else, but for a word with
+  more stars than that, so nothing else needs decoding.  The tokens around a hit (24 characters of them
   on each side) are decoded with their gaps.
 
 Telling words and their beginnings (from four letters on) are weighed by logistic
@@ -41,14 +42,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,8 +108,13 @@ _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _LONG_RUN = re.compile(r"([^\w])\1\1+")
 _TAIL_MARKS = re.compile(r"[!|*+(\-_.]+$")
 _OPEN = re.compile(r"[!|+(*]")
+_STAR = re.compile(r"(?<!\*)\*{1,2}(?!\*)")
+#: Vowels of a word that stars may stand for, at most.
+STARS = 4
 #: Log probabilities of a gap that stays and one that goes: between single characters, and between other tokens.
 _LOOSE, _TIGHT = (-1.5, -0.3), (-0.2, -2.0)
+#: Log probability that a star stands for one given consonant.
+_ANY = -5.0
 #: Log probability of a blank left out between two letters.
 _UNSAID = -2.0
 
@@ -166,6 +172,7 @@ class Channel:
                 yield [(" ", gap[0]), ("", gap[1])]
             elif c in LEET and (run <= 2 or c.isdigit()):
                 each = [(x, -1.0 - math.log(len(LEET[c]))) for x in LEET[c]]
+                each += [(x, _ANY) for x in _ALPHABET if x not in LEET["*"]] if c == "*" else []
                 each += [("", -1.5)] if c in EITHER or c == "*" else [(c, -0.5)]
                 if cut:
                     each += [(" " + x, cost + _UNSAID) for x, cost in each if x]
@@ -229,30 +236,54 @@ def _folded(text: str, fold: np.ndarray) -> tuple[str, np.ndarray]:
     return kinds[new].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), at[new]
 
 
+def _starred(word: str) -> set[str]:
+    """The folded word without one or two of its letters, or one to ``STARS`` of its vowels, as it stands where stars are dropped."""
+    vowels = [i for i, c in enumerate(word) if c in LEET["*"]]
+    gone_sets = chain(*(combinations(range(len(word)), n) for n in (1, 2)), *(combinations(vowels, n) for n in range(3, STARS + 1)))
+    cut = ("".join(c for i, c in enumerate(word) if i not in gone) for gone in map(set, gone_sets))
+    return {x for x in (_folded(w, _FOLDS[0])[0] for w in cut) if len(x) > 1}
+
+
 class Telling:
     """Finds where the telling words of an index may stand, however they are written."""
 
     def __init__(self, index: dict[str, int]):
         self.longest = 0
-        self.search = None
-        folded = {_folded(f[:-1], _FOLDS[0])[0] for f in index if f.endswith("$") and len(f) > 3} - {""}
+        self.search = self.starred = None
+        words = [f[:-1] for f in index if f.endswith("$") and len(f) > 3]
+        folded = {_folded(w, _FOLDS[0])[0] for w in words} - {""}
         if folded:
             self.longest = max(map(len, folded))
-            self.search = ahocorasick.Automaton()
-            for x in sorted(folded):
-                self.search.add_word(x, len(x))
-            self.search.make_automaton()
+            self.search = self._automaton(folded)
+        if starred := {x for w in words for x in _starred(w)}:
+            self.starred = self._automaton(starred)
+
+    @staticmethod
+    def _automaton(folded: set[str]) -> ahocorasick.Automaton:
+        made = ahocorasick.Automaton()
+        for x in sorted(folded):
+            made.add_word(x, len(x))
+        made.make_automaton()
+        return made
 
     def hits(self, text: str) -> Iterator[tuple[int, int]]:
-        """(begin, end) of each place where a folded telling word stands."""
+        """(begin, end) of each place where a folded telling word stands, or stands but for letters where a star is."""
         if not self.search:
             return
+        stars = [x.start() for x in _STAR.finditer(text)] if self.starred else []
         for fold in _FOLDS if any(c in text for c in EITHER) else _FOLDS[:1]:
             lo = 0
             while lo < len(text):
                 folded, at = _folded(text[lo : lo + PART], fold)
                 for last, n in self.search.iter(folded):
                     yield lo + int(at[last - n + 1]), lo + int(at[last]) + 1
+                for last, n in self.starred.iter(folded) if stars else ():
+                    # a star that is the first or the last letter stands beside what is left
+                    begin, end = lo + (int(at[last - n]) + 1 if last >= n else 0), lo + (int(at[last + 1]) if last + 1 < len(at) else len(text) - lo)
+                    first = bisect_left(stars, begin)
+                    if first < len(stars) and stars[first] < end:
+                        inner = stars[first : bisect_left(stars, end, first)]
+                        yield min(inner[-1], lo + int(at[last - n + 1])), max(inner[0], lo + int(at[last])) + 1
                 if lo + PART >= len(text):
                     break
                 # the next part begins where a word that the cut may have split can begin
@@ -446,21 +477,19 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, max_labelled: int) -
     sample = stage(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
     mine = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    told = stage(mine.select("doc_id", "label", "text").mapInArrow(_sketched, f"doc {kind}, label int, text string, sketch long, row long"), "told")
-    copies = told.groupBy("doc").agg(F.min(F.struct("sketch", "row")).alias("x")).groupBy("x.sketch").agg(F.min("x.row").alias("row"))
-    return stage(told.join(F.broadcast(copies.select("row")), "row").select("doc", "label", "text"), "labelled")
+    told = mine.select("doc_id", "label", "text").mapInArrow(_sketched, f"doc {kind}, label int, text string, sketch long")
+    one = stage(told.groupBy("doc").agg(F.min(F.struct("sketch", "text", "label")).alias("x")).select("doc", "x.*"), "told")
+    copies = one.groupBy("sketch").agg(F.min("doc").alias("doc"))  # by id, so that the layout of the input changes nothing
+    return stage(one.join(F.broadcast(copies), ["sketch", "doc"]).select("doc", "label", "text"), "labelled")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row = TaskContext.get().partitionId() << 32
     for batch in batches:
-        texts = [x.as_py().encode() for x in batch.column("text")]
         least = []
-        for t in texts:
-            found = shingle_sets([t])[0]
+        for x in batch.column("text"):
+            found = shingle_sets([x.as_py().encode()])[0]
             least.append(int(found.min().view(np.int64)) if len(found) else 0)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64()), pa.array(range(row, row + len(batch)), pa.int64())], ["doc", "label", "text", "sketch", "row"])
-        row += len(batch)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["doc", "label", "text", "sketch"])
 
 
 def _logs(a: str, e: str) -> Column:

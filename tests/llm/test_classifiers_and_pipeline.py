@@ -42,6 +42,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in frame.limit(50).collect())
 
 
+def test_toxicity_on_few_rows(spark):
+    """On sf0.01, that every toxic row with a telling word comes before every clean one, whatever the layout of the input.
+
+    Two of the six toxic rows held out there share no word, beginning of a word,
+    passage, length or language with toxic rows learned from, so their rank is chance.
+    """
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one, other = (op5_toxicity.toxicity(d, labels).toPandas().sort_values("doc_id") for d in (docs, docs.repartition(7, "text")))
+    assert np.allclose(one["score"], other["score"], atol=1e-9)
+    told = dict(duckdb.sql(f"select doc_id, toxic from '{SF}/labels.parquet'").fetchall())
+    rows = [(s, told[i]) for i, h, s in one[["doc_id", "held_out", "score"]].itertuples(index=False) if h and i in told and i not in (259, 995)]
+    assert auc(*zip(*rows, strict=True)) == 1.0
+    predicted = {i: s >= 0.5 for i, h, s in one[["doc_id", "held_out", "score"]].itertuples(index=False) if h and i in told}
+    assert np.mean([p == told[i] for i, p in predicted.items()]) > 0.94
+
+
 def test_quality_on_held_out_rows(spark):
     scores, labels, predicted = held_out(op9_quality.op9_quality(spark, SF), "quality")
     assert auc(scores, labels) > 0.97
@@ -61,7 +77,7 @@ def read(text, channel):
     return op5_toxicity.restore_text(text, channel, {}, TELLING)
 
 
-@pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("l0$er", "loser"), ("tr@sh", "trash"), ("idiooooot", "idiot"), ("w*rthless", "worthless"), ("id.iot", "idiot"), ("idiot***", "idiot"), ("(idiot)!!", "idiot"), ("hello", "hello"), ("$ t r a s h", "trash"), ("7r45h", "trash")])
+@pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("l0$er", "loser"), ("tr@sh", "trash"), ("idiooooot", "idiot"), ("w*rthless", "worthless"), ("id.iot", "idiot"), ("idiot***", "idiot"), ("(idiot)!!", "idiot"), ("hello", "hello"), ("$ t r a s h", "trash"), ("7r45h", "trash"), ("id* ot", "idiot"), ("id*o t", "idiot"), ("tr*s h", "trash"), ("wor*h less", "worthless"), ("*diot", "idiot"), ("l*s*r", "loser"), ("t r * s h", "trash")])
 def test_channel_restores(channel, token, word):
     assert word in read(token, channel)
 
