@@ -64,7 +64,7 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _blocks(longest: int, kind: pa.DataType):
+def _blocks(longest: int, kind: pa.DataType, pairs: int):
     """Arrow batches (row, text) to blocks of documents, a row a block."""
 
     def run(batches):
@@ -84,7 +84,7 @@ def _blocks(longest: int, kind: pa.DataType):
         for batch in batches:
             for row, text in zip(batch.column(0), batch.column(1), strict=True):
                 n, found = features(text.as_py() or b"", longest)
-                if rows and len(ids) + len(found) > PAIRS:
+                if rows and len(ids) + len(found) > pairs:
                     yield made()
                     block += 1
                     rows, words, totals, sizes, ids, counts, index, sums = [], [], [], [], [], [], {}, []
@@ -106,11 +106,11 @@ def _blocks(longest: int, kind: pa.DataType):
     return run
 
 
-def blocks(texts: DataFrame, longest: int) -> DataFrame:
+def blocks(texts: DataFrame, longest: int, pairs: int) -> DataFrame:
     """Staged blocks of ``texts`` (row, text)."""
     field = texts.schema["row"].dataType
     kinds = f"block long, rows array<{field.simpleString()}>, n_words array<long>, n_features array<long>, sizes binary, ids binary, counts binary, features array<string>, sums array<long>"
-    return stage(texts.select("row", F.col("text").cast("binary")).mapInArrow(_blocks(longest, to_arrow_type(field)), kinds), "blocks")
+    return stage(texts.select("row", F.col("text").cast("binary")).mapInArrow(_blocks(longest, to_arrow_type(field), pairs), kinds), "blocks")
 
 
 def strings(counted: DataFrame) -> DataFrame:
@@ -156,9 +156,9 @@ def _weights(batches):
             yield pa.RecordBatch.from_arrays([rows, words, totals, pa.array(weight)], ["row", "n_words", "n_features", "weight"])
 
 
-def weighted(texts: DataFrame, targets: DataFrame, longest: int, buckets: int) -> DataFrame:
+def weighted(texts: DataFrame, targets: DataFrame, longest: int, buckets: int, pairs: int = PAIRS) -> DataFrame:
     """(row, n_words, n_features, weight) for every row of ``texts`` (row, text)."""
-    counted, wanted = blocks(texts, longest), blocks(targets.select(F.lit(0).alias("row"), "text"), longest)
+    counted, wanted = blocks(texts, longest, pairs), blocks(targets.select(F.lit(0).alias("row"), "text"), longest, pairs)
     known = dictionary(counted, buckets)
     worth = known.join(F.broadcast(stage(gains(known, dictionary(wanted, buckets), buckets), "gains")), "bucket").select("feature", "gain")
     told = strings(counted).join(worth, "feature").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "gain"))).alias("x"))
@@ -185,23 +185,23 @@ def ranked(rows: DataFrame, percent: int, least_words: int) -> DataFrame:
     return told.unionByName(rows.where(~able).withColumn("rank", F.lit(None).cast("long")))
 
 
-def _scored(texts: DataFrame, targets: DataFrame, longest: int, buckets: int, seed: int, percent: int, least_words: int) -> DataFrame:
+def _scored(texts: DataFrame, targets: DataFrame, longest: int, buckets: int, seed: int, percent: int, least_words: int, pairs: int) -> DataFrame:
     """``texts`` has row (a struct with doc_id) and text."""
-    rows = weighted(texts, targets, longest, buckets).withColumn("doc_id", F.col("row.doc_id"))
+    rows = weighted(texts, targets, longest, buckets, pairs).withColumn("doc_id", F.col("row.doc_id"))
     return ranked(stage(rows.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scores"), percent, least_words)
 
 
-def scored(docs: DataFrame, targets: DataFrame, *, longest: int = 1, buckets: int = 10_000, seed: int = 2024, percent: int = 10, least_words: int = 20) -> DataFrame:
+def scored(docs: DataFrame, targets: DataFrame, *, longest: int = 1, buckets: int = 10_000, seed: int = 2024, percent: int = 10, least_words: int = 20, pairs: int = PAIRS) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) for every row of ``docs`` (doc_id, text); ``targets`` has text."""
-    out = _scored(docs.select(F.struct("doc_id").alias("row"), "text"), targets, longest, buckets, seed, percent, least_words)
+    out = _scored(docs.select(F.struct("doc_id").alias("row"), "text"), targets, longest, buckets, seed, percent, least_words, pairs)
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-def resampled(docs: DataFrame, targets: DataFrame, *, longest: int = 1, buckets: int = 10_000, seed: int = 2024, percent: int = 10, least_words: int = 20) -> DataFrame:
+def resampled(docs: DataFrame, targets: DataFrame, *, longest: int = 1, buckets: int = 10_000, seed: int = 2024, percent: int = 10, least_words: int = 20, pairs: int = PAIRS) -> DataFrame:
     """The drawn rows of ``docs``, with all their columns; their texts are staged once, as each has to be found again."""
     placed = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place")), "documents")
     texts = placed.select(F.struct(F.col("doc.doc_id").alias("doc_id"), "place").alias("row"), F.col("doc.text").alias("text"))
-    drawn = _scored(texts, targets, longest, buckets, seed, percent, least_words).where("rank is not null")
+    drawn = _scored(texts, targets, longest, buckets, seed, percent, least_words, pairs).where("rank is not null")
     return placed.join(drawn.select(F.col("row.place").alias("place")), "place", "left_semi").select("doc.*")
 
 

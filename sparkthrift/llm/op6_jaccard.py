@@ -6,16 +6,23 @@
    block.  Fragment tasks count each shingle's documents; what occurs in one
    document cannot overlap with anything and ends there.
 3. A document whose shared shingles could not reach the threshold ends too.
-   The others' prefixes in the global order (rarest first) give the candidate
-   groups: documents joined by shared prefix shingles.
+   Shingles that the very same documents hold (those of a paragraph that many
+   share) are one unit, as a pair has all of them in common or none.  Two linked
+   documents agree on the first units that they share, in the global order
+   (rarest first), and those come before either could have missed too much; so
+   each document names all units that may be its first shared one.  A paragraph
+   of more than ``HOT`` documents is no name by itself: it is named with each
+   unit that may be the second shared one, and a third and fourth.  Documents that share
+   a name are candidates, so those that share one common paragraph of five don't
+   meet.
 4. Documents of a group are compared in blocks bounded in documents and in
-   shingles.  The global order is cut into fragments once more; a task has one
+   shingles.  The global order is cut into ``LEAST_CUTS`` fragments at least; a task has one
    fragment of a block, counts the partial overlaps of its pairs and sends them
    as one packed matrix; the matrices of all fragments are summed per pair.
    (Partial counts as rows would be g^2 rows for g near copies.)
 5. A group larger than a block goes round a ring of blocks first.  Then every
    document outside the group's largest component meets, in blocks again, those
-   documents that share a prefix shingle with it and are in another component.
+   documents that share a name with it and are in another component.
    So each candidate pair is compared or is already connected, whatever the
    group's size, and documents that only hang together by chains don't meet.
 
@@ -42,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, stage, table, text_or_empty
 from .components import connected
-from .shingles import shingle_sets
+from .shingles import mix64, shingle_sets
 
 #: Bytes of text in a block of the first exchange.
 BLOCK_BYTES = 8 << 20
@@ -52,6 +59,10 @@ FRAGMENT_SHINGLES = 1_500_000
 BLOCK_DOCS, BLOCK_SHINGLES = 96, 400_000
 #: Shingles of a fragment of a block, about.
 PART_SHINGLES = 200_000
+#: Fragments of a block at least, so that each pair's overlap is a sum of partial ones.
+LEAST_CUTS = 4
+#: A unit of ``HEAVY`` shingles or more is named with a second one if more than ``HOT`` documents hold it, with a third if twice as many do, with a fourth if four times as many do.
+HOT, HEAVY, LONGEST = 16, 16, 4
 #: Distinct shingles counted at once.
 COLUMNS = 4096
 
@@ -103,6 +114,10 @@ def _messages(words: int, fragments: int, block_bytes: int):
     return run
 
 
+#: A shingle of a document: its hash, its unit, the document, and how many hold it.
+_POSTING = np.dtype([("h", "<u8"), ("u", "<u8"), ("d", "<u4"), ("n", "<u4")])
+
+
 def _count_fragment(group: pd.DataFrame) -> pd.DataFrame:
     """Postings of shingles that two documents or more have, by block; a block's header passes."""
     if group["fragment"].iloc[0] < 0:
@@ -118,35 +133,75 @@ def _count_fragment(group: pd.DataFrame) -> pd.DataFrame:
     df = np.repeat(count, count)
     keep = df > 1
     hashes, owner, block, df = hashes[keep], owner[order][keep], block[order][keep], df[keep]
+    # a shingle's unit: the sum over its documents of what stands for each of them
+    each = mix64(mix64(group["block"].to_numpy().astype(np.int64).view("<u8"))[block] + owner.astype("<u8"))
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
+    unit = np.repeat(np.add.reduceat(each, first), df[first]) if len(first) else each
     made = []
     by_block = np.argsort(block, kind="stable")
     ends = np.searchsorted(block[by_block], np.arange(len(parts) + 1))
     for i, name in enumerate(group["block"]):
         at = by_block[ends[i] : ends[i + 1]]
         if len(at):
-            record = np.empty(len(at), [("h", "<u8"), ("d", "<u4"), ("n", "<u4")])
-            record["h"], record["d"], record["n"] = hashes[at], owner[at], np.minimum(df[at], 2**32 - 1)
+            record = np.empty(len(at), _POSTING)
+            record["h"], record["u"], record["d"], record["n"] = hashes[at], unit[at], owner[at], np.minimum(df[at], 2**32 - 1)
             made.append((name, 1, record.tobytes()))
     return pd.DataFrame(made, columns=["block", "kind", "data"])
 
 
-def _survivors(percent: int):
+def _names(units: np.ndarray, docs: np.ndarray, need: int, hot: int = HOT) -> np.ndarray:
+    """Names under which a document meets all that share ``need`` or more of its shingles, given in the global order.
+
+    Whether a unit needs another one beside it hangs on its own documents and
+    shingles alone, so two documents always agree on it.
+    """
+    first = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
+    unit, docs = units[first], docs[first].astype(np.int64)
+    weight = np.diff(np.append(first, len(units)))
+    before = first  # shingles of the units before each
+    miss = len(units) - need  # shingles that may be in common with nobody
+    early = before <= miss
+    common = (weight >= HEAVY) & (docs > hot)
+    plain = mix64(unit[early & ~common])
+    if not (early & common).any():
+        return plain
+    found: list[int] = []
+    low, mask = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def extend(name: int, last: int, held: int, level: int) -> None:
+        """All names that begin with the units in ``name``, of which the last is ``last``."""
+        for j in range(last + 1, len(unit)):
+            if before[j] - held > miss:
+                return
+            if not level and not common[j]:
+                continue  # is in ``plain``
+            mine, more = (name * mask + int(unit[j])) & low, held + int(weight[j])
+            if level + 1 == LONGEST or not common[j] or docs[j] <= hot * 2**level:
+                found.append(mine)
+                continue
+            if more >= need:  # these may be all that is shared
+                found.append(mine ^ mask)
+            extend(mine, j, more, level + 1)
+
+    extend(1, -1, 0, 0)
+    return np.unique(np.concatenate((plain, mix64(np.array(found, "<u8")))))
+
+
+def _survivors(percent: int, hot: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Documents of a block that could reach the threshold, with their shared shingles in the global order."""
         head = np.frombuffer(group.loc[group["kind"] == 0, "data"].iloc[0], "<i8")
         ids, sizes = np.split(head, 2)
-        record = np.concatenate([np.frombuffer(x, [("h", "<u8"), ("d", "<u4"), ("n", "<u4")]) for x in group.loc[group["kind"] == 1, "data"]] or [np.empty(0, [("h", "<u8"), ("d", "<u4"), ("n", "<u4")])])
+        record = np.concatenate([np.frombuffer(x, _POSTING) for x in group.loc[group["kind"] == 1, "data"]] or [np.empty(0, _POSTING)])
         shared = np.bincount(record["d"], minlength=len(ids))
         keep = (100 * shared >= percent * sizes) & (sizes > 0)
         record = record[keep[record["d"]]]
-        record = record[np.lexsort((record["h"], record["n"], record["d"]))]
+        record = record[np.lexsort((record["h"], record["u"], record["n"], record["d"]))]
         ends = np.cumsum(np.where(keep, shared, 0))
         rows = []
         for i in np.flatnonzero(keep):
-            mine = record["h"][ends[i] - shared[i] : ends[i]].view("<i8")
-            size = int(sizes[i])
-            prefix = size - -(-percent * size // 100) + 1 - (size - len(mine))
-            rows.append((int(ids[i]), size, mine, mine[: max(prefix, 0)]))
+            mine, size = record[ends[i] - shared[i] : ends[i]], int(sizes[i])
+            rows.append((int(ids[i]), size, np.ascontiguousarray(mine["h"]).view("<i8"), _names(mine["u"], mine["n"], -(-percent * size // 100), hot).view("<i8")))
         return pd.DataFrame(rows, columns=["node", "n", "shared", "prefix"])
 
     return run
@@ -225,7 +280,7 @@ def _compared(parts: DataFrame, percent: int) -> DataFrame:
 
 
 def _fragments(shingles: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(shingles / PART_SHINGLES)).cast("long")
+    return F.greatest(F.lit(LEAST_CUTS), F.ceil(shingles / PART_SHINGLES)).cast("long")
 
 
 def _blocks(docs: DataFrame, block_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -272,10 +327,10 @@ def _remaining(large: DataFrame, found: DataFrame, posts: DataFrame, block_docs:
 
 def _most_cuts() -> int:
     """Fragments of two full blocks."""
-    return math.ceil(2 * BLOCK_SHINGLES / PART_SHINGLES)
+    return max(LEAST_CUTS, math.ceil(2 * BLOCK_SHINGLES / PART_SHINGLES))
 
 
-def near_components(docs: DataFrame, *, words: int = 5, percent: int = 75, block_bytes: int = BLOCK_BYTES, fragment_shingles: int = FRAGMENT_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def near_components(docs: DataFrame, *, words: int = 5, percent: int = 75, block_bytes: int = BLOCK_BYTES, fragment_shingles: int = FRAGMENT_SHINGLES, block_docs: int = BLOCK_DOCS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, label) for every row of ``docs`` (doc_id, text)."""
     text = text_or_empty()
     keys = [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("|")).alias("h2")]
@@ -291,7 +346,7 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 75, block
     sent = first.select(F.coalesce("node", "h1").alias("node"), "bytes").mapInArrow(_messages(words, fragments, block_bytes), "fragment long, block long, hashes binary, owners binary")
     counted = stage(sent.groupBy("fragment").applyInPandas(_count_fragment, "block long, kind int, data binary"), "fragments")
     sizes = stage(counted.where("kind = 0").select("data").mapInArrow(_heads, "node long, n long").groupBy("node").agg(F.max("n").alias("n")), "sizes")
-    shared = counted.groupBy("block").applyInPandas(_survivors(percent), "node long, n long, shared array<long>, prefix array<long>")
+    shared = counted.groupBy("block").applyInPandas(_survivors(percent, hot), "node long, n long, shared array<long>, prefix array<long>")
     shared = stage(shared.groupBy("node").agg(F.max("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix")), "shared")
 
     posts = stage(shared.select("node", F.explode("prefix").alias("h")), "posts")

@@ -54,28 +54,72 @@ def test_words_hash_by_place():
     assert len(set(word_hashes([one, two, b"ab", b"ba"])[0].tolist())) == 4
 
 
-def paragraphs(n):
+def paragraphs(n, of):
     rng = random.Random(n)
-    pool = [" ".join(f"p{i}w{j}" for j in range(60)) for i in range(n)]
+    pool = [" ".join(f"p{i}w{j}" for j in range(60)) for i in range(of)]
     return [(i, "\n".join(rng.sample(pool, 5)), "s") for i in range(n)]
 
 
-def test_chains_of_shared_paragraphs_do_not_meet(spark, docs_of, monkeypatch):
-    """Documents that hang together by paragraphs are compared in proportion to their number."""
-    seen = []
+def compared_rows(docs_of, monkeypatch, rows, **options):
+    seen = [0]
     compared = op6_jaccard._compared
 
     def counted(parts, percent):
-        seen[-1] += parts.count()
+        seen[0] += parts.count()
         return compared(parts, percent)
 
-    monkeypatch.setattr(op6_jaccard, "_compared", counted)
-    for n in (400, 800):
-        seen.append(0)
-        rows = paragraphs(n)
-        found = op6_jaccard.near_components(docs_of(rows), block_docs=16).collect()
-        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == components(rows)
-    assert seen[1] < 2.4 * seen[0]
+    with monkeypatch.context() as m:
+        m.setattr(op6_jaccard, "_compared", counted)
+        found = op6_jaccard.near_components(docs_of(rows), block_docs=16, **options).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == components(rows)
+    return seen[0]
+
+
+def test_chains_of_shared_paragraphs_do_not_meet(spark, docs_of, monkeypatch):
+    """Documents that hang together by paragraphs, as many as documents, are compared in proportion to their number."""
+    few, many = (compared_rows(docs_of, monkeypatch, paragraphs(n, n)) for n in (400, 800))
+    assert many < 2.4 * few
+
+
+def test_common_paragraphs_are_no_names_by_themselves(spark, docs_of, monkeypatch):
+    """Of forty paragraphs, each in an eighth of the documents, far fewer documents meet than share one."""
+    rows = paragraphs(600, 40)
+    assert 4 * compared_rows(docs_of, monkeypatch, rows) < compared_rows(docs_of, monkeypatch, rows, hot=10**9)
+
+
+@pytest.mark.parametrize("hot", [1, 2, 3])
+def test_names_lose_no_link(monkeypatch, hot):
+    """Documents of shared units of any size: each pair that shares enough has a name in common."""
+    rng = random.Random(hot)
+    monkeypatch.setattr(op6_jaccard, "HEAVY", 4)
+    for _ in range(150):
+        weights = [rng.randint(1, 12) for _ in range(8)]
+        docs = [sorted(rng.sample(range(8), rng.randint(2, 8))) for _ in range(6)]
+        held = [sum(u in d for d in docs) for u in range(8)]
+        order = sorted(range(8), key=lambda u: (held[u], u))
+        rank = {u: i for i, u in enumerate(order)}
+        named = []
+        for d in docs:
+            mine = sorted((u for u in d if held[u] > 1), key=rank.get)
+            size = sum(weights[u] for u in d)
+            units = np.repeat(np.array([u + 1000 for u in mine], "<u8"), [weights[u] for u in mine])
+            counts = np.repeat([held[u] for u in mine], [weights[u] for u in mine])
+            need = -(-75 * size // 100)
+            named.append(set(op6_jaccard._names(units, counts, need, hot).tolist()) if len(units) >= need else set())
+        for a in range(6):
+            for b in range(a):
+                both = sum(weights[u] for u in set(docs[a]) & set(docs[b]))
+                either = sum(weights[u] for u in set(docs[a]) | set(docs[b]))
+                assert 100 * both < 75 * either or named[a] & named[b]
+
+
+def test_overlaps_are_sums_of_several_fragments(spark, monkeypatch):
+    """On sf0.01, that every block is cut by the global order."""
+    cuts = []
+    compared = op6_jaccard._compared
+    monkeypatch.setattr(op6_jaccard, "_compared", lambda parts, percent: cuts.append(parts.agg({"cuts": "min"}).first()[0]) or compared(parts, percent))
+    op6_jaccard.near_components(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).count()
+    assert cuts and min(c for c in cuts if c is not None) >= 4
 
 
 @pytest.mark.parametrize("cuts", [1, 3])
@@ -95,7 +139,7 @@ def test_partial_overlaps_sum_to_the_overlap(cuts):
     assert all(total[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(4) for b in range(4) if a != b)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_docs": 2, "block_bytes": 4000, "fragment_shingles": 500}])
+@pytest.mark.parametrize("options", [{}, {"block_docs": 2, "block_bytes": 4000, "fragment_shingles": 500}, {"hot": 1}, {"hot": 2, "block_docs": 3}])
 def test_jaccard_equals_brute_force(spark, docs_of, options):
     rows = list(ODD)
     for seed in range(4):

@@ -50,12 +50,11 @@ def _brute_weights(texts, targets, longest, buckets):
 
 
 @pytest.mark.parametrize("longest", [1, 3])
-def test_resampling_equals_brute_force(spark, docs_of, monkeypatch, longest):
-    monkeypatch.setattr(op11_resampling, "PAIRS", 7)  # many blocks, and documents larger than one
+def test_resampling_equals_brute_force(spark, docs_of, longest):
     rng = random.Random(longest)
     rows = ODD + [(i, " ".join(rng.choices(["Ab", "ç", "d9", "e_f", "the", "of"], k=rng.randint(0, 40))), "s") for i in range(10, 150)]
     targets = [("the of THE",), (None,), ("ç d9",)]
-    out = op11_resampling.scored(docs_of(rows), spark.createDataFrame(targets, "text string"), longest=longest, percent=20).toPandas()
+    out = op11_resampling.scored(docs_of(rows), spark.createDataFrame(targets, "text string"), longest=longest, percent=20, pairs=7).toPandas()  # many blocks, and documents larger than one
     brute = _brute_weights([r[1] for r in rows], [t[0] for t in targets], longest, 10_000)
 
     def score(doc_id, weight):
