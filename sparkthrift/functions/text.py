@@ -171,6 +171,25 @@ def removed_only(original: Column, compressed: Column, allowed: Iterable[str]) -
     return bind(words(compressed), walk)
 
 
+def alignment(original: Column, compressed: Column) -> Column:
+    """For each word of ``compressed`` the position (from 0) of the word of ``original`` that it is: the first equal one after its predecessor's.
+
+    Null for words that ``original`` doesn't hold there; the words between two
+    positions are those removed.  One walk over the original's words.
+    """
+
+    def walk(out: Column) -> Column:
+        def step(state: Column, word: Column) -> Column:
+            match = F.coalesce(F.get(out, F.size(state["found"])) == word, F.lit(False))
+            return F.struct((state["at"] + 1).alias("at"), F.when(match, F.concat(state["found"], F.array(state["at"]))).otherwise(state["found"]).alias("found"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+        found = F.aggregate(words(original), start, step, lambda s: s["found"])
+        return bind(found, lambda f: F.transform(out, lambda _, i: F.get(f, i)))
+
+    return bind(words(compressed), walk)
+
+
 def lead(text: Column, limit: int = 200) -> Column:
     """First sentence of the first line, at most ``limit`` characters; '' if blank.
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from sparkthrift.functions import text as T
 from sparkthrift.operators import caching as C
 from sparkthrift.operators import evaluation as E
+from sparkthrift.operators import crypto
 from sparkthrift.operators import metrics as X
 from sparkthrift.operators import registrar
 from sparkthrift.operators import reports as P
+from sparkthrift.operators import similarity_store as S
 
 from .common import EVENTS_SQL, SPANS_SQL, conversations, decorated, filler_sql, per_span, table, timed_events, tokens_sql, words_sql
 
@@ -98,6 +100,16 @@ def similarity_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.hydrate(entries, 50).select("key", F.col("place").cast("long").alias("place"))
 
 
+def similarity_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed entries of five tenants, trimmed to 120; then the newest 60 are loaded, without a shredded tenant's and those that were changed."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.concat(F.lit("k"), "vec_id").alias("key"), F.lit("m").alias("model"), F.concat(F.lit("t"), F.col("vec_id") % 5).alias("tenant"), F.col("embedding").alias("vector"), F.col("vec_id").cast("double").alias("created_at"))
+    master = bytes(range(32))
+    stored = S.trim(S.append(rows, crypto.tenant_keys(rows, master)), 120)
+    stored = stored.withColumn("blob", F.when(F.col("seq") % 13 == 0, F.concat(F.col("blob"), F.lit(b"!"))).otherwise(F.col("blob")))
+    found = S.load(stored, 60, crypto.tenant_keys(rows, master, shredded=["t2"]))
+    return found.select("place", "key", "tenant", F.size("vector").cast("long").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 def store_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which answers are stored, by type of event; every seventh has no status."""
     status = F.when(F.col("event_id") % 7 != 0, F.lit(199) + F.col("event_id") % 5 * 50)
@@ -286,6 +298,7 @@ QUERIES = {
         f"WITH {_IDX}, p AS (SELECT a.vec_id AS probe_id, b.vec_id AS key, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN (SELECT * FROM v WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 2048) b ON a.tenant = b.tenant WHERE a.vec_id % 2 = 0), n AS (SELECT probe_id, arg_max(key, [s, key::DOUBLE]) AS key FROM p WHERE s >= 0.3 GROUP BY probe_id) SELECT v.vec_id AS probe_id, key, coalesce(key % 5 <> 0 AND key % 3 <> 0, false) AS hit, CASE WHEN key % 5 <> 0 AND key % 3 <> 0 THEN 200 + key % 7 END AS status_code FROM v LEFT JOIN n ON n.probe_id = v.vec_id WHERE v.vec_id % 2 = 0",
     ),
     "similarity_hydrate": (similarity_hydrate, "SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id) AS place FROM (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 50) WHERE vec_id % 11 <> 0"),
+    "similarity_store": (similarity_store, "SELECT row_number() OVER (ORDER BY vec_id) AS place, 'k' || vec_id AS key, 't' || vec_id % 5 AS tenant, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 60) WHERE vec_id % 5 <> 2 AND vec_id % 13 <> 0"),
     "store_decision": (store_decision, "SELECT event_type, count(*) AS answers, count(*) FILTER (WHERE event_id % 7 <> 0 AND event_id % 3 <> 0 AND event_id % 5 IN (1, 2)) AS stored FROM events GROUP BY event_type"),
     "similarity_fifo": (similarity_fifo, "SELECT vec_id AS key, vec_id AS seq, len(embedding) AS dim FROM embeddings WHERE vec_id % 2 = 1 ORDER BY vec_id DESC LIMIT 100"),
     "similarity_gate": (similarity_gate, f"WITH {_IDX}, p AS (SELECT list_cosine_similarity(a.v, b.v) >= 0.97 AS hit, a.label = b.label AS want FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0 UNION ALL SELECT true, true FROM v) SELECT round(count(*) FILTER (WHERE hit AND want) / nullif(count(*) FILTER (WHERE hit), 0), 6) AS precision, round(count(*) FILTER (WHERE hit AND want) / count(*) FILTER (WHERE want), 6) AS recall, count(*) FILTER (WHERE hit AND NOT want) AS false_hits, count(*) FILTER (WHERE hit AND NOT want) = 0 AS passed FROM p"),

@@ -10,7 +10,7 @@ from sparkthrift.functions import text as T
 from sparkthrift.operators import evaluation as E
 from sparkthrift.operators import tiers
 
-from .common import DECORATED, EVENTS_SQL, SPANS_SQL, conversations, decorated, filler_sql, lossless_sql, per_span, table, timed_events, tokens_sql, words_sql
+from .common import DECORATED, EVENTS_SQL, SPANS_SQL, conversations, decorated, filler_sql, lossless_sql, per_span, table, timed_events, tokens_sql, words_sql, PUNCT_SQL
 
 _SHA = lambda c: F.sha2(c, 256)
 
@@ -128,7 +128,21 @@ m AS (SELECT bucket, tier, level, count(*) AS cases, avg(ratio) AS mean FROM c G
 SELECT bucket, tier, cases, round(mean, 6) AS mean_reduction, round(mean - coalesce(lag(mean) OVER (PARTITION BY bucket ORDER BY level), 0), 6) AS gain FROM m"""
 _OUT = f"CASE WHEN d.doc_id % 5 = 0 THEN o.text || ' extra' ELSE {lossless_sql('d.t')} END"
 
+def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message beside what the filler tier leaves of it: words before and after, and where those left stood."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_SPOKEN).alias("text"))
+    rows = rows.withColumn("at", T.alignment(F.col("text"), T.filler(F.col("text"))))
+    return rows.select("conv_id", "turn", F.size(T.words(F.col("text"))).cast("long").alias("before"), F.size("at").cast("long").alias("after"), F.sha2(F.array_join(F.col("at").cast("array<string>"), ","), 256).alias("positions"))
+
+
+#: Turns with fillers, bare and beside marks, at both ends and in the middle.
+_SPOKEN = "CASE turn % 3 WHEN 0 THEN concat('Please just ', text, ' really, Just thanks') WHEN 1 THEN concat(text, ' simply (very), simply same') ELSE text END"
+_ALIGNED = f"""WITH w AS (SELECT conv_id, turn, {words_sql('text')} AS w FROM (SELECT conv_id, turn, {_SPOKEN} AS text FROM conversations)),
+p AS (SELECT conv_id, turn, w, list_filter(range(0, len(w)), lambda i: NOT list_contains([{', '.join(f"'{x}'" for x in T.DEFAULT_FILLERS)}], lower(trim(w[i + 1], {PUNCT_SQL})))) AS held FROM w)
+SELECT conv_id, turn, len(w) AS before, len(held) AS after, sha256(array_to_string(held, ',')) AS positions FROM p"""
+
 QUERIES = {
+    "word_alignment": (word_alignment, _ALIGNED),
     "request_violations": (
         request_violations,
         f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),

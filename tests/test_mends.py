@@ -47,3 +47,30 @@ def test_entry_imports_without_what_the_other_operators_need():
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, timeout=120)
     assert int(out.stdout) >= 85, out.stderr
+
+
+def test_similarity_store(spark):
+    """A cap counts what can't be read; a restart reads what was written; shredded, changed and malformed entries are skipped."""
+    from sparkthrift.operators import crypto
+    from sparkthrift.operators import similarity_store as S
+
+    rows = spark.createDataFrame([(i, f"k{i}", None if i == 1 else "m", f"t{i % 2}", [float(i), 0.1], 1.0 * i) for i in range(1, 7)], "seq long, key string, model string, tenant string, vector array<double>, created_at double")
+    assert [(r["place"], r["seq"], r["model"], list(r["vector"])) for r in S.load(S.append(rows), 9).orderBy("place").collect()][0] == (1, 1, None, [1.0, 0.1])
+    keys = crypto.tenant_keys(rows, bytes(range(32)))
+    stored = S.append(rows, keys)
+    assert not any(b"[" in bytes(r["blob"])[:1] for r in stored.collect())
+    assert [r["seq"] for r in S.load(stored, 3, keys).orderBy("place").collect()] == [4, 5, 6]
+    assert [r["seq"] for r in S.load(stored, 3, keys.where("tenant = 't0'")).orderBy("place").collect()] == [4, 6]
+    moved = stored.withColumn("key", F.when(F.col("seq") == 5, "k4").otherwise(F.col("key")))  # a blob under another key does not open
+    assert [r["seq"] for r in S.load(moved, 3, keys).orderBy("place").collect()] == [4, 6]
+    bad = spark.createDataFrame([(i, "k", "m", "t", bytearray(x), 0.0) for i, x in enumerate([b"[1.0,2]", b"nope", b'["x"]', b"{}", b"[1,null]", b"\xff", b"[]", b"[1", b""])], "seq long, key string, model string, tenant string, blob binary, created_at double")
+    assert [r["seq"] for r in S.load(bad, 99).orderBy("place").collect()] == [0, 6]
+    assert S.trim(bad, 2).count() == 2 and S.load(bad.limit(0), 3).count() == 0
+
+
+def test_alignment(spark):
+    from sparkthrift.functions import text as T
+
+    cases = [("a b a c", "a c", [0, 3]), ("a b", "a b", [0, 1]), ("a", "", []), ("", "", []), ("a b", "b a", [1, None]), ("x x y", "x y", [0, 2])]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string").select(T.alignment(F.col("a"), F.col("b")).alias("p"))
+    assert [r["p"] for r in rows.collect()] == [p for _, _, p in cases]
