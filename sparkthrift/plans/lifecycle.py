@@ -208,17 +208,8 @@ def _wants_breakpoint(config: Config) -> tuple[Column, Column]:
     return F.coalesce(wanted, F.lit(False)), K.prefix_digest(prefix, config.salt)
 
 
-def handled(rows: DataFrame, config: Config = Config(), *, reducer: Callable[[list[str], float], list[str]] | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None, responses: DataFrame | None = None) -> DataFrame:  # noqa: B008  it is frozen
-    """One row per request: what was done with it.
-
-    request_id, dialect, tenant, status, cache (none, bypass, stream-bypass, miss,
-    hit, similar), answered_by, canonicalized, tokens_before, tokens_after, key,
-    memory, inject, breakpoint, stages (a row a tier), forwarded, usage,
-    duration_ms.  ``responses`` (request_id, status, body, duration_ms) holds what
-    providers answer to requests that are forwarded; without it they succeed.
-    ``reducer`` and ``embed`` are the models of the learned tier and of the
-    similarity cache.  A row without ts is forwarded and neither limited nor cached.
-    """
+def narrowed(rows: DataFrame, config: Config, *, reducer: Callable[[list[str], float], list[str]] | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """What each request needs further on, without its texts; row by row but for memory by retrieval, so for streams too."""
     rows, p = trees(rows, config, reducer), F.col("parsed")
     messages = F.transform(p["messages"], lambda m: F.array(m["role"], F.coalesce(m["text"], m["raw"])))
     key = K.cache_key(F.col("dialect"), p["model"], p["system"], messages, p["tools"], config.salt)
@@ -246,7 +237,21 @@ def handled(rows: DataFrame, config: Config = Config(), *, reducer: Callable[[li
     rows = rows.select(*names, *(v.alias(k) for k, v in narrow.items()))
     if config.similarity and embed:
         rows = ports.embedded(rows.withColumnRenamed("vector", "_said"), "_said", embed, "vector").drop("_said")
+    return rows
+
 
+def handled(rows: DataFrame, config: Config = Config(), *, reducer: Callable[[list[str], float], list[str]] | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None, responses: DataFrame | None = None) -> DataFrame:  # noqa: B008  it is frozen
+    """One row per request: what was done with it.
+
+    request_id, dialect, tenant, status, cache (none, bypass, stream-bypass, miss,
+    hit, similar), answered_by, canonicalized, tokens_before, tokens_after, key,
+    memory, inject, breakpoint, stages (a row a tier), forwarded, usage,
+    duration_ms.  ``responses`` (request_id, status, body, duration_ms) holds what
+    providers answer to requests that are forwarded; without it they succeed.
+    ``reducer`` and ``embed`` are the models of the learned tier and of the
+    similarity cache.  A row without ts is forwarded and neither limited nor cached.
+    """
+    rows = narrowed(rows, config, reducer=reducer, embed=embed)
     rows = _limits(rows, config)
     status = F.when(F.col("provider").isNull(), 502).when(~F.col("authorized"), 401).when(~F.col("within_rate"), 429)
     rows = rows.withColumn("status", status)

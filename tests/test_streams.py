@@ -133,3 +133,24 @@ def test_running_metrics_equal_batch_after_each_batch(spark, tmp_path):
         wants = (metrics.totals(batch), metrics.by_stage(batch.select(F.inline("stages"))), metrics.by_tenant(batch))
         for got, want in zip(S.running_metrics(spark, f"{tmp_path}/sums"), wants, strict=True):
             assert tidy(got, want.columns) == tidy(want, want.columns)
+
+
+def test_ingress_equals_the_batch(spark, sf_dir, tmp_path):
+    from sparkthrift.plans import lifecycle
+    from sparkthrift.plans.config import Config
+    from sparkthrift.plans.lifecycle_queries import _requests
+    from sparkthrift.streaming import ingress
+
+    config = Config(filler=True, structured=True, elide=True, elide_keep_recent=3, dedup=True, memory="summary", memory_keep_recent=2, memory_min_messages=4)
+    rows = _requests(spark, sf_dir)[0].withColumn("ts", F.col("ts") + 1e6)
+    columns = ["request_id", "dialect", "tenant", "status", "cache", "tokens_before", "tokens_after", "memory", "stages"]
+    middle = rows.agg(F.avg("ts")).first()[0]
+    for part in (F.col("ts") <= middle, F.col("ts") > middle):
+        rows.where(part).coalesce(1).write.json(f"{tmp_path}/in", mode="append")
+        stream = ingress.outcomes(ingress.requests(spark, f"{tmp_path}/in"), config, "0 seconds")
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert tidy(got, columns) == tidy(lifecycle.handled(rows, config), columns)
+    assert got.where("cache = 'hit'").count() > 5
+    with pytest.raises(ValueError, match="not for this stream"):
+        ingress.outcomes(rows, Config(rate=1.0))
