@@ -9,6 +9,19 @@ from . import evaluation
 
 c = F.col
 
+# The layouts of the four pages. Heads, widths of the rules, and the formats of case and total lines.
+SAMPLES_HEAD = f"{'sample':<28} {'canon':>5} {'before':>7} {'after':>7} {'saved%':>7} {'ok':>3}"
+SAMPLES_LINE = "%-28s %5s %7d %7d %6.1f%% %3s"
+SAMPLES_TOTAL = "TOTAL  samples=%d canonicalised=%d  tokens %d->%d (saved %d, %.1f%%)  regressions=%d  %s"
+JUDGED_HEAD = f"{'case':<28} {'recall':>7} {'ok':>5}"
+JUDGED_LINE = "%-28s %5.0f%% %5s"
+RETRIEVAL_LINE = "%-28s %6.1f%% %5s"
+RETRIEVAL_TOTAL = "TOTAL cases=%d passed=%d mean_recall=%.1f%%  %s"
+SIMILARITY_HEAD = f"{'case':<28} {'sim':>6} {'pred':>5} {'want':>5} {'ok':>4}"
+SIMILARITY_LINE = "%-28s %6.3f %5s %5s %4s"
+SIMILARITY_TOTAL = "threshold=%.3f  precision=%.1f%%  recall=%.1f%%  false_hits=%d  %s"
+SAMPLES_RULE, JUDGED_RULE, SIMILARITY_RULE = 60, 44, 52
+
 
 def _page(head: str, width: int, rows: DataFrame, line: Column, total: DataFrame, last: Column) -> DataFrame:
     """Head, rule, a line a case, rule, total."""
@@ -24,30 +37,29 @@ def _mark(ok: Column, yes: str = "ok", no: str = "FAIL") -> Column:
 def samples(results: DataFrame) -> DataFrame:
     """Of (name, canonicalized, tokens_before, tokens_after, passed)."""
     ratio = F.when(c("tokens_before") > 0, (c("tokens_before") - c("tokens_after")) / c("tokens_before")).otherwise(0.0)
-    line = F.format_string("%-28s %5s %7d %7d %6.1f%% %3s", F.substring("name", 1, 28), _mark(c("canonicalized"), "yes", "no"), c("tokens_before"), c("tokens_after"), ratio * 100, _mark(c("passed")))
-    last = F.format_string("TOTAL  samples=%d canonicalised=%d  tokens %d->%d (saved %d, %.1f%%)  regressions=%d  %s", c("samples"), c("canonicalized"), c("tokens_before"), c("tokens_after"), c("tokens_saved"), c("overall_ratio") * 100, c("regressions"), _mark(c("passed"), "PASS"))
-    head = f"{'sample':<28} {'canon':>5} {'before':>7} {'after':>7} {'saved%':>7} {'ok':>3}"
-    return _page(head, 60, results, line, evaluation.totals(results), last)
+    line = F.format_string(SAMPLES_LINE, F.substring("name", 1, 28), _mark(c("canonicalized"), "yes", "no"), c("tokens_before"), c("tokens_after"), ratio * 100, _mark(c("passed")))
+    last = F.format_string(SAMPLES_TOTAL, c("samples"), c("canonicalized"), c("tokens_before"), c("tokens_after"), c("tokens_saved"), c("overall_ratio") * 100, c("regressions"), _mark(c("passed"), "PASS"))
+    return _page(SAMPLES_HEAD, SAMPLES_RULE, results, line, evaluation.totals(results), last)
 
 
 def judged(cases: DataFrame) -> DataFrame:
     """Of (name, score, passed): how much of what must stay was kept."""
-    line = F.format_string("%-28s %5.0f%% %5s", c("name"), c("score") * 100, _mark(c("passed")))
-    last = F.format_string("%-28s %5.0f%% %5s", F.lit("mean"), c("mean_score") * 100, _mark(c("passed"), "PASS"))
-    return _page(f"{'case':<28} {'recall':>7} {'ok':>5}", 44, cases, line, evaluation.report(cases), last)
+    line = F.format_string(JUDGED_LINE, c("name"), c("score") * 100, _mark(c("passed")))
+    last = F.format_string(JUDGED_LINE, F.lit("mean"), c("mean_score") * 100, _mark(c("passed"), "PASS"))
+    return _page(JUDGED_HEAD, JUDGED_RULE, cases, line, evaluation.report(cases), last)
 
 
 def retrieval(cases: DataFrame) -> DataFrame:
     """Of (name, score, passed)."""
-    line = F.format_string("%-28s %6.1f%% %5s", F.substring("name", 1, 28), c("score") * 100, _mark(c("passed")))
-    last = F.format_string("TOTAL cases=%d passed=%d mean_recall=%.1f%%  %s", c("cases"), c("num_passed"), c("mean_score") * 100, _mark(c("passed"), "PASS"))
-    return _page(f"{'case':<28} {'recall':>7} {'ok':>5}", 44, cases, line, evaluation.report(cases), last)
+    line = F.format_string(RETRIEVAL_LINE, F.substring("name", 1, 28), c("score") * 100, _mark(c("passed")))
+    last = F.format_string(RETRIEVAL_TOTAL, c("cases"), c("num_passed"), c("mean_score") * 100, _mark(c("passed"), "PASS"))
+    return _page(JUDGED_HEAD, JUDGED_RULE, cases, line, evaluation.report(cases), last)
 
 
 def similarity(cases: DataFrame, threshold: float) -> DataFrame:
     """Of (name, anchor, variant, should_hit)."""
     rows = cases.withColumn("close", evaluation.V.cosine(c("anchor"), c("variant")))
     hit = c("close") >= threshold
-    line = F.format_string("%-28s %6.3f %5s %5s %4s", F.substring("name", 1, 28), c("close"), _mark(hit, "hit", "miss"), _mark(c("should_hit"), "hit", "miss"), _mark(hit == c("should_hit"), "ok", "XX"))
-    last = F.format_string(f"threshold={threshold:.3f}  precision=%.1f%%  recall=%.1f%%  false_hits=%d  %s", c("precision") * 100, c("recall") * 100, c("false_hits"), _mark(c("passed"), "PASS"))
-    return _page(f"{'case':<28} {'sim':>6} {'pred':>5} {'want':>5} {'ok':>4}", 52, rows, line, evaluation.similarity_report(cases, threshold), last)
+    line = F.format_string(SIMILARITY_LINE, F.substring("name", 1, 28), c("close"), _mark(hit, "hit", "miss"), _mark(c("should_hit"), "hit", "miss"), _mark(hit == c("should_hit"), "ok", "XX"))
+    last = F.format_string(SIMILARITY_TOTAL, F.lit(float(threshold)), c("precision") * 100, c("recall") * 100, c("false_hits"), _mark(c("passed"), "PASS"))
+    return _page(SIMILARITY_HEAD, SIMILARITY_RULE, rows, line, evaluation.similarity_report(cases, threshold), last)

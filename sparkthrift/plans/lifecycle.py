@@ -22,7 +22,7 @@ from sparkthrift.functions import keys as K
 from sparkthrift.functions import redaction as R
 from sparkthrift.functions import terms as V
 from sparkthrift.functions import text as T
-from sparkthrift.operators import blocks, caching, memory, ports, requests, tiers
+from sparkthrift.operators import blocks, caching, memory, metrics, ports, requests, tiers
 
 from .config import Config
 
@@ -316,6 +316,11 @@ def sent(rows: DataFrame, told: DataFrame, config: Config = Config(), reducer: C
     return requests.serialize_requests(ready).select("request_id", "sent").unionByName(passed)
 
 
+def metric_events(told: DataFrame) -> DataFrame:
+    """The outcomes of ``handled`` as savings events, which ``sources.files.append_events`` keeps and ``metrics`` reads."""
+    return metrics.event_rows(told.select("request_id", "dialect", "cache", "canonicalized", "tokens_before", "tokens_after", F.col("status").alias("status_code"), "duration_ms", "tenant", "stages", F.col("usage").alias("upstream_usage")))
+
+
 def meta_headers(events: DataFrame) -> DataFrame:
     """(request_id, headers): what a caller is told, as a map; savings are not below 0 here."""
     saved = F.greatest(F.lit(0).cast("long"), F.col("tokens_before") - F.col("tokens_after"))

@@ -54,8 +54,17 @@ def read_vectors(blobs: Column) -> Column:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Savings events, their stages nested, partitioned by tenant; all columns are kept."""
-    events.withColumn("tenant", F.coalesce("tenant", F.lit(""))).write.mode("append").partitionBy("tenant").parquet(path)
+    """Savings events, their stages nested; all columns are kept.  Rows are sorted by tenant inside files, not dealt to a folder each: there may be very many."""
+    events.withColumn("tenant", F.coalesce("tenant", F.lit(""))).sortWithinPartitions("tenant").write.mode("append").parquet(path)
+
+
+def append_evals(verdicts: DataFrame, path: str) -> None:
+    """Verdicts of gates (id, kind, score, passed) as ``metrics.evals_recorded`` makes them."""
+    verdicts.select("id", "kind", "score", "passed").write.mode("append").parquet(path)
+
+
+def read_evals(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, kind string, score double, passed boolean").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -106,3 +106,21 @@ def test_odd_rows_stay(spark, memory):
     told = lifecycle.handled(rows, config)
     assert sorted(r["request_id"] for r in told.collect()) == [1, 2, 3, 4, 5]
     assert lifecycle.handled(rows.limit(0), config).count() == 0
+
+
+def test_events_and_verdicts_are_kept_and_read(spark, tmp_path):
+    from sparkthrift.operators import evaluation
+    from sparkthrift.sources import files
+
+    rows = sent(spark, [(i, i, "/v1/messages", "a", chat("please   say hi  ", "ok", f"{i % 2}")) for i in range(4)])
+    told = lifecycle.metric_events(lifecycle.handled(rows, Config(filler=True, multi_tenant=True)))
+    for part in (0, 1):  # appended twice
+        files.append_events(told.where(F.col("request_id") % 2 == part), f"{tmp_path}/events")
+    back = files.read_events(spark, f"{tmp_path}/events")
+    assert (metrics.totals(back).first()["requests"], metrics.totals(back).first()["hits"]) == (4, 2)
+    assert {r["stage"] for r in metrics.by_stage(back.select(F.inline("stages"))).collect()} == {"lossless", "filler"} and metrics.by_tenant(back).count() == 1
+    cases = spark.createDataFrame([(1.0, True), (0.5, False)], "score double, passed boolean")
+    for at in (1, 2):
+        report = evaluation.report(cases if at == 1 else cases.where("passed"))
+        files.append_evals(metrics.evals_recorded("judged", F.col("mean_score"), F.col("passed"), report, F.lit(at).cast("long")), f"{tmp_path}/evals")
+    assert tuple(metrics.latest_evals(files.read_evals(spark, f"{tmp_path}/evals")).first()) == ("judged", 1.0, True)
