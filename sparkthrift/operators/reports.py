@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import evaluation
+from . import evaluation, metrics
 
 c = F.col
 
@@ -34,11 +34,16 @@ def _mark(ok: Column, yes: str = "ok", no: str = "FAIL") -> Column:
     return F.when(ok, yes).otherwise(no)
 
 
+def _tenths(share: Column) -> Column:
+    """Per cent to one place, halves of the exact binary value to even; ``format_string`` alone takes halves of the shown digits up."""
+    return metrics.rounded(share * 100, 1)
+
+
 def samples(results: DataFrame) -> DataFrame:
     """Of (name, canonicalized, tokens_before, tokens_after, passed)."""
     ratio = F.when(c("tokens_before") > 0, (c("tokens_before") - c("tokens_after")) / c("tokens_before")).otherwise(0.0)
-    line = F.format_string(SAMPLES_LINE, F.substring("name", 1, 28), _mark(c("canonicalized"), "yes", "no"), c("tokens_before"), c("tokens_after"), ratio * 100, _mark(c("passed")))
-    last = F.format_string(SAMPLES_TOTAL, c("samples"), c("canonicalized"), c("tokens_before"), c("tokens_after"), c("tokens_saved"), c("overall_ratio") * 100, c("regressions"), _mark(c("passed"), "PASS"))
+    line = F.format_string(SAMPLES_LINE, F.substring("name", 1, 28), _mark(c("canonicalized"), "yes", "no"), c("tokens_before"), c("tokens_after"), _tenths(ratio), _mark(c("passed")))
+    last = F.format_string(SAMPLES_TOTAL, c("samples"), c("canonicalized"), c("tokens_before"), c("tokens_after"), c("tokens_saved"), _tenths(c("overall_ratio")), c("regressions"), _mark(c("passed"), "PASS"))
     return _page(SAMPLES_HEAD, SAMPLES_RULE, results, line, evaluation.totals(results), last)
 
 
